@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import maybe_round, percent, rate, ratio
+from platewise.functions.numbers import maybe_round, money, money_per, percent, rate, ratio
 from platewise.functions.periods import day, month_label, month_start, week_end_month, week_start
 from platewise.schemas import FUNNEL_STAGES
 
@@ -98,7 +98,7 @@ def _orders_by_user(orders: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.count("order_value").alias("valued"),
-            F.sum("order_value").alias("value"),
+            F.sum(money(F.col("order_value"))).alias("value"),
         )
     )
 
@@ -111,13 +111,24 @@ def _orders_by_month(orders: DataFrame) -> DataFrame:
         .agg(
             F.sum("n").alias("orders"),
             F.count("user_id").alias("ordering_users"),
-            ratio(F.sum("value"), F.sum("valued")).alias("aov"),
+            F.sum("valued").alias("valued_orders"),
             F.sum("value").alias("revenue"),
             rate(repeated).alias("repeat_rate"),
         )
     )
 
 
+def _aov(digits: int | None) -> Column:
+    """Mean value of the orders that have one."""
+    if digits is None:
+        return ratio(F.col("revenue"), F.col("valued_orders"))
+    return money_per(F.col("revenue"), F.col("valued_orders"), digits)
+
+
+def _revenue(digits: int | None) -> Column:
+    return maybe_round(F.col("revenue"), digits).cast("double")
+
+
 def orders_monthly(orders: DataFrame, digits: int | None = 2) -> DataFrame:
     """-> month, orders, ordering_users, aov, revenue"""
     return (
@@ -126,8 +137,8 @@ def orders_monthly(orders: DataFrame, digits: int | None = 2) -> DataFrame:
             "month",
             "orders",
             "ordering_users",
-            maybe_round(F.col("aov"), digits).alias("aov"),
-            maybe_round(F.col("revenue"), digits).alias("revenue"),
+            _aov(digits).alias("aov"),
+            _revenue(digits).alias("revenue"),
         )
         .orderBy("month")
     )
@@ -185,8 +196,8 @@ def growth_monthly(events: DataFrame, orders: DataFrame, open_stage: str = OPEN_
             "ordering_users",
             ratio(F.col("orders"), F.col("ordering_users")).alias("orders_per_ordering_user"),
             ratio(F.col("orders"), F.col("mau")).alias("orders_per_MAU"),
-            F.col("aov").alias("AOV"),
-            "revenue",
+            _aov(None).alias("AOV"),
+            _revenue(None).alias("revenue"),
             ratio(F.col("revenue"), F.col("mau")).alias("revenue_per_MAU"),
             F.col("repeat_rate").alias("repeat_order_rate_within_month"),
         )
@@ -210,7 +221,6 @@ def growth_monthly_split(events: DataFrame, orders: DataFrame, open_stage: str =
             F.count("*").alias("mau"),
         )
     )
-    revenue = F.round("revenue", 2)
     # The joined side holds one row per calendar month.
     return (
         active.join(F.broadcast(_orders_by_month(orders)), "month", "left")
@@ -223,9 +233,9 @@ def growth_monthly_split(events: DataFrame, orders: DataFrame, open_stage: str =
             "ordering_users",
             F.round(ratio(F.col("orders"), F.col("ordering_users")), 2).alias("orders_per_ordering_user"),
             F.round(ratio(F.col("orders"), F.col("mau")), 2).alias("orders_per_mau"),
-            F.round("aov", 2).alias("aov"),
-            revenue.alias("revenue"),
-            F.round(ratio(revenue, F.col("mau")), 2).alias("revenue_per_mau"),
+            _aov(2).alias("aov"),
+            _revenue(2).alias("revenue"),
+            money_per(F.round("revenue", 2), F.col("mau"), 2).alias("revenue_per_mau"),
             F.round("repeat_rate", 4).alias("repeat_order_rate_within_month"),
         )
         .orderBy("month")

@@ -92,23 +92,23 @@ def orders_from_events(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # funnel
     "session_rollup": lambda s, d: plain(session_rollup(b.funnel_events(s, d))),
-    "funnel_first_session": lambda s, d: plain(funnel.funnel(b.funnel_events(s, d), b.STAGES, "first_session"), 8),
-    "funnel_blended": lambda s, d: plain(funnel.funnel(b.funnel_events(s, d), b.STAGES, "blended"), 8),
+    "funnel_first_session": lambda s, d: plain(funnel.funnel(b.funnel_events(s, d), b.STAGES, "first_session")),
+    "funnel_blended": lambda s, d: plain(funnel.funnel(b.funnel_events(s, d), b.STAGES, "blended")),
     "funnel_by_depth": lambda s, d: plain(funnel.funnel_by_depth(b.funnel_events(s, d), b.STAGES)),
     # retention
     "cohort_retention_long": lambda s, d: plain(
         _retention(retention.cohort_retention, days=b.DAYS, grain="week")(s, d)
     ),
     "cohort_retention_wide": lambda s, d: plain(
-        _retention(retention.cohort_retention_wide, days=b.DAYS, grain="week")(s, d), 8
+        _retention(retention.cohort_retention_wide, days=b.DAYS, grain="week")(s, d)
     ),
     "cohort_retention_by_month": lambda s, d: plain(
-        _retention(retention.cohort_retention_wide, days=b.DAYS)(s, d), 8
+        _retention(retention.cohort_retention_wide, days=b.DAYS)(s, d)
     ),
-    "retention_curve": lambda s, d: plain(_curve(s, d), 8),
-    "retention_day_points": lambda s, d: plain(retention.day_points(_curve(s, d), b.DAYS), 8),
+    "retention_curve": lambda s, d: plain(_curve(s, d)),
+    "retention_day_points": lambda s, d: plain(retention.day_points(_curve(s, d), b.DAYS)),
     "retention_powerlaw_fit": lambda s, d: plain(retention.fit_retention_curve(_curve(s, d), floor=0.38), 6),
-    "pooled_retention": lambda s, d: plain(_retention(retention.pooled_retention, days=b.DAYS)(s, d), 8),
+    "pooled_retention": lambda s, d: plain(_retention(retention.pooled_retention, days=b.DAYS)(s, d)),
     # growth
     "dau": lambda s, d: plain(growth.dau(b.order_opens(s, d), b.OPEN_STAGE)),
     "wau": lambda s, d: plain(growth.wau(b.order_opens(s, d), b.OPEN_STAGE)),
@@ -116,7 +116,7 @@ QUERIES: dict[str, Query] = {
     "orders_monthly": lambda s, d: plain(growth.orders_monthly(b.shop_orders(s, d))),
     "repeat_rate_within_month": lambda s, d: plain(growth.repeat_rate_within_month(b.shop_orders(s, d))),
     "growth_monthly_week_end": lambda s, d: plain(
-        growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE), 4
+        growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)
     ),
     "growth_monthly_week_split": lambda s, d: plain(
         growth.growth_monthly_split(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)
@@ -125,13 +125,13 @@ QUERIES: dict[str, Query] = {
     "orders_from_events": lambda s, d: plain(orders_from_events(s, d)),
     # delivery
     "delivery_overall": lambda s, d: delivery.delivery_overall(b.line_deliveries(s, d)),
-    "delivery_on_time_share": lambda s, d: plain(delivery.on_time_share(b.line_deliveries(s, d)), 8),
+    "delivery_on_time_share": lambda s, d: plain(delivery.on_time_share(b.line_deliveries(s, d))),
     "delivery_by_traffic": lambda s, d: delivery.delivery_by_traffic(b.deliveries(s, d), b.TRAFFIC),
     "delivery_by_weather": lambda s, d: delivery.delivery_by(b.line_deliveries(s, d), "weather", sort_by_rate=True),
     "delivery_by_city": lambda s, d: delivery.delivery_by(b.deliveries(s, d), "city_type", sort_by_rate=True),
     "delivery_by_festival": lambda s, d: delivery.delivery_by(b.line_deliveries(s, d), "festival"),
     "delivery_by_traffic_fraction": lambda s, d: plain(
-        delivery.delivery_by_traffic(b.deliveries(s, d), b.TRAFFIC[:3], False, as_percent=False, digits=None), 8
+        delivery.delivery_by_traffic(b.deliveries(s, d), b.TRAFFIC[:3], False, as_percent=False, digits=None)
     ),
     "delay_combos_topk": lambda s, d: delivery.delay_combos(b.deliveries(s, d)),
     "delay_correlations": lambda s, d: delivery.delay_correlations(b.deliveries(s, d), b.TRAFFIC),
@@ -162,8 +162,7 @@ QUERIES: dict[str, Query] = {
     "calibration_report": lambda s, d: plain(
         report.calibration_report(
             b.users(s, d), b.funnel_events(s, d), b.event_orders(s, d), b.ANALYSIS_END, b.STAGES, b.DAYS
-        ),
-        8,
+        )
     ),
     "key_numbers": lambda s, d: report.key_numbers(
         b.line_deliveries(s, d), b.funnel_events(s, d), b.event_orders(s, d), b.ab_sessions(s, d), b.STAGES

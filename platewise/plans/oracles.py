@@ -87,6 +87,20 @@ cleaned AS (
     FROM stamped)"""
 
 
+def _round(expression: str, digits: int) -> str:
+    """Half-up rounding on the decimal reading of a double, as MySQL and Spark do it."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
+
+
+def _cents_per(count: str) -> str:
+    """The whole cents of a total per head, rounded half up in integers, as money."""
+    return f"CAST((2 * cents + {count}) // (2 * {count}) AS DOUBLE) / 100"
+
+
+PERCENT = _round("100.0 * avg(CAST(on_time AS DOUBLE))", 2)
+MINUTES = _round("avg(time_taken_min)", 2)
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -116,8 +130,8 @@ steps AS (
            coalesce(sessions / nullif(lag(sessions) OVER (ORDER BY k), 0), 1.0) AS step,
            sessions / nullif(first_value(sessions) OVER (ORDER BY k), 0) AS top
     FROM counts)
-SELECT stage, sessions, round(step, 8) AS conversion_from_prev_stage,
-       round(1 - step, 8) AS dropoff_from_prev_stage, round(top, 8) AS conversion_from_top
+SELECT stage, sessions, step AS conversion_from_prev_stage, 1 - step AS dropoff_from_prev_stage,
+       top AS conversion_from_top
 FROM steps"""
     )
 
@@ -125,8 +139,8 @@ FROM steps"""
 def _depth_view(view: str, source: str) -> str:
     return f"""
 SELECT '{view}' AS funnel_view, stage, CAST(k AS INTEGER) AS stage_order, sessions,
-       round(sessions / nullif(lag(sessions) OVER (ORDER BY k), 0), 4) AS conversion_from_prev_stage,
-       round(sessions / nullif(first_value(sessions) OVER (ORDER BY k), 0), 4) AS conversion_from_top
+       {_round("sessions / nullif(lag(sessions) OVER (ORDER BY k), 0)", 4)} AS conversion_from_prev_stage,
+       {_round("sessions / nullif(first_value(sessions) OVER (ORDER BY k), 0)", 4)} AS conversion_from_top
 FROM (SELECT stage, k, count(session_id) AS sessions
       FROM stages LEFT JOIN {source} ON max_stage_order >= k GROUP BY stage, k)"""
 
@@ -147,7 +161,7 @@ def _wide(cohort: str) -> str:
         f"count(DISTINCT user_id) FILTER (n = {n} AND signup_date <= {END} - {n}) AS a{n}" for n in (1, 7, 14, 30)
     )
     columns = ", ".join(
-        f"round(coalesce(a{n}, 0) / e{n}, 8) AS D{n}_retention, e{n} AS D{n}_eligible_users" for n in (1, 7, 14, 30)
+        f"coalesce(a{n}, 0) / e{n} AS D{n}_retention, e{n} AS D{n}_eligible_users" for n in (1, 7, 14, 30)
     )
     return (
         _with(FUNNEL_EVENTS, USERS, ACTIVE)
@@ -177,7 +191,8 @@ pooled AS (
 ORDER_MONTHS = """
 order_months AS (
     SELECT date_trunc('month', order_ts) AS month, count(*) AS orders, count(DISTINCT user_id) AS ordering_users,
-           avg(order_value) AS aov, sum(order_value) AS revenue
+           sum(CAST(order_value AS DECIMAL(18, 4))) AS revenue,
+           sum(CAST(round(order_value * 100) AS BIGINT)) AS cents
     FROM shop_orders GROUP BY 1),
 repeat_months AS (
     SELECT month, avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) AS repeat_rate
@@ -197,8 +212,8 @@ def _by(key: str) -> str:
     return (
         _with(DELIVERIES)
         + f"""
-SELECT {key}, count(*) AS orders, round(100.0 * avg(CAST(on_time AS DOUBLE)), 2) AS on_time_pct,
-       round(avg(time_taken_min), 2) AS avg_time_taken_min
+SELECT {key}, count(*) AS orders, {PERCENT} AS on_time_pct,
+       {MINUTES} AS avg_time_taken_min
 FROM deliveries WHERE {key} IS NOT NULL GROUP BY {key}"""
     )
 
@@ -326,14 +341,14 @@ active AS (
     SELECT CAST(date_trunc('week', signup_date) AS DATE) AS cohort, n, count(DISTINCT user_id) AS users
     FROM active_days GROUP BY 1, 2)
 SELECT CAST(cohort AS VARCHAR) AS cohort_month, n AS day_n, eligible_users, coalesce(users, 0) AS active_users,
-       round(coalesce(users, 0) / eligible_users, 4) AS retention_rate
+       {_round("coalesce(users, 0) / eligible_users", 4)} AS retention_rate
 FROM eligible LEFT JOIN active USING (cohort, n)""",
     "cohort_retention_wide": _wide("CAST(CAST(date_trunc('week', signup_date) AS DATE) AS VARCHAR)"),
     "cohort_retention_by_month": _wide("strftime(signup_date, '%Y-%m')"),
     "retention_curve": _with(FUNNEL_EVENTS, USERS, ACTIVE, CURVE)
-    + "SELECT day, round(retention, 8) AS retention, eligible_users FROM curve",
+    + "SELECT day, retention, eligible_users FROM curve",
     "retention_day_points": _with(FUNNEL_EVENTS, USERS, ACTIVE, CURVE)
-    + "SELECT day, round(retention, 8) AS retention, eligible_users FROM curve WHERE day IN (1, 7, 14, 30)",
+    + "SELECT day, retention, eligible_users FROM curve WHERE day IN (1, 7, 14, 30)",
     "retention_powerlaw_fit": _with(FUNNEL_EVENTS, USERS, ACTIVE, CURVE)
     + """
 , line AS (
@@ -344,38 +359,38 @@ SELECT day, round(retention, 6) AS retention, eligible_users, round(a, 6) AS slo
 FROM curve, line""",
     "pooled_retention": _with(FUNNEL_EVENTS, USERS, ACTIVE, DAYS, POOLED)
     + """SELECT day_n, eligible_users, active_users,
-       round(active_users / nullif(eligible_users, 0), 8) AS retention_rate FROM pooled""",
+       active_users / nullif(eligible_users, 0) AS retention_rate FROM pooled""",
     "dau": _with(OPENS, ACTIVITY) + "SELECT CAST(d AS VARCHAR) AS activity_date, dau FROM daily",
     "wau": _with(OPENS, ACTIVITY) + "SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS week_start, wau FROM weekly",
     "mau": _with(OPENS, ACTIVITY) + "SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, mau FROM monthly",
     "orders_monthly": _with(SHOP_ORDERS, ORDER_MONTHS)
-    + """SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, orders, ordering_users, round(aov, 2) AS aov,
-       round(revenue, 2) AS revenue FROM order_months""",
+    + f"""SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, orders, ordering_users, {_cents_per("orders")} AS aov,
+       CAST(revenue AS DOUBLE) AS revenue FROM order_months""",
     "repeat_rate_within_month": _with(SHOP_ORDERS, ORDER_MONTHS)
-    + """SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, round(repeat_rate, 4) AS repeat_order_rate_within_month
+    + f"""SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, {_round("repeat_rate", 4)} AS repeat_order_rate_within_month
 FROM repeat_months""",
     "growth_monthly_week_end": _with(OPENS, SHOP_ORDERS, ACTIVITY, ORDER_MONTHS)
     + """
 , dau_months AS (SELECT date_trunc('month', d) AS month, avg(dau) AS dau FROM daily GROUP BY 1),
 wau_months AS (SELECT date_trunc('month', w + INTERVAL 6 DAY) AS month, avg(wau) AS wau FROM weekly GROUP BY 1)
-SELECT strftime(month, '%Y-%m') AS month, round(dau, 4) AS DAU_avg, round(wau, 4) AS WAU_avg, mau AS MAU,
-       orders, ordering_users, round(orders / nullif(ordering_users, 0), 4) AS orders_per_ordering_user,
-       round(orders / mau, 4) AS orders_per_MAU, round(aov, 4) AS AOV, round(revenue, 4) AS revenue,
-       round(revenue / mau, 4) AS revenue_per_MAU, round(repeat_rate, 4) AS repeat_order_rate_within_month
+SELECT strftime(month, '%Y-%m') AS month, dau AS DAU_avg, wau AS WAU_avg, mau AS MAU,
+       orders, ordering_users, orders / ordering_users AS orders_per_ordering_user,
+       orders / mau AS orders_per_MAU, CAST(revenue AS DOUBLE) / orders AS AOV, CAST(revenue AS DOUBLE) AS revenue,
+       CAST(revenue AS DOUBLE) / mau AS revenue_per_MAU, repeat_rate AS repeat_order_rate_within_month
 FROM monthly LEFT JOIN dau_months USING (month) LEFT JOIN wau_months USING (month)
     LEFT JOIN order_months USING (month) LEFT JOIN repeat_months USING (month)""",
     "growth_monthly_week_split": _with(OPENS, SHOP_ORDERS, ACTIVITY, ORDER_MONTHS)
-    + """
+    + f"""
 SELECT CAST(CAST(m.month AS DATE) AS VARCHAR) AS month,
-       (SELECT round(avg(dau), 1) FROM daily WHERE date_trunc('month', d) = m.month) AS dau_avg,
-       (SELECT round(avg(wau), 1) FROM split_weekly s WHERE s.month = m.month) AS wau_avg,
-       mau, orders, ordering_users, round(orders / nullif(ordering_users, 0), 2) AS orders_per_ordering_user,
-       round(orders / mau, 2) AS orders_per_mau, round(aov, 2) AS aov, round(revenue, 2) AS revenue,
-       round(round(revenue, 2) / mau, 2) AS revenue_per_mau, round(repeat_rate, 4) AS repeat_order_rate_within_month
+       (SELECT {_round("avg(dau)", 1)} FROM daily WHERE date_trunc('month', d) = m.month) AS dau_avg,
+       (SELECT {_round("avg(wau)", 1)} FROM split_weekly s WHERE s.month = m.month) AS wau_avg,
+       mau, orders, ordering_users, {_round("orders / ordering_users", 2)} AS orders_per_ordering_user,
+       {_round("orders / mau", 2)} AS orders_per_mau, {_cents_per("orders")} AS aov, CAST(revenue AS DOUBLE) AS revenue,
+       {_cents_per("mau")} AS revenue_per_mau, {_round("repeat_rate", 4)} AS repeat_order_rate_within_month
 FROM monthly m LEFT JOIN order_months o ON o.month = m.month LEFT JOIN repeat_months r ON r.month = m.month""",
     "lifetime_repeat_rate": _with(SHOP_ORDERS)
-    + """
-SELECT round(100.0 * avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 2) AS lifetime_repeat_customer_pct
+    + f"""
+SELECT {_round("100.0 * avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END)", 2)} AS lifetime_repeat_customer_pct
 FROM (SELECT user_id, count(*) AS n FROM shop_orders GROUP BY 1)""",
     "orders_from_events": _with(FUNNEL_EVENTS)
     + f"""
@@ -385,25 +400,25 @@ SELECT session_id, user_id, strftime(event_ts, {TS}) AS order_ts,
            ORDER BY event_ts, session_id, user_id, greatest(least(value * 10, 1400), 120)) AS VARCHAR) AS order_id
 FROM funnel_events WHERE stage = 'purchase'""",
     "delivery_overall": _with(DELIVERIES)
-    + """
-SELECT count(*) AS total_orders, round(100.0 * avg(CAST(on_time AS DOUBLE)), 2) AS on_time_pct,
-       round(avg(time_taken_min), 2) AS avg_time_taken_min, round(median(time_taken_min), 2) AS median_time_taken_min
+    + f"""
+SELECT count(*) AS total_orders, {PERCENT} AS on_time_pct,
+       {MINUTES} AS avg_time_taken_min, {_round("median(time_taken_min)", 2)} AS median_time_taken_min
 FROM deliveries""",
     "delivery_on_time_share": _with(DELIVERIES)
-    + "SELECT round(avg(CAST(on_time AS DOUBLE)), 8) AS overall_on_time_pct FROM deliveries",
+    + "SELECT avg(CAST(on_time AS DOUBLE)) AS overall_on_time_pct FROM deliveries",
     "delivery_by_traffic": _by("traffic_density"),
     "delivery_by_weather": _by("weather"),
     "delivery_by_city": _by("city_type"),
     "delivery_by_festival": _by("festival"),
     "delivery_by_traffic_fraction": _with(DELIVERIES)
     + """
-SELECT traffic_density, count(*) AS orders, round(avg(CAST(on_time AS DOUBLE)), 8) AS on_time_pct,
-       round(avg(time_taken_min), 8) AS avg_time_taken_min
+SELECT traffic_density, count(*) AS orders, avg(CAST(on_time AS DOUBLE)) AS on_time_pct,
+       avg(time_taken_min) AS avg_time_taken_min
 FROM deliveries WHERE traffic_density IN ('5-LOW', '3-MEDIUM', '2-HIGH') GROUP BY 1""",
     "delay_combos_topk": _with(DELIVERIES)
-    + """
-SELECT traffic_density, weather, count(*) AS orders, round(avg(time_taken_min), 2) AS avg_time_taken_min,
-       round(100.0 * avg(CAST(on_time AS DOUBLE)), 2) AS on_time_pct
+    + f"""
+SELECT traffic_density, weather, count(*) AS orders, {MINUTES} AS avg_time_taken_min,
+       {PERCENT} AS on_time_pct
 FROM deliveries WHERE traffic_density IS NOT NULL AND weather IS NOT NULL
 GROUP BY 1, 2 HAVING count(*) >= 30
 ORDER BY avg_time_taken_min DESC, traffic_density, weather LIMIT 10""",
@@ -512,20 +527,21 @@ FROM (SELECT session_id FROM funnel_events GROUP BY 1 HAVING count(DISTINCT stag
 SELECT c_custkey AS user_id FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
     "calibration_report": _with(FUNNEL_EVENTS, USERS, EVENT_ORDERS, ACTIVE, DAYS, POOLED, STAGES)
-    + """
+    + f"""
 , stage_counts AS (SELECT stage, count(DISTINCT session_id) AS n FROM funnel_events GROUP BY 1),
 metrics AS (
     SELECT 'users' AS metric, CAST(count(*) AS DOUBLE) AS value FROM users
     UNION ALL SELECT 'funnel_event_rows', count(*) FROM funnel_events
     UNION ALL SELECT 'orders', count(*) FROM event_orders
-    UNION ALL SELECT 'aov_mean', round(avg(order_value), 2) FROM event_orders
+    UNION ALL SELECT 'aov_mean', {_cents_per('orders')}
+        FROM (SELECT sum(CAST(round(order_value * 100) AS BIGINT)) AS cents, count(*) AS orders FROM event_orders)
     UNION ALL SELECT 'orders_per_ordering_user:' || strftime(order_ts, '%Y-%m'), count(*) / count(DISTINCT user_id)
         FROM event_orders WHERE user_id IN (SELECT user_id FROM users) GROUP BY 1
     UNION ALL SELECT 'sessions:' || stage, coalesce(n, 0) FROM stages LEFT JOIN stage_counts USING (stage)
-    UNION ALL SELECT 'overall_conversion', round(
-        (SELECT n FROM stage_counts WHERE stage = 'purchase') / (SELECT n FROM stage_counts WHERE stage = 'view'), 4)
+    UNION ALL SELECT 'overall_conversion', {_round("""
+        (SELECT n FROM stage_counts WHERE stage = 'purchase') / (SELECT n FROM stage_counts WHERE stage = 'view')""", 4)}
     UNION ALL SELECT 'D' || CAST(day_n AS VARCHAR) || '_retention', active_users / nullif(eligible_users, 0) FROM pooled)
-SELECT metric, round(value, 8) AS value,
+SELECT metric, value,
        CASE WHEN metric LIKE 'orders_per%' THEN CAST(3.6 AS DOUBLE) END AS low,
        CASE WHEN metric LIKE 'orders_per%' THEN CAST(4.5 AS DOUBLE) END AS high,
        CASE WHEN metric LIKE 'orders_per%' THEN value BETWEEN 3.6 AND 4.5 END AS in_band
