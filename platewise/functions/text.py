@@ -20,17 +20,17 @@ def without(text: Column, literal: str) -> Column:
 def number(text: Column) -> Column:
     """Double from text, NULL when it is not a number.
 
-    Java's number syntax has two habits to switch off: 'NaN' parses as a NaN,
-    and a trailing type letter ('1.5d', '2F') is accepted.
+    The cast reads numbers as Java does: 'NaN' gives a NaN, a type letter ('1.5d',
+    '2F') or a binary exponent ('0x1p3') is taken. All of these are bad text here.
+    The expression is kept this small because a cleaning step holds many of them in
+    one generated method, and the JVM leaves long methods uncompiled.
     """
-    value = trimmed(text)
-    plain = F.when(~F.lower(F.right(value, F.lit(1))).isin("d", "f"), value)
-    return plain.try_cast("double")
+    return F.nanvl(F.translate(text, "dDfFpP", "xxxxxx").try_cast("double"), F.lit(None))
 
 
 def day_month_year(date: Column, clock: Column) -> Column:
     """Timestamp without zone from 'dd-MM-yyyy' and 'HH:mm:ss'; NULL if either is bad."""
-    joined = F.concat(date, F.lit(" "), F.trim(clock))
+    joined = F.concat(date, F.lit(" "), trimmed(clock))
     return F.try_to_timestamp(joined, F.lit("d-M-yyyy H:m:s")).cast("timestamp_ntz")
 
 

@@ -26,43 +26,41 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     if missing:
         raise ValueError(f"raw orders lack the columns {missing}")
     col = {name: F.col(f"`{name}`") for name in RAW_ORDER_COLUMNS}
-    coordinate = {
-        name: number(col[name].cast("string"))
-        for name in RAW_ORDER_COLUMNS
-        if name.endswith(("latitude", "longitude"))
+    # The plain labels are cleaned as one array: written out one by one they would
+    # make the generated method of this step too long for the JVM to compile.
+    labels = {
+        "order_id": "ID",
+        "delivery_person_id": "Delivery_person_ID",
+        "traffic_density": "Road_traffic_density",
+        "order_type": "Type_of_order",
+        "vehicle_type": "Type_of_vehicle",
+        "festival": "Festival",
+        "city_type": "City",
     }
-
     parsed = df.select(
-        trimmed(col["ID"]).alias("order_id"),
-        trimmed(col["Delivery_person_ID"]).alias("delivery_person_id"),
+        F.transform(F.array(*[col[source] for source in labels.values()]), trimmed).alias("labels"),
         number(col["Delivery_person_Age"]).alias("delivery_person_age"),
         number(col["Delivery_person_Ratings"]).alias("delivery_person_rating"),
         day_month_year(col["Order_Date"], col["Time_Orderd"]).alias("order_datetime"),
         day_month_year(col["Order_Date"], col["Time_Order_picked"]).alias("same_day_pickup"),
-        haversine_km(
-            coordinate["Restaurant_latitude"],
-            coordinate["Restaurant_longitude"],
-            coordinate["Delivery_location_latitude"],
-            coordinate["Delivery_location_longitude"],
-        ).alias("distance"),
+        number(col["Restaurant_latitude"].cast("string")).alias("lat1"),
+        number(col["Restaurant_longitude"].cast("string")).alias("lon1"),
+        number(col["Delivery_location_latitude"].cast("string")).alias("lat2"),
+        number(col["Delivery_location_longitude"].cast("string")).alias("lon2"),
         trimmed(without(trimmed(col["Weatherconditions"]), "conditions ")).alias("weather"),
-        trimmed(col["Road_traffic_density"]).alias("traffic_density"),
         number(col["Vehicle_condition"].cast("string")).cast("int").alias("vehicle_condition"),
-        trimmed(col["Type_of_order"]).alias("order_type"),
-        trimmed(col["Type_of_vehicle"]).alias("vehicle_type"),
         number(col["multiple_deliveries"]).alias("multiple_deliveries"),
-        trimmed(col["Festival"]).alias("festival"),
-        trimmed(col["City"]).alias("city_type"),
         number(without(col["Time_taken(min)"], "(min) ")).alias("time_taken_min"),
     )
 
     # A pickup that reads earlier than the order happened after midnight.
     pickup = F.col("same_day_pickup")
     rolled = F.when(pickup < F.col("order_datetime"), pickup + F.expr("interval 1 day")).otherwise(pickup)
-    dated = parsed.withColumn("pickup_datetime", rolled)
+    distance = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    derived = parsed.withColumns({"pickup_datetime": rolled, "distance": distance})
 
     prep = minutes_between(F.col("order_datetime"), F.col("pickup_datetime"))
-    return dated.select(
+    return derived.withColumns({name: F.get("labels", F.lit(i)) for i, name in enumerate(labels)}).select(
         "order_id",
         "delivery_person_id",
         "delivery_person_age",
