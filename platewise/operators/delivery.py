@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numbers import finite, maybe_round, ordinal, percent, rate
-from platewise.operators.ordering import RANGES, exact_median
+from platewise.operators.ordering import exact_median
 from platewise.operators.sessions import union_all
 from platewise.operators.statistics import anova, pearson, spearman_ordinal, with_p_value
 from platewise.schemas import TRAFFIC_LEVELS
@@ -20,7 +20,7 @@ def _on_time(as_percent: bool, digits: int | None) -> Column:
     return value.alias("on_time_pct")
 
 
-def delivery_overall(orders: DataFrame, digits: int | None = 2, ranges: int = RANGES) -> DataFrame:
+def delivery_overall(orders: DataFrame, digits: int | None = 2, ranges: int | None = None) -> DataFrame:
     """One row -> total_orders, on_time_pct, avg_time_taken_min, median_time_taken_min"""
     totals = orders.agg(
         F.count("*").alias("total_orders"),
@@ -112,7 +112,7 @@ def delay_correlations(
 
 
 def delay_stats(
-    orders: DataFrame, levels: Sequence[str] = TRAFFIC_LEVELS, ranges: int = RANGES
+    orders: DataFrame, levels: Sequence[str] = TRAFFIC_LEVELS, ranges: int | None = None
 ) -> DataFrame:
     """Four tests of what goes with delivery time -> test, method, statistic, p_value
 
@@ -120,17 +120,16 @@ def delay_stats(
     """
     tidy = orders.withColumn("traffic_density", F.trim("traffic_density"))
     y = "time_taken_min"
-    tests = [
-        (f"distance_km vs {y}", "Pearson r", pearson(orders, "distance_km", y)),
-        (
-            f"traffic_density (ordinal) vs {y}",
-            "Spearman rho",
-            spearman_ordinal(tidy, "traffic_density", levels, y, ranges),
-        ),
-        (f"weather vs {y}", "One-way ANOVA F", anova(orders, "weather", y)),
-        (f"multiple_deliveries vs {y}", "Pearson r", pearson(orders, "multiple_deliveries", y)),
-    ]
-    stacked = union_all(
-        [t.select(F.lit(test).alias("test"), F.lit(method).alias("method"), "*") for test, method, t in tests]
+    correlations = pearson(orders, y, ["distance_km", "multiple_deliveries"]).select(
+        F.concat("predictor", F.lit(f" vs {y}")).alias("test"),
+        F.lit("Pearson r").alias("method"),
+        "statistic", "f", "dof1", "dof2",
+    )
+    ranks = spearman_ordinal(tidy, "traffic_density", levels, y, ranges).select(
+        F.lit(f"traffic_density (ordinal) vs {y}").alias("test"), F.lit("Spearman rho").alias("method"), "*"
     )
+    variances = anova(orders, "weather", y).select(
+        F.lit(f"weather vs {y}").alias("test"), F.lit("One-way ANOVA F").alias("method"), "*"
+    )
+    stacked = union_all([correlations, ranks, variances])
     return with_p_value(stacked).select("test", "method", "statistic", "p_value")

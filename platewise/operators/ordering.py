@@ -8,18 +8,18 @@ by its own window partition, and the totals of the earlier ranges (at most
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
+MAX_RANGES = 16384  # the borders travel through the driver as one row
 
 
-def _place(sorted_keys: Column, key: Column) -> Column:
-    """1 + the number of entries of `sorted_keys` below `key`."""
-    return F.array_position(F.sort_array(F.array_append(sorted_keys, key)), key)
+def default_ranges(df: DataFrame) -> int:
+    """Four ranges per shuffle partition: that setting already follows the size of the data."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4 * partitions, 64), MAX_RANGES)
 
 
 def running_total(
@@ -27,7 +27,7 @@ def running_total(
     order_by: Sequence[str],
     weight: str,
     name: str = "before",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add `name`: the total `weight` of all rows ordered before the row.
 
@@ -37,29 +37,25 @@ def running_total(
     The range borders are the keys with the smallest hashes, which is a uniform
     pick of the keys and, being a function of the data alone, comes out the same
     when a lost task is run again. They only steer the split: every row is kept.
-    A key finds its range in two steps, among every `step`-th border and then among
-    the `step` borders that follow, so the cost per row grows with sqrt(ranges).
     """
+    ranges = ranges or default_ranges(df)
     key = F.struct(*order_by)
-    step = math.isqrt(max(ranges, 1) - 1) + 1
     borders = (
         df.filter(F.col(weight) > 0)
         .select(key.alias("_key"))
         .orderBy(F.xxhash64("_key"), "_key")
         .limit(ranges - 1)
-        .agg(F.sort_array(F.collect_list("_key")).alias("fine"))
-        .select(F.struct("fine", F.filter("fine", lambda _, i: i % step == 0).alias("coarse")))
-    )
-    block = F.greatest(_place(F.col("_borders.coarse"), key) - 2, F.lit(0)) * step
-    split = (
-        df.withColumn("_borders", borders.scalar())
-        .withColumn("_block", block.cast("int"))
-        .withColumn(
-            "_range",
-            F.col("_block") + _place(F.slice("_borders.fine", F.col("_block") + 1, F.lit(step)), key),
-        )
-        .drop("_borders", "_block")
+        .agg(F.array_distinct(F.sort_array(F.collect_list("_key"))))
     )
+    # Binary search: _range becomes the number of borders below the key.
+    split = df.withColumns({"_key": key, "_borders": borders.scalar(), "_range": F.lit(0)})
+    step = 1 << max(ranges - 1, 1).bit_length() - 1
+    while step:
+        border = F.get("_borders", F.col("_range") + (step - 1))
+        split = split.withColumn("_range", F.col("_range") + F.when(border < F.col("_key"), step).otherwise(0))
+        step //= 2
+    split = split.drop("_key", "_borders")
+
     earlier_rows = Window.rowsBetween(Window.unboundedPreceding, -1)
     within = split.withColumn(
         "_within",
@@ -72,7 +68,7 @@ def running_total(
             F.lit(0),
         ),
     )
-    # At most `ranges` rows from here on, numbered 1, 2, ... without gaps, since
+    # At most `ranges` rows from here on, numbered 0, 1, ... without gaps, since
     # every border is itself a row of the range it closes.
     starts = (
         split.groupBy("_range")
@@ -85,27 +81,29 @@ def running_total(
     )
     return (
         within.withColumn("_starts", starts.scalar())
-        .withColumn(
-            name, F.element_at("_starts", F.col("_range").cast("int"))["_start"] + F.col("_within")
-        )
+        .withColumn(name, F.get("_starts", F.col("_range"))["_start"] + F.col("_within"))
         .drop("_range", "_within", "_starts")
     )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int = RANGES
-) -> DataFrame:
-    """Exact quantiles, interpolated linearly -> metric, probability, quantile.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per distinct value of each column -> metric, value, n; missing values left out.
 
-    Works on the counts per distinct value, so repeated values collapse before the
-    shuffle and no task ever holds a whole column.
+    Repeated values collapse before the shuffle, and no task ever holds a whole column.
     """
     cells = F.array(
         *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
     )
     values = df.select(F.explode(cells).alias("cell")).select("cell.*")
     values = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = values.groupBy("metric", "value").agg(F.count("*").alias("n"))
+    return values.groupBy("metric", "value").agg(F.count("*").alias("n"))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, probabilities: Sequence[float], ranges: int | None = None
+) -> DataFrame:
+    """Exact quantiles, interpolated linearly, of `value_counts`
+    -> metric, probability, quantile"""
     placed = running_total(counts, ["metric", "value"], "n", "before", ranges)
 
     # One row per metric and probability: the two neighbouring positions (0-based,
@@ -125,10 +123,10 @@ def exact_quantiles(
         )
     )
 
-    def holds(position: str):
+    def holds(position: str) -> Column:
         return (F.col("before") <= F.col(position)) & (F.col(position) < F.col("before") + F.col("n"))
 
-    # Fixed size: len(columns) * len(probabilities) rows.
+    # Fixed size: one row per metric and probability.
     hits = placed.join(
         F.broadcast(points),
         (F.col("metric") == F.col("p_metric")) & (holds("lower") | holds("upper")),
@@ -147,6 +145,13 @@ def exact_quantiles(
     )
 
 
-def exact_median(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int | None = None
+) -> DataFrame:
+    """Exact quantiles of columns -> metric, probability, quantile"""
+    return quantiles_of_counts(value_counts(df, columns), probabilities, ranges)
+
+
+def exact_median(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """One row, one column: the median (mean of the two middle values)."""
     return exact_quantiles(df, [column], [0.5], ranges).agg(F.max("quantile").alias("median"))

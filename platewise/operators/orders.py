@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.operators.ordering import RANGES, running_total
+from platewise.operators.ordering import running_total
 from platewise.schemas import FUNNEL_STAGES, ORDER_VALUE_RANGE
 
 FIRST_ORDER_NUMBER = 100000  # fixed value
@@ -19,13 +19,14 @@ def orders_from_events(
     order_stage: str = FUNNEL_STAGES[-1],
     order_by: Sequence[str] = ("order_ts", "session_id"),
     value_range: tuple[float, float] = ORDER_VALUE_RANGE,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One order per event of the order stage
     -> session_id, user_id, order_ts, order_value, order_id
 
     `value` is a column over the events; it is clamped to `value_range` and rounded
-    to 2 decimals. Ids are 'O100000', 'O100001', ... in `order_by` order.
+    to 2 decimals. Ids are 'O100000', 'O100001', ... in `order_by` order; equal rows
+    are ordered by their other columns.
     """
     low, high = value_range
     clamped = F.greatest(F.least(value.cast("double"), F.lit(float(high))), F.lit(float(low)))
@@ -36,6 +37,7 @@ def orders_from_events(
         F.when(value.isNotNull(), F.round(clamped, 2)).alias("order_value"),
         F.lit(1).alias("one"),
     )
-    numbered = running_total(placed, list(order_by), "one", "position", ranges)
+    rest = [c for c in ("order_ts", "session_id", "user_id", "order_value") if c not in order_by]
+    numbered = running_total(placed, [*order_by, *rest], "one", "position", ranges)
     order_id = F.concat(F.lit("O"), (F.col("position") + FIRST_ORDER_NUMBER).cast("string"))
     return numbered.select("session_id", "user_id", "order_ts", "order_value", order_id.alias("order_id"))

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import ordinal, rate
-from platewise.operators.ordering import RANGES, exact_quantiles
+from platewise.functions.numbers import ordinal, rate, ratio
+from platewise.operators.ordering import quantiles_of_counts, value_counts
 from platewise.operators.sessions import union_all
 from platewise.schemas import FUNNEL_STAGES
 
@@ -38,43 +38,60 @@ def null_profile(df: DataFrame, k: int = 10, digits: int = 3) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per statistic
     -> statistic, one column per summarised column
 
     Quartiles are exact, with linear interpolation.
     """
     quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    moments = df.agg(
-        *[
-            F.struct(
-                F.count(c).cast("double").alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
+    counts = value_counts(df, columns)
+    totals = counts.groupBy("metric").agg(
+        F.sum("n").alias("count"),
+        ratio(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    # One row per column and quartile.
-    found = exact_quantiles(df, columns, list(quartiles.values()), ranges).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("@", "metric", "probability"), "quantile")))
+    # One row per column.
+    centred = counts.join(F.broadcast(totals.select("metric", "count", "mean")), "metric").withColumn(
+        "shift", F.col("value") - F.col("mean")
     )
-    wide = moments.withColumn("_quantiles", found.scalar())
-
-    def cell(column: str, statistic: str):
-        if statistic in quartiles:
-            return F.try_element_at("_quantiles", F.lit(f"{column}@{quartiles[statistic]}"))
-        return F.col(f"`{column}`.`{statistic}`")
-
-    rows = F.array(
-        *[
-            F.struct(F.lit(s).alias("statistic"), *[cell(c, s).alias(c) for c in columns])
-            for s in ("count", "mean", "std", "min", *quartiles, "max")
-        ]
+    spread = centred.groupBy("metric").agg(
+        F.sqrt(
+            ratio(F.sum(F.col("n") * F.col("shift") * F.col("shift")), F.max("count") - 1)
+        ).alias("std")
+    )
+    by_statistic = [
+        totals.select("metric", F.expr("stack(4, 'count', double(count), 'mean', mean, 'min', min, 'max', max)")),
+        spread.select("metric", F.lit("std"), "std"),
+        quantiles_of_counts(counts, list(quartiles.values()), ranges).select(
+            "metric",
+            F.element_at(
+                F.create_map(*[F.lit(x) for name, p in quartiles.items() for x in (p, name)]), F.col("probability")
+            ),
+            "quantile",
+        ),
+    ]
+    # Eight rows per column at most from here on.
+    cells = union_all([df.toDF("metric", "statistic", "value") for df in by_statistic])
+    order = ["count", "mean", "std", "min", *quartiles, "max"]
+    names = F.array(*[F.lit(s) for s in order])
+    columns_of = [
+        F.max(F.when((F.col("metric") == c) & (F.col("statistic") == F.col("name")), F.col("value"))).alias(c)
+        for c in columns
+    ]
+    wide = (
+        cells.agg(F.collect_list(F.struct("metric", "statistic", "value")).alias("cells"))
+        .select(F.posexplode(names).alias("place", "name"), "cells")
+        .select("place", "name", F.explode_outer("cells").alias("cell"))
+        .select("place", "name", "cell.*")
+        .groupBy("place", "name")
+        .agg(*columns_of)
+    )
+    return wide.orderBy("place").select(
+        F.col("name").alias("statistic"),
+        *[F.when(F.col("name") == "count", F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in columns],
     )
-    return wide.select(F.explode(rows).alias("row")).select("row.*")
 
 
 def pk_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

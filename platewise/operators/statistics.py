@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.numbers import finite, ordinal, ratio
 from platewise.functions.tails import f_tail
-from platewise.operators.ordering import RANGES, running_total
+from platewise.operators.ordering import running_total
 
 
 def _correlation_row(r: Column, n: Column) -> list[Column]:
@@ -28,16 +28,29 @@ def _correlation_row(r: Column, n: Column) -> list[Column]:
     ]
 
 
-def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r over the rows where both columns are known, one row
-    -> statistic, f, dof1, dof2"""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    sums = df.agg(finite(F.corr(x, y)).alias("r"), F.count(F.when(both, 1)).alias("n"))
-    return sums.select(*_correlation_row(F.col("r"), F.col("n")))
+def pearson(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
+    """Pearson r of `y` with each predictor, over the rows where both are known
+    -> predictor, statistic, f, dof1, dof2; all predictors in one pass"""
+    columns = [F.col(x).cast("double") for x in predictors]
+    target = F.col(y).cast("double")
+    sums = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("predictor"),
+                    finite(F.corr(x, target)).alias("r"),
+                    F.count(F.when(x.isNotNull() & target.isNotNull(), 1)).alias("n"),
+                )
+                for name, x in zip(predictors, columns)
+            ]
+        ).alias("rows")
+    )
+    rows = sums.select(F.explode("rows").alias("row")).select("row.*")
+    return rows.select("predictor", *_correlation_row(F.col("r"), F.col("n")))
 
 
 def spearman_ordinal(
-    df: DataFrame, label: str, levels: Sequence[str], y: str, ranges: int = RANGES
+    df: DataFrame, label: str, levels: Sequence[str], y: str, ranges: int | None = None
 ) -> DataFrame:
     """Spearman's rho between an ordered label and a number, ties at their mean rank
     -> statistic, f, dof1, dof2

@@ -85,7 +85,6 @@ def orders_from_events(spark: SparkSession, sf: str) -> DataFrame:
         b.funnel_events(spark, sf),
         F.col("value") * 10,
         order_stage=b.STAGES[-1],
-        order_by=("order_ts", "session_id", "user_id", "order_value"),
     )
 
 
