@@ -30,6 +30,13 @@ def rate(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
+def open_ratio(numerator: Column, denominator: Column) -> Column:
+    """Float division as IEEE does it, with 0/0 as NULL: x/0 is infinite for x > 0."""
+    return F.when((denominator == 0) & (numerator > 0), float("inf")).otherwise(
+        ratio(numerator, denominator)
+    )
+
+
 def percent(value: Column, digits: int | None = 2) -> Column:
     scaled = F.lit(100.0) * value
     return scaled if digits is None else F.round(scaled, digits)
@@ -47,9 +54,13 @@ def ordinal(label: Column, levels: Sequence[str]) -> Column:
     return position
 
 
-def finite(value: Column) -> Column:
-    """NaN as NULL: the data model knows NULL only."""
-    return F.when(~F.isnan(value), value)
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r (aggregate) over the rows where both are known; NULL without spread.
+
+    The built-in corr raises on a constant column under ANSI mode.
+    """
+    known_x, known_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(known_x) * F.stddev_pop(known_y))
 
 
 def round_doubles(df: DataFrame, digits: int) -> DataFrame:

@@ -122,6 +122,7 @@ def f_tail(f: Column, dof1: Column, dof2: Column) -> Column:
     return (
         F.when(~(dof1 > 0) | ~(dof2 > 0), None)
         .when(f <= 0, 1.0)
+        .when(f == float("inf"), 0.0)
         .when(x < (a + 1.0) / (a + b + 2.0), front * _beta_fraction(a, b, x) / a)
         .when(f > 0, 1.0 - front * _beta_fraction(b, a, y) / b)
     )

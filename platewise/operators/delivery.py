@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import finite, maybe_round, ordinal, percent, rate
+from platewise.functions.numbers import correlation, maybe_round, ordinal, percent, rate
 from platewise.operators.ordering import exact_median
 from platewise.operators.sessions import union_all
 from platewise.operators.statistics import anova, pearson, spearman_ordinal, with_p_value
@@ -102,7 +102,7 @@ def delay_correlations(
     ).withColumn("traffic_ordinal", ordinal(F.col("traffic_density"), levels).cast("double"))
 
     def r(column: str, name: str) -> Column:
-        return maybe_round(finite(F.corr(column, "time_taken_min")), digits).alias(name)
+        return maybe_round(correlation(F.col(column), F.col("time_taken_min")), digits).alias(name)
 
     return complete.agg(
         r("distance_km", "corr_distance_vs_time"),

@@ -7,18 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import maybe_round, ratio
+from platewise.functions.numbers import maybe_round, open_ratio, ratio
 from platewise.operators.sessions import first_per_user, has_bit, session_rollup, session_stages
 from platewise.schemas import FUNNEL_STAGES
 
 
-def _open_ratio(numerator: Column, denominator: Column) -> Column:
-    """Float division as IEEE does it, with 0/0 as NULL: x/0 is infinite."""
-    return F.when((denominator == 0) & (numerator > 0), float("inf")).otherwise(
-        ratio(numerator, denominator)
-    )
-
-
 def _count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
 
@@ -60,14 +53,14 @@ def funnel(
     )
     rows = counts.select(F.explode(_unfold(counts, stages)).alias("row")).select("row.*")
     step = F.when(F.col("previous").isNull(), 1.0).otherwise(
-        F.coalesce(_open_ratio(F.col("sessions"), F.col("previous")), F.lit(1.0))
+        F.coalesce(open_ratio(F.col("sessions"), F.col("previous")), F.lit(1.0))
     )
     return rows.select(
         "stage",
         "sessions",
         step.alias("conversion_from_prev_stage"),
         (1.0 - step).alias("dropoff_from_prev_stage"),
-        _open_ratio(F.col("sessions"), F.col("top")).alias("conversion_from_top"),
+        open_ratio(F.col("sessions"), F.col("top")).alias("conversion_from_top"),
     )
 
 

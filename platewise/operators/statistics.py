@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import finite, ordinal, ratio
+from platewise.functions.numbers import correlation, open_ratio, ordinal, ratio
 from platewise.functions.tails import f_tail
 from platewise.operators.ordering import running_total
 
@@ -22,7 +22,7 @@ def _correlation_row(r: Column, n: Column) -> list[Column]:
     dof = n - F.lit(2)
     return [
         r.alias("statistic"),
-        ratio(r * r * dof, 1.0 - r * r).alias("f"),
+        open_ratio(r * r * dof, F.greatest(1.0 - r * r, F.lit(0.0))).alias("f"),
         F.lit(1.0).alias("dof1"),
         dof.cast("double").alias("dof2"),
     ]
@@ -38,7 +38,7 @@ def pearson(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
             *[
                 F.struct(
                     F.lit(name).alias("predictor"),
-                    finite(F.corr(x, target)).alias("r"),
+                    correlation(x, target).alias("r"),
                     F.count(F.when(x.isNotNull() & target.isNotNull(), 1)).alias("n"),
                 )
                 for name, x in zip(predictors, columns)
@@ -111,7 +111,7 @@ def anova(df: DataFrame, group: str, y: str) -> DataFrame:
             (F.count("*") - 1).cast("double").alias("dof1"),
             (F.sum("n") - F.count("*")).cast("double").alias("dof2"),
         )
-        .withColumn("f", ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2"))))
+        .withColumn("f", open_ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2"))))
     )
     return sums.select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
 

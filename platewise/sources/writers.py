@@ -23,7 +23,8 @@ def _as_csv_text(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header line. `single_file` is for report tables of a few rows."""
     text = _as_csv_text(df)
-    (text.coalesce(1) if single_file else text).write.mode("overwrite").option("header", True).csv(path)
+    writer = (text.coalesce(1) if single_file else text).write.mode("overwrite")
+    writer.option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
