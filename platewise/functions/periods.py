@@ -1,4 +1,8 @@
-"""Calendar columns. Months are dates on the 1st, weeks are dates on their Monday."""
+"""Calendar columns. Months are dates on the 1st, weeks are dates on their Monday.
+
+Timestamps have no zone; nothing here passes through the session's time zone, where
+an hour may be skipped or repeated.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ def month_label(date: Column) -> Column:
 
 
 def week_start(ts: Column) -> Column:
-    return F.to_date(F.date_trunc("week", ts))
+    return F.trunc(F.to_date(ts), "week")
 
 
 def week_end_month(monday: Column) -> Column:
@@ -37,4 +41,5 @@ def days_between(start: Column, end: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start, end) / F.lit(60.0)
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / F.lit(60.0)

@@ -30,8 +30,19 @@ def number(text: Column) -> Column:
 
 def day_month_year(date: Column, clock: Column) -> Column:
     """Timestamp without zone from 'dd-MM-yyyy' and 'HH:mm:ss'; NULL if either is bad."""
-    joined = F.concat(date, F.lit(" "), trimmed(clock))
-    return F.try_to_timestamp(joined, F.lit("d-M-yyyy H:m:s")).cast("timestamp_ntz")
+    d, t = F.split(date, "-"), F.split(trimmed(clock), ":")
+    year, second = F.get(d, F.lit(2)), F.get(t, F.lit(2)).try_cast("int")
+    stamp = F.call_function(
+        "try_make_timestamp_ntz",
+        year.try_cast("int"),
+        F.get(d, F.lit(1)).try_cast("int"),
+        F.get(d, F.lit(0)).try_cast("int"),
+        F.get(t, F.lit(0)).try_cast("int"),
+        F.get(t, F.lit(1)).try_cast("int"),
+        second,
+    )
+    well_formed = (F.size(d) == 3) & (F.size(t) == 3) & (F.length(year) == 4) & (second < 60)
+    return F.when(well_formed, stamp)
 
 
 def true_text(text: Column) -> Column:

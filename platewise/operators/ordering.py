@@ -51,8 +51,9 @@ def running_total(
     split = df.withColumns({"_key": key, "_borders": borders.scalar(), "_range": F.lit(0)})
     step = 1 << max(ranges - 1, 1).bit_length() - 1
     while step:
-        border = F.get("_borders", F.col("_range") + (step - 1))
-        split = split.withColumn("_range", F.col("_range") + F.when(border < F.col("_key"), step).otherwise(0))
+        split = split.withColumn(
+            "_range", F.expr(f"_range + if(get(_borders, _range + {step - 1}) < _key, {step}, 0)")
+        )
         step //= 2
     split = split.drop("_key", "_borders")
 

@@ -31,7 +31,8 @@ def plain(df: DataFrame, digits: int | None = None) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(f.dataType, T.TimestampNTZType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            text = column.cast("string")  # a zero fraction is left out
+            column = F.rpad(F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 26, "0")
         columns.append(column.alias(f.name))
     result = df.select(*columns)
     return result if digits is None else round_doubles(result, digits)

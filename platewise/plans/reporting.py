@@ -71,8 +71,14 @@ def report_tables(tables: dict[str, DataFrame], analysis_end: date) -> dict[str,
     }
 
 
+def _store_folder(spark: SparkSession, out_path: str) -> str:
+    """Where intermediate tables go: the cluster's checkpoint folder, else the results."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/platewise-{spark.sparkContext.applicationId}" if shared else f"{out_path}/store"
+
+
 def run(spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date) -> None:
-    store = f"{out_path}/store"
+    store = _store_folder(spark, out_path)
     cleaned = _stored(spark, clean_orders(read_raw_orders(spark, raw_path)), f"{store}/real_orders")
     write_csv(cleaned, f"{out_path}/real_orders_clean")
     tables = {"real_orders": cleaned}

@@ -115,6 +115,32 @@ def test_pickup_after_midnight(clean):
     assert r.pickup_datetime == ts("2022-03-20T00:10") and r.prep_time_min == 20.0
 
 
+@pytest.mark.parametrize("clock", ["11:30", "11:30:60", "11:30:00:00", "11:30:00.5", "x:30:00", "-1:30:00", ""])
+def test_malformed_clock(clean, clock):
+    assert clean(Time_Orderd=clock).order_datetime is None
+
+
+@pytest.mark.parametrize("day", ["2022-03-19", "19-03-22", "19/03/2022", "00-03-2022", "19-13-2022"])
+def test_malformed_date(clean, day):
+    assert clean(Order_Date=day).order_datetime is None
+
+
+def test_single_digits(clean):
+    assert clean(Order_Date="9-3-2022", Time_Orderd="9:5:3").order_datetime == ts("2022-03-09T09:05:03")
+
+
+def test_the_session_time_zone_does_not_matter(spark, clean, table, rows):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # 02:30 does not exist there on that day
+        r = clean(Order_Date="13-03-2022", Time_Orderd="02:30:00", Time_Order_picked="03:10:00")
+        opens = table(OPENS, ("u", ts("2022-03-13T02:30"), "app_open"))
+        assert rows(wau(opens)) == [(date(2022, 3, 7), 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert r.order_datetime == ts("2022-03-13T02:30") and r.prep_time_min == 40.0
+
+
 def test_long_preparation_is_dropped_but_not_the_times(clean):
     r = clean(Time_Orderd="10:00:00", Time_Order_picked="12:30:00")
     assert r.prep_time_min is None and r.pickup_datetime == ts("2022-03-19T12:30")
