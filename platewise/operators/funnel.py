@@ -12,10 +12,6 @@ from platewise.operators.sessions import first_per_user, has_bit, session_rollup
 from platewise.schemas import FUNNEL_STAGES
 
 
-def _count_if(condition: Column) -> Column:
-    return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
-
-
 def _unfold(counts: DataFrame, stages: Sequence[str], prefix: str = "at") -> Column:
     """The one-row counts as an array of (stage, order, sessions, previous, top)."""
     at = [F.col(f"{prefix}_{k}") for k in range(len(stages))]
@@ -49,7 +45,7 @@ def funnel(
     if view == "first_session":
         sessions = first_per_user(sessions, "stage_bits")
     counts = sessions.agg(
-        *[_count_if(has_bit(F.col("stage_bits"), k)).alias(f"at_{k}") for k in range(len(stages))]
+        *[F.count_if(has_bit("stage_bits", k)).alias(f"at_{k}") for k in range(len(stages))]
     )
     rows = counts.select(F.explode(_unfold(counts, stages)).alias("row")).select("row.*")
     step = F.when(F.col("previous").isNull(), 1.0).otherwise(
@@ -85,11 +81,11 @@ def funnel_by_depth(
         .groupBy("user_id")
         .agg(
             F.min(F.struct("start_ts", "session_id", "max_stage_order")).alias("first"),
-            *[_count_if(reached(k)).alias(f"all_{k}") for k in depth],
+            *[F.count_if(reached(k)).alias(f"all_{k}") for k in depth],
         )
     )
     counts = users.agg(
-        *[_count_if(reached(k, "first.max_stage_order")).alias(f"first_{k}") for k in depth],
+        *[F.count_if(reached(k, "first.max_stage_order")).alias(f"first_{k}") for k in depth],
         *[F.coalesce(F.sum(f"all_{k}"), F.lit(0)).alias(f"blended_{k}") for k in depth],
     )
     views = F.array(

@@ -58,13 +58,11 @@ def _user_months(events: DataFrame, open_stage: str) -> DataFrame:
         .groupBy("user_id", "month")
         .agg(F.bit_or("day_bit").alias("days"))
     )
-    # Aligned to weeks: bit 0 is the Monday of the month's first week.
-    aligned = F.expr("shiftleft(days, weekday(month))")
-    weeks = F.lit(0).cast("bigint")
-    for k in range(WEEK_SLOTS):
-        touched = F.shiftright(aligned, 7 * k).bitwiseAND(F.lit(127)) != 0
-        weeks = weeks + F.when(touched, F.lit(1 << k)).otherwise(F.lit(0))
-    return per_month.withColumn("weeks", weeks)
+    # Aligned to weeks, bit 0 is the Monday of the month's first week.
+    weeks = " + ".join(
+        f"if((shiftright(shiftleft(days, weekday(month)), {7 * k}) & 127) != 0, {1 << k}, 0)" for k in range(WEEK_SLOTS)
+    )
+    return per_month.withColumn("weeks", F.expr(weeks).cast("bigint"))
 
 
 def _mean_per_slot(bits: str) -> Column:
@@ -77,8 +75,8 @@ def _mean_per_slot(bits: str) -> Column:
 
 def _weekly_by_sunday(user_months: DataFrame) -> DataFrame:
     """Mean WAU per month, a whole week belonging to the month of its Sunday."""
-    slots = F.array(*[F.when(F.col("weeks").bitwiseAND(F.lit(1 << k)) != 0, k) for k in range(WEEK_SLOTS)])
-    weeks = user_months.select("user_id", "month", F.explode(F.array_compact(slots)).alias("slot")).select(
+    slots = F.expr(f"filter(sequence(0, {WEEK_SLOTS - 1}), k -> getbit(weeks, k) = 1)")
+    weeks = user_months.select("user_id", "month", F.explode(slots).alias("slot")).select(
         "user_id", F.expr("date_add(date_sub(month, weekday(month)), 7 * slot)").alias("week")
     )
     return (

@@ -113,36 +113,27 @@ def quantiles_of_counts(
     by_name = Window.orderBy("metric").rowsBetween(Window.unboundedPreceding, -1)
     points = (
         per_metric.withColumn("start", F.coalesce(F.sum("rows").over(by_name), F.lit(0)))
-        .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("place", F.col("probability") * (F.col("rows") - 1))
-        .select(
-            F.col("metric").alias("p_metric"),
+        .withColumn("probability", F.explode(F.lit([float(p) for p in probabilities])))
+        .selectExpr("*", "probability * (rows - 1) AS place")
+        .selectExpr(
+            "metric AS p_metric",
             "probability",
-            (F.col("start") + F.floor("place")).alias("lower"),
-            (F.col("start") + F.ceil("place")).alias("upper"),
-            (F.col("place") - F.floor("place")).alias("upper_weight"),
+            "start + floor(place) AS lower",
+            "start + ceil(place) AS upper",
+            "place - floor(place) AS upper_weight",
         )
     )
-
-    def holds(position: str) -> Column:
-        return (F.col("before") <= F.col(position)) & (F.col(position) < F.col("before") + F.col("n"))
-
+    holds_lower = "(before <= lower AND lower < before + n)"
+    holds_upper = "(before <= upper AND upper < before + n)"
     # Fixed size: one row per metric and probability.
-    hits = placed.join(
-        F.broadcast(points),
-        (F.col("metric") == F.col("p_metric")) & (holds("lower") | holds("upper")),
-    )
+    hits = placed.join(F.broadcast(points), F.expr(f"metric = p_metric AND ({holds_lower} OR {holds_upper})"))
     return (
         hits.groupBy("metric", "probability", "upper_weight")
         .agg(
-            F.max(F.when(holds("lower"), F.col("value"))).alias("low"),
-            F.max(F.when(holds("upper"), F.col("value"))).alias("high"),
-        )
-        .select(
-            "metric",
-            "probability",
-            (F.col("low") + F.col("upper_weight") * (F.col("high") - F.col("low"))).alias("quantile"),
+            F.expr(f"max(CASE WHEN {holds_lower} THEN value END)").alias("low"),
+            F.expr(f"max(CASE WHEN {holds_upper} THEN value END)").alias("high"),
         )
+        .selectExpr("metric", "probability", "low + upper_weight * (high - low) AS quantile")
     )
 
 

@@ -64,8 +64,8 @@ def first_per_user(sessions: DataFrame, payload: str) -> DataFrame:
     )
 
 
-def has_bit(bits: Column, position: int) -> Column:
-    return bits.bitwiseAND(F.lit(1 << position)) != 0
+def has_bit(bits: str, position: int) -> Column:
+    return F.getbit(bits, F.lit(position)) == 1
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
