@@ -20,12 +20,10 @@ def without(text: Column, literal: str) -> Column:
 def number(text: Column) -> Column:
     """Double from text, NULL when it is not a number.
 
-    The cast reads numbers as Java does: 'NaN' gives a NaN, a type letter ('1.5d',
-    '2F') or a binary exponent ('0x1p3') is taken. All of these are bad text here.
-    The expression is kept this small because a cleaning step holds many of them in
-    one generated method, and the JVM leaves long methods uncompiled.
+    Any letter but the exponent's e makes it bad text: the cast alone would read
+    'NaN', 'Infinity', '1.5d' and '0x1p3' as numbers.
     """
-    return F.nanvl(F.translate(text, "dDfFpP", "xxxxxx").try_cast("double"), F.lit(None))
+    return F.when(~text.rlike("[A-DF-Za-df-z]"), text.try_cast("double"))
 
 
 def day_month_year(date: Column, clock: Column) -> Column:

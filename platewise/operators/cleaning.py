@@ -26,19 +26,23 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     if missing:
         raise ValueError(f"raw orders lack the columns {missing}")
     col = {name: F.col(f"`{name}`") for name in RAW_ORDER_COLUMNS}
-    # The plain labels are cleaned as one array: written out one by one they would
-    # make the generated method of this step too long for the JVM to compile.
-    labels = {
-        "order_id": "ID",
-        "delivery_person_id": "Delivery_person_ID",
-        "traffic_density": "Road_traffic_density",
-        "order_type": "Type_of_order",
-        "vehicle_type": "Type_of_vehicle",
-        "festival": "Festival",
-        "city_type": "City",
-    }
+    # Written as a transform, the weather keeps this projection out of whole-stage
+    # code generation. Its expressions then become small methods of their own; fused
+    # into one they pass the 8000 bytes beyond which the JVM leaves a method uncompiled.
+    weather = F.get(
+        F.transform(
+            F.array(col["Weatherconditions"]), lambda text: trimmed(without(trimmed(text), "conditions "))
+        ),
+        F.lit(0),
+    )
     parsed = df.select(
-        F.transform(F.array(*[col[source] for source in labels.values()]), trimmed).alias("labels"),
+        trimmed(col["ID"]).alias("order_id"),
+        trimmed(col["Delivery_person_ID"]).alias("delivery_person_id"),
+        trimmed(col["Road_traffic_density"]).alias("traffic_density"),
+        trimmed(col["Type_of_order"]).alias("order_type"),
+        trimmed(col["Type_of_vehicle"]).alias("vehicle_type"),
+        trimmed(col["Festival"]).alias("festival"),
+        trimmed(col["City"]).alias("city_type"),
         number(col["Delivery_person_Age"]).alias("delivery_person_age"),
         number(col["Delivery_person_Ratings"]).alias("delivery_person_rating"),
         day_month_year(col["Order_Date"], col["Time_Orderd"]).alias("order_datetime"),
@@ -47,7 +51,7 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
         number(col["Restaurant_longitude"].cast("string")).alias("lon1"),
         number(col["Delivery_location_latitude"].cast("string")).alias("lat2"),
         number(col["Delivery_location_longitude"].cast("string")).alias("lon2"),
-        trimmed(without(trimmed(col["Weatherconditions"]), "conditions ")).alias("weather"),
+        weather.alias("weather"),
         number(col["Vehicle_condition"].cast("string")).cast("int").alias("vehicle_condition"),
         number(col["multiple_deliveries"]).alias("multiple_deliveries"),
         number(without(col["Time_taken(min)"], "(min) ")).alias("time_taken_min"),
@@ -60,7 +64,7 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     derived = parsed.withColumns({"pickup_datetime": rolled, "distance": distance})
 
     prep = minutes_between(F.col("order_datetime"), F.col("pickup_datetime"))
-    return derived.withColumns({name: F.get("labels", F.lit(i)) for i, name in enumerate(labels)}).select(
+    return derived.select(
         "order_id",
         "delivery_person_id",
         "delivery_person_age",

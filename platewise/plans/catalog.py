@@ -143,7 +143,7 @@ QUERIES: dict[str, Query] = {
     "ab_chi2_equals_z2": lambda s, d: plain(experiment.ab_chi2_equals_z2(b.ab_sessions(s, d)), 6),
     "norm_tail_functions": lambda s, d: plain(norm_tail_functions(s, d), 8),
     # cleaning, profiles, checks
-    "clean_orders": lambda s, d: plain(_cleaned(s, d), 6),
+    "clean_orders": lambda s, d: plain(_cleaned(s, d).withColumn("distance_km", F.round("distance_km", 6))),
     "null_profile": lambda s, d: quality.null_profile(_cleaned(s, d)),
     "numeric_summary": lambda s, d: plain(quality.numeric_summary(_cleaned(s, d), SUMMARY_COLUMNS), 6),
     "row_counts": row_counts,

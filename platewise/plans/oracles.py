@@ -473,7 +473,9 @@ SELECT o_orderkey, round({_zs("z", True)}, 8) AS sf, round({_zs("z", False)}, 8)
         f"strftime({c}, {TS}) AS {c}"
         if c.endswith("datetime")
         else f"CAST(round({c}, 6) AS DOUBLE) AS {c}"
-        if c in ("delivery_person_rating", "distance_km")
+        if c == "distance_km"
+        else f"CAST({c} AS DOUBLE) AS {c}"
+        if c == "delivery_person_rating"
         else c
         for c in ORDER_COLUMNS
     )
