@@ -465,3 +465,17 @@ def test_calibration_band(table):
     assert got["orders_per_ordering_user:2024-02"].in_band is False
     assert got["D1_retention"].value == 0.5 and got["D1_retention"].in_band is None
     assert got["sessions:browse"].value == 0.0 and got["overall_conversion"].value == 1.0
+
+
+# --- skew ------------------------------------------------------------------------
+def test_one_user_with_a_third_of_all_events(spark, rows):
+    who = "if(id % 3 = 0, 'hot', concat('u', id % 500)) AS user_id"
+    when = "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 20 as int)) AS event_ts"
+    events = spark.range(30000).selectExpr(who, when, "'app_open' AS stage").cache()
+    users = events.select("user_id").distinct().withColumn("signup_date", F.lit(date(2024, 1, 1)))
+    seen = {(r.user_id, r.event_ts.day - 1) for r in events.collect()}
+    everyone = len({u for u, _ in seen})
+    got = rows(retention_curve(users, events, date(2024, 1, 31), max_day=19))
+    assert got == [(d, sum(n == d for _, n in seen) / everyone, everyone) for d in range(1, 20)]
+    (r,) = growth_monthly(events, events.selectExpr("user_id", "event_ts AS order_ts", "0.1D AS order_value")).collect()
+    assert (r["MAU"], r["DAU_avg"], r["orders"], r["revenue"]) == (everyone, len(seen) / 20, 30000, 3000.0)
