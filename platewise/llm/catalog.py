@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import chat, encoding, language_id, line_dedup, minhash, packing, quality_rules, topk, weak_labels
+from platewise.llm import chat, encoding, language_id, line_dedup, minhash, packing, quality_rules, suffixes, topk, weak_labels
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": lambda spark, sf_dir: chat.formatted_digest(table(spark, sf_dir, "conversations")),
     "op7_topk": lambda spark, sf_dir: topk.top_scores(table(spark, sf_dir, "embeddings")),
     "op8_language_id": _documents(language_id.identified),
+    "op9_suffix_dedup": _documents(suffixes.removed_digest),
     "op10_minhash": _documents(minhash.components_digest),
 }
 
