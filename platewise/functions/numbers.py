@@ -14,17 +14,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def money(value: Column) -> Column:
-    """Exact decimal for sums of money: the total does not depend on the order of summing."""
-    return value.try_cast("decimal(18,4)")
-
-
-def money_per(total: Column, count: Column, digits: int) -> Column:
-    """A money total per head, rounded half up on the exact decimal; NULL for a zero count."""
-    heads = F.nullif(count, F.lit(0)).cast("decimal(18,0)")
-    return F.round(total.cast("decimal(28,4)") / heads, digits).cast("double")
-
-
 def rate(flag: Column) -> Column:
     """Share of true values (aggregate); NULL flags are skipped."""
     return F.avg(flag.cast("double"))

@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: blank, tab, LF, CR, FF, VT, next line, no-break space.
+WHITE_SPACE = " \t\n\r\f\v\u0085\u00a0"
+
+
 def trimmed(text: Column) -> Column:
-    """Trimmed text; blanks and the spellings of 'not a number' give NULL."""
-    value = F.trim(text)
+    """Text without white space around it; empty text and the spellings of 'not a number' give NULL."""
+    value = F.trim(text, F.lit(WHITE_SPACE))
     return F.when(~value.isin("", "NaN", "nan"), value)
 
 
@@ -23,7 +27,14 @@ def number(text: Column) -> Column:
     Any letter but the exponent's e makes it bad text: the cast alone would read
     'NaN', 'Infinity', '1.5d' and '0x1p3' as numbers.
     """
-    return F.when(~text.rlike("[A-DF-Za-df-z]"), text.try_cast("double"))
+    value = F.trim(text, F.lit(WHITE_SPACE))
+    return F.when(~value.rlike("[A-DF-Za-df-z]"), value.try_cast("double"))
+
+
+def whole(text: Column) -> Column:
+    """Integer from text, NULL for a fraction or what an integer cannot hold."""
+    value = number(text)
+    return F.when(value == F.floor(value), value.try_cast("int"))
 
 
 def day_month_year(date: Column, clock: Column) -> Column:

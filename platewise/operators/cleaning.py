@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.geo import haversine_km
 from platewise.functions.periods import minutes_between
-from platewise.functions.text import day_month_year, number, trimmed, without
+from platewise.functions.text import day_month_year, number, trimmed, whole, without
 from platewise.schemas import RAW_ORDER_COLUMNS, SLA_MINUTES
 
 # Longest plausible preparation, and the plausible distances.
@@ -26,15 +26,7 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     if missing:
         raise ValueError(f"raw orders lack the columns {missing}")
     col = {name: F.col(f"`{name}`") for name in RAW_ORDER_COLUMNS}
-    # Written as a transform, the weather keeps this projection out of whole-stage
-    # code generation. Its expressions then become small methods of their own; fused
-    # into one they pass the 8000 bytes beyond which the JVM leaves a method uncompiled.
-    weather = F.get(
-        F.transform(
-            F.array(col["Weatherconditions"]), lambda text: trimmed(without(trimmed(text), "conditions "))
-        ),
-        F.lit(0),
-    )
+    weather = trimmed(without(trimmed(col["Weatherconditions"]), "conditions "))
     parsed = df.select(
         trimmed(col["ID"]).alias("order_id"),
         trimmed(col["Delivery_person_ID"]).alias("delivery_person_id"),
@@ -52,7 +44,7 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
         number(col["Delivery_location_latitude"].cast("string")).alias("lat2"),
         number(col["Delivery_location_longitude"].cast("string")).alias("lon2"),
         weather.alias("weather"),
-        number(col["Vehicle_condition"].cast("string")).cast("int").alias("vehicle_condition"),
+        whole(col["Vehicle_condition"].cast("string")).alias("vehicle_condition"),
         number(col["multiple_deliveries"]).alias("multiple_deliveries"),
         number(without(col["Time_taken(min)"], "(min) ")).alias("time_taken_min"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platewise.functions.numbers import correlation, maybe_round, ordinal, percent, rate
 from platewise.operators.ordering import exact_median
 from platewise.operators.sessions import union_all
-from platewise.operators.statistics import anova, pearson, spearman_ordinal, with_p_value
+from platewise.operators.statistics import pearson_and_anova, spearman_ordinal, with_p_value
 from platewise.schemas import TRAFFIC_LEVELS
 
 
@@ -112,15 +112,22 @@ def delay_correlations(
 
 
 def delay_stats(
-    orders: DataFrame, levels: Sequence[str] = TRAFFIC_LEVELS, ranges: int | None = None
+    orders: DataFrame,
+    levels: Sequence[str] = TRAFFIC_LEVELS,
+    ranges: int | None = None,
+    untrafficked: DataFrame | None = None,
 ) -> DataFrame:
     """Four tests of what goes with delivery time -> test, method, statistic, p_value
 
-    Each test uses the rows that know its own two columns.
+    Each test uses the rows that know its own two columns. Where traffic comes from a
+    join, `untrafficked` may give the same rows before it, for the three tests that look
+    at other columns; those share one pass.
     """
     tidy = orders.withColumn("traffic_density", F.trim("traffic_density"))
     y = "time_taken_min"
-    correlations = pearson(orders, y, ["distance_km", "multiple_deliveries"]).select(
+    predictors = ["distance_km", "multiple_deliveries"]
+    pearson, anova = pearson_and_anova(orders if untrafficked is None else untrafficked, y, predictors, "weather")
+    correlations = pearson.select(
         F.concat("predictor", F.lit(f" vs {y}")).alias("test"),
         F.lit("Pearson r").alias("method"),
         "statistic", "f", "dof1", "dof2",
@@ -128,7 +135,7 @@ def delay_stats(
     ranks = spearman_ordinal(tidy, "traffic_density", levels, y, ranges).select(
         F.lit(f"traffic_density (ordinal) vs {y}").alias("test"), F.lit("Spearman rho").alias("method"), "*"
     )
-    variances = anova(orders, "weather", y).select(
+    variances = anova.select(
         F.lit(f"weather vs {y}").alias("test"), F.lit("One-way ANOVA F").alias("method"), "*"
     )
     stacked = union_all([correlations, ranks, variances])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import maybe_round, money, money_per, percent, rate, ratio
+from platewise.functions.numbers import maybe_round, percent, rate, ratio
 from platewise.functions.periods import day, month_label, month_start, week_end_month, week_start
 from platewise.schemas import FUNNEL_STAGES
 
@@ -96,7 +96,8 @@ def _orders_by_user(orders: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.count("order_value").alias("valued"),
-            F.sum(money(F.col("order_value"))).alias("value"),
+            # in the column's own type: exact for decimals, and nothing is cast away
+            F.sum("order_value").alias("value"),
         )
     )
 
@@ -118,13 +119,11 @@ def _orders_by_month(orders: DataFrame) -> DataFrame:
 
 def _aov(digits: int | None) -> Column:
     """Mean value of the orders that have one."""
-    if digits is None:
-        return ratio(F.col("revenue"), F.col("valued_orders"))
-    return money_per(F.col("revenue"), F.col("valued_orders"), digits)
+    return maybe_round(ratio(F.col("revenue"), F.col("valued_orders")), digits)
 
 
 def _revenue(digits: int | None) -> Column:
-    return maybe_round(F.col("revenue"), digits).cast("double")
+    return maybe_round(F.col("revenue").cast("double"), digits)
 
 
 def orders_monthly(orders: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -233,7 +232,7 @@ def growth_monthly_split(events: DataFrame, orders: DataFrame, open_stage: str =
             F.round(ratio(F.col("orders"), F.col("mau")), 2).alias("orders_per_mau"),
             _aov(2).alias("aov"),
             _revenue(2).alias("revenue"),
-            money_per(F.round("revenue", 2), F.col("mau"), 2).alias("revenue_per_mau"),
+            F.round(ratio(_revenue(2), F.col("mau")), 2).alias("revenue_per_mau"),
             F.round("repeat_rate", 4).alias("repeat_order_rate_within_month"),
         )
         .orderBy("month")

@@ -2,24 +2,34 @@
 
 A running total over a whole table written as an unpartitioned window runs in one
 task. Here the rows are cut into ranges of about equal size, each range is summed
-by its own window partition, and the totals of the earlier ranges (at most
-`ranges` numbers) are added.
+by its own window partition, and the totals of the earlier ranges (one number
+each) are added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 16384  # the borders travel through the driver as one row
-
-
 def default_ranges(df: DataFrame) -> int:
     """Four ranges per shuffle partition: that setting already follows the size of the data."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(4 * partitions, 64), MAX_RANGES)
+    return max(4 * partitions, 64)
+
+
+def range_borders(keys: DataFrame, order_by: Sequence[str], ranges: int) -> DataFrame:
+    """One row, one column: about `ranges` of the distinct keys, in order.
+
+    Taken are the keys whose hash is below a threshold, which each task tells by itself.
+    Being a function of the data alone, the pick comes out the same when a lost task is
+    run again.
+    """
+    share = ranges / F.greatest(keys.agg(F.count("*")).scalar(), F.lit(1)).cast("double")
+    key = F.struct(*order_by)
+    picked = keys.select(key.alias("key")).filter(F.xxhash64("key").cast("double") < share * float(1 << 64) - float(1 << 63))
+    return picked.agg(F.sort_array(F.collect_list("key")))
 
 
 def running_total(
@@ -29,27 +39,21 @@ def running_total(
     name: str = "before",
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add `name`: the total `weight` of all rows ordered before the row.
+    """`order_by`, `weight` and `name`: the total weight of all rows ordered before.
 
-    `order_by` should identify a row; rows that tie on it fall into one range, in
-    arbitrary order. `weight` is a positive integer column.
+    Rows that agree in `order_by` become one, their weights added before the shuffle, so a
+    key that most rows share is one row. `weight` is a positive integer column.
 
-    The range borders are the keys with the smallest hashes, which is a uniform
-    pick of the keys and, being a function of the data alone, comes out the same
-    when a lost task is run again. They only steer the split: every row is kept.
+    The range borders only steer the split: every row is kept.
     """
     ranges = ranges or default_ranges(df)
+    df = df.groupBy(*order_by).agg(F.sum(weight).alias(weight)).filter(F.col(weight) > 0)
     key = F.struct(*order_by)
-    borders = (
-        df.filter(F.col(weight) > 0)
-        .select(key.alias("_key"))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(ranges - 1)
-        .agg(F.array_distinct(F.sort_array(F.collect_list("_key"))))
-    )
-    # Binary search: _range becomes the number of borders below the key.
+    borders = range_borders(df, order_by, ranges)
+    # Binary search: _range becomes the number of borders below the key. Places beyond the
+    # last border are NULL and never taken; the pick is all but never above twice `ranges`.
     split = df.withColumns({"_key": key, "_borders": borders.scalar(), "_range": F.lit(0)})
-    step = 1 << max(ranges - 1, 1).bit_length() - 1
+    step = 1 << (4 * ranges + 64).bit_length()
     while step:
         split = split.withColumn(
             "_range", F.expr(f"_range + if(get(_borders, _range + {step - 1}) < _key, {step}, 0)")
@@ -69,7 +73,7 @@ def running_total(
             F.lit(0),
         ),
     )
-    # At most `ranges` rows from here on, numbered 0, 1, ... without gaps, since
+    # One row per range from here on, numbered 0, 1, ... without gaps, since
     # every border is itself a row of the range it closes.
     starts = (
         split.groupBy("_range")
@@ -87,61 +91,79 @@ def running_total(
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per distinct value of each column -> metric, value, n; missing values left out.
+def row_positions(df: DataFrame, order_by: Sequence[str], name: str = "position", ranges: int | None = None) -> DataFrame:
+    """Every row of `order_by` with its position 0, 1, ... in that order.
 
-    Repeated values collapse before the shuffle, and no task ever holds a whole column.
+    Equal rows are counted, placed as one and unfolded again.
     """
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    values = df.select(F.explode(cells).alias("cell")).select("cell.*")
-    values = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return values.groupBy("metric", "value").agg(F.count("*").alias("n"))
+    placed = running_total(df.select(*order_by, F.lit(1).alias("_rows")), order_by, "_rows", "_before", ranges)
+    last = F.col("_before") + F.col("_rows") - 1
+    return placed.select(*order_by, F.explode(F.sequence("_before", last)).alias(name))
 
 
-def quantiles_of_counts(
-    counts: DataFrame, probabilities: Sequence[float], ranges: int | None = None
-) -> DataFrame:
-    """Exact quantiles, interpolated linearly, of `value_counts`
-    -> metric, probability, quantile"""
-    placed = running_total(counts, ["metric", "value"], "n", "before", ranges)
-
-    # One row per metric and probability: the two neighbouring positions (0-based,
-    # counted over all metrics in order) and the weight of the upper one.
-    per_metric = counts.groupBy("metric").agg(F.sum("n").alias("rows"))
-    by_name = Window.orderBy("metric").rowsBetween(Window.unboundedPreceding, -1)
-    points = (
-        per_metric.withColumn("start", F.coalesce(F.sum("rows").over(by_name), F.lit(0)))
-        .withColumn("probability", F.explode(F.lit([float(p) for p in probabilities])))
-        .selectExpr("*", "probability * (rows - 1) AS place")
-        .selectExpr(
-            "metric AS p_metric",
-            "probability",
-            "start + floor(place) AS lower",
-            "start + ceil(place) AS upper",
-            "place - floor(place) AS upper_weight",
-        )
-    )
-    holds_lower = "(before <= lower AND lower < before + n)"
-    holds_upper = "(before <= upper AND upper < before + n)"
-    # Fixed size: one row per metric and probability.
-    hits = placed.join(F.broadcast(points), F.expr(f"metric = p_metric AND ({holds_lower} OR {holds_upper})"))
-    return (
-        hits.groupBy("metric", "probability", "upper_weight")
-        .agg(
-            F.expr(f"max(CASE WHEN {holds_lower} THEN value END)").alias("low"),
-            F.expr(f"max(CASE WHEN {holds_upper} THEN value END)").alias("high"),
-        )
-        .selectExpr("metric", "probability", "low + upper_weight * (high - low) AS quantile")
-    )
+#: Ranks are bracketed to one part in so many of the rows.
+SKETCH_ACCURACY = 10_000
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int | None = None
 ) -> DataFrame:
-    """Exact quantiles of columns -> metric, probability, quantile"""
-    return quantiles_of_counts(value_counts(df, columns), probabilities, ranges)
+    """Exact quantiles, interpolated linearly -> metric, probability, quantile; NULL and NaN left out
+
+    Two scans. The first sketches each column and brackets every wanted rank between two
+    values. The second counts what lies below a bracket, a plain sum, and shuffles only the
+    values inside, a few in ten thousand of the rows, each distinct one once.
+    """
+    numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    probabilities = [float(p) for p in probabilities]
+    margin = 3.0 / SKETCH_ACCURACY
+    wanted = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
+    edges = F.array(*[F.lit(p) for p in wanted])
+
+    def bracket(i: int) -> Column:
+        sketch = F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY)
+        return F.struct(sketch.alias("edges"), F.count(f"c{i}").alias("rows"))
+
+    found = numbers.agg(F.struct(*[bracket(i).alias(f"c{i}") for i in range(len(columns))])).scalar()
+    n = len(probabilities)
+    cells = []
+    for i, c in enumerate(columns):
+        for k, p in enumerate(probabilities):
+            at = F.col("_found")[f"c{i}"]
+            # in fewer rows the margin is less than the step between two ranks
+            wide = at["rows"] >= SKETCH_ACCURACY
+            low = F.lit(None).cast("double") if wanted[k] <= 0 else F.when(wide, at["edges"][k])
+            high = F.lit(None).cast("double") if wanted[n + k] >= 1 else F.when(wide, at["edges"][n + k])
+            value = F.col(f"c{i}")
+            below, above = F.coalesce(value < low, F.lit(False)), F.coalesce(value > high, F.lit(False))
+            # all that lies below a bracket is one cell
+            cells.append(
+                F.when(
+                    value.isNotNull() & ~above,
+                    F.struct(F.lit(c).alias("metric"), F.lit(p).alias("probability"), F.when(~below, value).alias("value"), at["rows"].alias("rows")),
+                )
+            )
+    counts = (
+        numbers.withColumn("_found", found)
+        .select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        .groupBy("cell.metric", "cell.probability", "cell.rows", "cell.value")
+        .agg(F.count("*").alias("n"))
+    )
+    placed = running_total(counts, ["metric", "probability", "rows", "value"], "n", "before", ranges)
+    # One row per metric and probability: where its cells begin.
+    group = ["metric", "probability", "rows"]
+    start = placed.groupBy(*group).agg(F.min("before").alias("start")).withColumnsRenamed({c: f"p_{c}" for c in group})
+    ahead = F.expr("before - start")
+    place = F.col("probability") * (F.col("rows") - 1)
+
+    def value_at(position: Column) -> Column:
+        return F.max(F.when((F.col("ahead") <= position) & (position < F.col("ahead") + F.col("n")), F.col("value")))
+
+    joined = placed.join(F.broadcast(start), F.expr("metric = p_metric AND probability = p_probability"))
+    ends = joined.withColumn("ahead", ahead).groupBy("metric", "probability", place.alias("place")).agg(
+        value_at(F.floor(place)).alias("low"), value_at(F.ceil(place)).alias("high")
+    )
+    return ends.selectExpr("metric", "probability", "low + (place - floor(place)) * (high - low) AS quantile")
 
 
 def exact_median(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import ordinal, rate, ratio
-from platewise.operators.ordering import quantiles_of_counts, value_counts
-from platewise.operators.sessions import union_all
+from platewise.functions.numbers import ordinal, rate
+from platewise.operators.ordering import exact_quantiles
+from platewise.operators.sessions import stage_words, union_all
 from platewise.schemas import FUNNEL_STAGES
 
 
@@ -45,26 +45,28 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None =
     Quartiles are exact, with linear interpolation.
     """
     quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    counts = value_counts(df, columns)
-    totals = counts.groupBy("metric").agg(
-        F.sum("n").alias("count"),
-        ratio(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # One row per column.
-    centred = counts.join(F.broadcast(totals.select("metric", "count", "mean")), "metric").withColumn(
-        "shift", F.col("value") - F.col("mean")
-    )
-    spread = centred.groupBy("metric").agg(
-        F.sqrt(
-            ratio(F.sum(F.col("n") * F.col("shift") * F.col("shift")), F.max("count") - 1)
-        ).alias("std")
-    )
+    def known(c: str) -> Column:
+        return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+    # One row per column, in one pass.
+    totals = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("metric"),
+                    F.count(known(c)).cast("double").alias("count"),
+                    F.avg(known(c)).alias("mean"),
+                    F.nanvl(F.stddev_samp(known(c)), F.lit(None).cast("double")).alias("std"),
+                    F.min(known(c)).alias("min"),
+                    F.max(known(c)).alias("max"),
+                )
+                for c in columns
+            ]
+        ).alias("rows")
+    ).select(F.explode("rows").alias("row")).select("row.*")
     by_statistic = [
-        totals.select("metric", F.expr("stack(4, 'count', double(count), 'mean', mean, 'min', min, 'max', max)")),
-        spread.select("metric", F.lit("std"), "std"),
-        quantiles_of_counts(counts, list(quartiles.values()), ranges).select(
+        totals.select("metric", F.expr("stack(5, 'count', count, 'mean', mean, 'std', std, 'min', min, 'max', max)")),
+        exact_quantiles(df, columns, list(quartiles.values()), ranges).select(
             "metric",
             F.element_at(
                 F.create_map(*[F.lit(x) for name, p in quartiles.items() for x in (p, name)]), F.col("probability")
@@ -137,11 +139,13 @@ def stage_violations(events: DataFrame, stages: Sequence[str] = FUNNEL_STAGES) -
         .groupBy("session_id")
         .agg(
             F.sum(F.coalesce((position != F.col("stage_order")).cast("int"), F.lit(1))).alias("mismatches"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), position)).alias("bits"),
+            stage_words(position, len(stages)).alias("bits"),
+            F.max(position).alias("deepest"),
         )
     )
-    # 0..k all present means the bits read 2^(k+1) - 1.
-    skips = F.col("bits").bitwiseAND(F.col("bits") + 1) != 0
+    # All stages up to the deepest one are there: as many bits as it has places.
+    seen = F.aggregate("bits", F.lit(0), lambda total, word: total + F.bit_count(word))
+    skips = seen != F.col("deepest") + 1
     found = sessions.agg(
         F.coalesce(F.sum("mismatches"), F.lit(0)).alias("mismatches"),
         F.coalesce(F.sum(F.coalesce(skips, F.lit(True)).cast("bigint")), F.lit(0)).alias("skipping"),

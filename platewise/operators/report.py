@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import money, money_per, ratio
+from platewise.functions.numbers import ratio
 from platewise.functions.periods import month_label, month_start
 from platewise.operators.delivery import on_time_share
 from platewise.operators.experiment import ab_readout
@@ -43,7 +43,7 @@ def calibration_report(
         for name, df in (("users", users), ("funnel_event_rows", events), ("orders", orders))
     ]
     mean_value = _metrics(
-        orders.agg(money_per(F.sum(money(F.col("order_value"))), F.count("order_value"), 2).alias("aov")), F.lit("aov_mean"), F.col("aov")
+        orders.agg(F.round(F.avg("order_value").cast("double"), 2).alias("aov")), F.lit("aov_mean"), F.col("aov")
     )
 
     # One row per user and month before the check against the users.

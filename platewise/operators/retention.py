@@ -23,13 +23,15 @@ def _active_days(
     -> user_id, signup_date, day_n.
 
     Opens collapse to one row per user and date before the join, so a user with
-    very many events brings at most one row per calendar day to it.
+    very many events brings at most one row per calendar day to it. A user listed more
+    than once counts with the first signup, so every row here is another user and day.
     """
     opens = events.filter(F.col("stage") == open_stage)
     if until is not None:
         opens = opens.filter(F.col("event_ts") < F.date_add(until, 1).cast("timestamp_ntz"))
     opens = opens.select("user_id", day(F.col("event_ts")).alias("open_date")).distinct()
-    return opens.join(users.select("user_id", "signup_date"), "user_id").select(
+    signups = users.groupBy("user_id").agg(F.min("signup_date").alias("signup_date"))
+    return opens.join(signups, "user_id").select(
         "user_id", "signup_date", days_between(F.col("signup_date"), F.col("open_date")).alias("day_n")
     )
 
@@ -73,7 +75,7 @@ def cohort_retention(
         _active_days(users, events, open_stage)
         .filter(F.col("day_n").isin(*[int(n) for n in days]))
         .groupBy(cohort, "day_n")
-        .agg(F.countDistinct("user_id").alias("active_users"))
+        .agg(F.count("*").alias("active_users"))
     )
     active_users = F.coalesce(F.col("active_users"), F.lit(0))
     return (
@@ -122,7 +124,7 @@ def cohort_retention_wide(
         _active_days(users, events, open_stage, until=end)
         .filter(F.col("day_n").isin(*days) & _eligible(end, F.col("day_n")))
         .groupBy(cohort, "day_n")
-        .agg(F.countDistinct("user_id").alias("users"))
+        .agg(F.count("*").alias("users"))
         .groupBy("cohort_month")
         .agg(*[F.max(F.when(F.col("day_n") == n, F.col("users"))).alias(f"active_{n}") for n in days])
     )
@@ -163,7 +165,7 @@ def retention_curve(
         _active_days(users, events, open_stage, until=end)
         .filter(F.col("day_n").between(1, max_day) & _eligible(end, F.col("day_n")))
         .groupBy(F.col("day_n").alias("day"))
-        .agg(F.countDistinct("user_id").alias("active_users"))
+        .agg(F.count("*").alias("active_users"))
     )
     return (
         eligible.join(active, "day", "left")
@@ -201,7 +203,7 @@ def pooled_retention(
         _active_days(users, events, open_stage)
         .filter(F.col("day_n").isin(*days))
         .groupBy("day_n")
-        .agg(F.countDistinct("user_id").alias("active_users"))
+        .agg(F.count("*").alias("active_users"))
     )
     active_users = F.coalesce(F.col("active_users"), F.lit(0))
     return (

@@ -8,13 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.numbers import ordinal
 
-def _stage_bit(stage: Column, stages: Sequence[str]) -> Column:
-    """One bit per stage; unknown labels give no bit."""
-    bit = F.lit(None).cast("bigint")
-    for i, name in enumerate(stages):
-        bit = F.when(stage == name, F.lit(1 << i)).otherwise(bit)
-    return bit.cast("bigint")
+
+WORD = 62  # stages per word of bits
+
+
+def stage_words(position: Column, stages: int) -> Column:
+    """Aggregate: the stage positions seen, one bit each, in as many words as they need."""
+    words = []
+    for first in range(0, max(stages, 1), WORD):
+        place = F.when(position.between(first, first + WORD - 1), position - first)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+        words.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")))
+    return F.array(*words)
 
 
 def session_rollup(events: DataFrame) -> DataFrame:
@@ -33,18 +40,16 @@ def session_rollup(events: DataFrame) -> DataFrame:
 def session_stages(events: DataFrame, stages: Sequence[str]) -> DataFrame:
     """One row per session -> session_id, user_id, start_ts, stage_bits.
 
-    `stage_bits` has bit k set when the session shows an event of stage k, so
+    `stage_bits` has the bit of a stage set when the session shows an event of it, so
     "distinct sessions seen at a stage" becomes a plain sum with no second shuffle.
     """
-    if len(stages) > 62:
-        raise ValueError("at most 62 stages fit into the stage bits")
     return (
         events.filter(F.col("session_id").isNotNull())
         .groupBy("session_id")
         .agg(
             F.min("user_id").alias("user_id"),
             F.min("event_ts").alias("start_ts"),
-            F.coalesce(F.bit_or(_stage_bit(F.col("stage"), stages)), F.lit(0)).alias("stage_bits"),
+            stage_words(ordinal(F.col("stage"), stages), len(stages)).alias("stage_bits"),
         )
     )
 
@@ -65,7 +70,7 @@ def first_per_user(sessions: DataFrame, payload: str) -> DataFrame:
 
 
 def has_bit(bits: str, position: int) -> Column:
-    return F.getbit(bits, F.lit(position)) == 1
+    return F.getbit(F.get(bits, F.lit(position // WORD)), F.lit(position % WORD)) == 1
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import correlation, open_ratio, ordinal, ratio
+from platewise.functions.numbers import open_ratio, ordinal, ratio
 from platewise.functions.tails import f_tail
 from platewise.operators.ordering import running_total
 
@@ -28,25 +28,54 @@ def _correlation_row(r: Column, n: Column) -> list[Column]:
     ]
 
 
-def pearson(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
-    """Pearson r of `y` with each predictor, over the rows where both are known
-    -> predictor, statistic, f, dof1, dof2; all predictors in one pass"""
-    columns = [F.col(x).cast("double") for x in predictors]
+def _moments(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> DataFrame:
+    """One row per group with counts, means and central moments, of `y` and of each (x, y)."""
     target = F.col(y).cast("double")
-    sums = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("predictor"),
-                    correlation(x, target).alias("r"),
-                    F.count(F.when(x.isNotNull() & target.isNotNull(), 1)).alias("n"),
-                )
-                for name, x in zip(predictors, columns)
-            ]
-        ).alias("rows")
+    columns = [F.count(target).alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("variance")]
+    for i, name in enumerate(predictors):
+        x = F.col(name).cast("double")
+        both = x.isNotNull() & target.isNotNull()
+        x, t = F.when(both, x), F.when(both, target)
+        columns += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"x{i}"), F.avg(t).alias(f"y{i}")]
+        columns += [F.covar_pop(x, t).alias(f"xy{i}"), F.var_pop(x).alias(f"xx{i}"), F.var_pop(t).alias(f"yy{i}")]
+    return df.groupBy(group).agg(*columns)
+
+
+def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
+    """Pearson r of `y` with each predictor, over the rows where both are known
+    -> predictor, statistic, f, dof1, dof2; and the one-way analysis of variance of `y`
+    over the groups -> statistic, f, dof1, dof2.
+
+    Both come from the moments per group, one pass over the data. Moments of groups add up
+    around the common mean, so no digits are lost to large means.
+    """
+    moments = _moments(df, y, predictors, group)
+    # One row per group of the vocabulary from here on.
+    everywhere = Window.partitionBy()
+    centred = moments
+    for i in range(len(predictors)):
+        n = F.col(f"n{i}")
+        dx, dy = (F.col(f"{v}{i}") - ratio(F.sum(n * F.col(f"{v}{i}")).over(everywhere), F.sum(n).over(everywhere)) for v in "xy")
+        for name, within, between in (("sxy", "xy", dx * dy), ("sxx", "xx", dx * dx), ("syy", "yy", dy * dy)):
+            centred = centred.withColumn(f"{name}{i}", n * (F.col(f"{within}{i}") + between))
+    rows = []
+    for i, name in enumerate(predictors):
+        r = ratio(F.sum(f"sxy{i}"), F.sqrt(F.sum(f"sxx{i}")) * F.sqrt(F.sum(f"syy{i}")))
+        rows.append(F.struct(F.lit(name).alias("predictor"), r.alias("r"), F.sum(f"n{i}").alias("n")))
+    sums = centred.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
+    pearson = sums.select("predictor", *_correlation_row(F.col("r"), F.col("n")))
+
+    groups = moments.filter(F.col(group).isNotNull() & (F.col("n") > 0))
+    n, mean = F.col("n"), F.col("mean")
+    shift = mean - ratio(F.sum(n * mean).over(everywhere), F.sum(n).over(everywhere))
+    squares = groups.withColumn("shift", shift).agg(
+        F.sum(n * F.col("shift") * F.col("shift")).alias("between"),
+        F.sum(n * F.col("variance")).alias("within"),
+        (F.count("*") - 1).cast("double").alias("dof1"),
+        (F.sum(n) - F.count("*")).cast("double").alias("dof2"),
     )
-    rows = sums.select(F.explode("rows").alias("row")).select("row.*")
-    return rows.select("predictor", *_correlation_row(F.col("r"), F.col("n")))
+    f = open_ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2")))
+    return pearson, squares.withColumn("f", f).select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
 
 
 def spearman_ordinal(
@@ -95,27 +124,6 @@ def spearman_ordinal(
     return sums.select(rho.alias("rho"), "rows").select(*_correlation_row(F.col("rho"), F.col("rows")))
 
 
-def anova(df: DataFrame, group: str, y: str) -> DataFrame:
-    """One-way analysis of variance of `y` over the groups -> statistic, f, dof1, dof2"""
-    groups = (
-        df.filter(F.col(group).isNotNull() & F.col(y).isNotNull())
-        .groupBy(group)
-        .agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("variance"))
-    )
-    grand_mean = groups.agg(ratio(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
-    sums = (
-        groups.withColumn("shift", F.col("mean") - grand_mean)
-        .agg(
-            F.sum(F.col("n") * F.col("shift") * F.col("shift")).alias("between"),
-            F.sum(F.col("n") * F.col("variance")).alias("within"),
-            (F.count("*") - 1).cast("double").alias("dof1"),
-            (F.sum("n") - F.count("*")).cast("double").alias("dof2"),
-        )
-        .withColumn("f", open_ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2"))))
-    )
-    return sums.select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
-
-
 def with_p_value(tests: DataFrame) -> DataFrame:
     """Add p_value to rows of (f, dof1, dof2)."""
     return tests.withColumn("p_value", f_tail(F.col("f"), F.col("dof1"), F.col("dof2")))

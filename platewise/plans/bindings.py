@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STAGES = ("view", "click", "signup", "purchase")
 OPEN_STAGE = STAGES[0]
@@ -42,6 +43,44 @@ def funnel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, errors too. The recorded order comes from the event's number, so it
+    often differs from that of the stage."""
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"),
+        F.col("event_type").alias("stage"),
+        (F.col("event_id") % 4).cast("int").alias("stage_order"),
+    )
+
+
+TYPED = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("event_ts", T.TimestampNTZType()),
+        T.StructField("day", T.DateType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("stage_order", T.IntegerType()),
+        T.StructField("stage", T.StringType()),
+        T.StructField("purchased", T.BooleanType()),
+    ]
+)
+
+
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as the text fields of a file: empty fields, stray carriage returns,
+    numbers that are none or too large."""
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        n.cast("string").alias("event_id"),
+        F.when(n % 37 == 0, "soon").otherwise(F.col("ts").cast("string")).alias("event_ts"),
+        F.concat(F.to_date("ts").cast("string"), F.when(n % 3 == 0, "\r").otherwise("")).alias("day"),
+        F.when(n % 41 == 0, "NaN").otherwise(F.concat(F.lit(" "), F.col("value").cast("string"))).alias("value"),
+        F.when(n % 43 == 0, "1e20").when(n % 47 == 0, "2.7").otherwise((n % 4).cast("string")).alias("stage_order"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("stage"),
+        F.when(F.col("event_type") == "purchase", "True\r").otherwise("False").alias("purchased"),
+    )
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user of the events, signed up on one of the first 20 days of 2024."""
     offset = (F.col("user_id") % 20).cast("int")
@@ -70,19 +109,20 @@ def order_opens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders."""
-    return (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") == "F")
-        .select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderdate").alias("order_ts"),
-            F.col("o_totalprice").alias("order_value"),
-        )
+    """Every order, whatever its status."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("order_ts"),
+        F.col("o_totalprice").alias("order_value"),
     )
 
 
+def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users that any event names."""
+    return table(spark, sf_dir, "events").select("user_id").distinct()
+
+
 def line_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as deliveries, with the attributes the line itself carries."""
     return table(spark, sf_dir, "lineitem").select(
@@ -135,8 +175,8 @@ def _pick(index: Column, texts: tuple[str, ...]) -> Column:
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines written out as raw text records: padded fields, 'NaN ' sentinels,
-    impossible dates and clocks, and coordinates that are too close or too far."""
+    """Order lines written out as raw text records: fields padded with blanks, tabs and
+    carriage returns, 'NaN ' sentinels, numbers out of range, impossible dates and clocks, and coordinates that are too close or too far."""
     o, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     line = F.col("l_linenumber")
 
@@ -163,8 +203,8 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                 o % 17 == 0, "NaN", F.replace(F.replace("l_returnflag", F.lit("A"), F.lit("Fog")), F.lit("N"), F.lit("Sunny"))
             ),
         ).alias("Weatherconditions"),
-        _pick(p % 5, ("Low ", "Medium ", "High ", "Jam ", "NaN ")).alias("Road_traffic_density"),
-        (line % 4).cast("string").alias("Vehicle_condition"),
+        _pick(p % 5, ("Low\t", "Medium ", "\tHigh \r", "Jam ", "NaN\t")).alias("Road_traffic_density"),
+        spoilt(o % 29 == 0, "1e20", spoilt(o % 31 == 0, "2.7", (line % 4).cast("string"))).alias("Vehicle_condition"),
         _pick(s % 4, ("Snack ", "Meal ", "Drinks ", "Buffet ")).alias("Type_of_order"),
         _pick(s % 2, ("motorcycle ", "scooter ")).alias("Type_of_vehicle"),
         spoilt(o % 19 == 0, "NaN ", (line % 4).cast("string")).alias("multiple_deliveries"),

@@ -17,6 +17,8 @@ from platewise.functions.tails import norm_cdf, norm_sf
 from platewise.operators import cleaning, delivery, experiment, funnel, growth, orders, quality, report, retention
 from platewise.operators.sessions import session_rollup
 from platewise.plans import bindings as b
+from platewise.schemas import ORDER_VALUE_RANGE
+from platewise.sources.readers import typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 SUMMARY_COLUMNS = ["time_taken_min", "distance_km", "prep_time_min"]
@@ -86,6 +88,7 @@ def orders_from_events(spark: SparkSession, sf: str) -> DataFrame:
         b.funnel_events(spark, sf),
         F.col("value") * 10,
         order_stage=b.STAGES[-1],
+        value_range=ORDER_VALUE_RANGE,
     )
 
 
@@ -116,7 +119,7 @@ QUERIES: dict[str, Query] = {
     "orders_monthly": lambda s, d: plain(growth.orders_monthly(b.shop_orders(s, d))),
     "repeat_rate_within_month": lambda s, d: plain(growth.repeat_rate_within_month(b.shop_orders(s, d))),
     "growth_monthly_week_end": lambda s, d: plain(
-        growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)
+        growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE), 4
     ),
     "growth_monthly_week_split": lambda s, d: plain(
         growth.growth_monthly_split(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)
@@ -135,28 +138,29 @@ QUERIES: dict[str, Query] = {
     ),
     "delay_combos_topk": lambda s, d: delivery.delay_combos(b.deliveries(s, d)),
     "delay_correlations": lambda s, d: delivery.delay_correlations(b.deliveries(s, d), b.TRAFFIC),
-    "delay_stats": lambda s, d: plain(delivery.delay_stats(b.deliveries(s, d), b.TRAFFIC), 6),
+    "delay_stats": lambda s, d: plain(
+        delivery.delay_stats(b.deliveries(s, d), b.TRAFFIC, untrafficked=b.line_deliveries(s, d)), 6
+    ),
     # experiment
     "ab_ztest": lambda s, d: plain(experiment.ab_ztest(b.ab_sessions(s, d)), 8),
     "ab_readout": lambda s, d: plain(experiment.ab_readout(b.ab_sessions(s, d)), 8),
     "ab_chi2": lambda s, d: experiment.ab_chi2(b.ab_sessions(s, d)),
     "ab_chi2_equals_z2": lambda s, d: plain(experiment.ab_chi2_equals_z2(b.ab_sessions(s, d)), 6),
     "norm_tail_functions": lambda s, d: plain(norm_tail_functions(s, d), 8),
-    # cleaning, profiles, checks
+    # loading, cleaning, profiles, checks
+    "typed_load": lambda s, d: plain(typed(b.event_texts(s, d), b.TYPED)),
     "clean_orders": lambda s, d: plain(_cleaned(s, d).withColumn("distance_km", F.round("distance_km", 6))),
     "null_profile": lambda s, d: quality.null_profile(_cleaned(s, d)),
     "numeric_summary": lambda s, d: plain(quality.numeric_summary(_cleaned(s, d), SUMMARY_COLUMNS), 6),
     "row_counts": row_counts,
     "pk_violations": lambda s, d: quality.pk_violations(b.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
-    "fk_orphans": lambda s, d: quality.fk_orphans(
-        b.shop_orders(s, d), b.table(s, d, "customer").withColumnRenamed("c_custkey", "user_id"), "user_id"
-    ),
+    "fk_orphans": lambda s, d: quality.fk_orphans(b.shop_orders(s, d), b.event_users(s, d), "user_id"),
     "domain_violations": lambda s, d: quality.domain_violations(
         b.table(s, d, "orders"), {"o_orderpriority": PRIORITIES, "o_orderstatus": ("F", "O")}
     ),
-    "stage_prefix_violations": lambda s, d: quality.stage_violations(b.funnel_events(s, d), b.STAGES),
+    "stage_prefix_violations": lambda s, d: quality.stage_violations(b.all_events(s, d), b.STAGES),
     "users_without_session": lambda s, d: quality.users_without_session(
-        b.table(s, d, "customer").withColumnRenamed("c_custkey", "user_id"), b.shop_orders(s, d)
+        b.table(s, d, "customer").withColumnRenamed("c_custkey", "user_id"), b.table(s, d, "events")
     ),
     # reports
     "calibration_report": lambda s, d: plain(

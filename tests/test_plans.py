@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from platewise.plans.catalog import QUERIES
 
 
 def plan(spark, sf_dir, name):
-    return queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "BatchScan"):
