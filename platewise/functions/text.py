@@ -27,19 +27,22 @@ def number(text: Column) -> Column:
     Any letter but the exponent's e makes it bad text: the cast alone would read
     'NaN', 'Infinity', '1.5d' and '0x1p3' as numbers.
     """
-    value = F.trim(text, F.lit(WHITE_SPACE))
-    return F.when(~value.rlike("[A-DF-Za-df-z]"), value.try_cast("double"))
+    return F.when(~text.rlike("[A-DF-Za-df-z]"), text.try_cast("double"))
 
 
-def whole(text: Column) -> Column:
-    """Integer from text, NULL for a fraction or what an integer cannot hold."""
-    value = number(text)
+def as_whole(value: Column) -> Column:
+    """Integer from a double, NULL for a fraction or what an integer cannot hold."""
     return F.when(value == F.floor(value), value.try_cast("int"))
 
 
+def whole(text: Column) -> Column:
+    """Integer from text, by the same rule."""
+    return as_whole(number(text))
+
+
 def day_month_year(date: Column, clock: Column) -> Column:
-    """Timestamp without zone from 'dd-MM-yyyy' and 'HH:mm:ss'; NULL if either is bad."""
-    d, t = F.split(date, "-"), F.split(trimmed(clock), ":")
+    """Timestamp without zone from trimmed 'dd-MM-yyyy' and 'HH:mm:ss'; NULL if either is bad."""
+    d, t = F.split(date, "-"), F.split(clock, ":")
     year, second = F.get(d, F.lit(2)), F.get(t, F.lit(2)).try_cast("int")
     stamp = F.call_function(
         "try_make_timestamp_ntz",

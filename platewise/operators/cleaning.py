@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from platewise.functions.geo import haversine_km
 from platewise.functions.periods import minutes_between
-from platewise.functions.text import day_month_year, number, trimmed, whole, without
+from platewise.functions.text import as_whole, day_month_year, number, trimmed, without
 from platewise.schemas import RAW_ORDER_COLUMNS, SLA_MINUTES
 
 # Longest plausible preparation, and the plausible distances.
 MAX_PREP_MINUTES = 120
 MIN_DISTANCE_KM = 0.05
 MAX_DISTANCE_KM = 50
+# Raw columns that hold numbers as they stand.
+NUMERIC = (
+    "Delivery_person_Age",
+    "Delivery_person_Ratings",
+    "Restaurant_latitude",
+    "Restaurant_longitude",
+    "Delivery_location_latitude",
+    "Delivery_location_longitude",
+    "Vehicle_condition",
+    "multiple_deliveries",
+)
 
 
 def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
@@ -25,28 +36,36 @@ def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     missing = [c for c in RAW_ORDER_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"raw orders lack the columns {missing}")
-    col = {name: F.col(f"`{name}`") for name in RAW_ORDER_COLUMNS}
-    weather = trimmed(without(trimmed(col["Weatherconditions"]), "conditions "))
-    parsed = df.select(
-        trimmed(col["ID"]).alias("order_id"),
-        trimmed(col["Delivery_person_ID"]).alias("delivery_person_id"),
-        trimmed(col["Road_traffic_density"]).alias("traffic_density"),
-        trimmed(col["Type_of_order"]).alias("order_type"),
-        trimmed(col["Type_of_vehicle"]).alias("vehicle_type"),
-        trimmed(col["Festival"]).alias("festival"),
-        trimmed(col["City"]).alias("city_type"),
-        number(col["Delivery_person_Age"]).alias("delivery_person_age"),
-        number(col["Delivery_person_Ratings"]).alias("delivery_person_rating"),
-        day_month_year(col["Order_Date"], col["Time_Orderd"]).alias("order_datetime"),
-        day_month_year(col["Order_Date"], col["Time_Order_picked"]).alias("same_day_pickup"),
-        number(col["Restaurant_latitude"].cast("string")).alias("lat1"),
-        number(col["Restaurant_longitude"].cast("string")).alias("lon1"),
-        number(col["Delivery_location_latitude"].cast("string")).alias("lat2"),
-        number(col["Delivery_location_longitude"].cast("string")).alias("lon2"),
-        weather.alias("weather"),
-        whole(col["Vehicle_condition"].cast("string")).alias("vehicle_condition"),
-        number(col["multiple_deliveries"]).alias("multiple_deliveries"),
-        number(without(col["Time_taken(min)"], "(min) ")).alias("time_taken_min"),
+    # All text fields go through one rule, all numbers through another: two short lambdas
+    # instead of thirty copies in one generated method, which the JVM would not compile.
+    texts = [F.col(f"`{name}`").cast("string") for name in RAW_ORDER_COLUMNS]
+    numeric = [RAW_ORDER_COLUMNS.index(name) for name in NUMERIC]
+    fields = df.select(F.transform(F.array(*texts), trimmed).alias("f"))
+    at = {name: F.get("f", F.lit(i)) for i, name in enumerate(RAW_ORDER_COLUMNS)}
+    minutes = without(at["Time_taken(min)"], "(min) ")
+    values = F.array(*[F.get("f", F.lit(i)) for i in numeric], minutes)
+    numbers = fields.select("f", F.transform(values, number).alias("n"))
+    number_of = {name: F.get("n", F.lit(i)) for i, name in enumerate([*NUMERIC, "Time_taken(min)"])}
+    parsed = numbers.select(
+        at["ID"].alias("order_id"),
+        at["Delivery_person_ID"].alias("delivery_person_id"),
+        at["Road_traffic_density"].alias("traffic_density"),
+        at["Type_of_order"].alias("order_type"),
+        at["Type_of_vehicle"].alias("vehicle_type"),
+        at["Festival"].alias("festival"),
+        at["City"].alias("city_type"),
+        number_of["Delivery_person_Age"].alias("delivery_person_age"),
+        number_of["Delivery_person_Ratings"].alias("delivery_person_rating"),
+        day_month_year(at["Order_Date"], at["Time_Orderd"]).alias("order_datetime"),
+        day_month_year(at["Order_Date"], at["Time_Order_picked"]).alias("same_day_pickup"),
+        number_of["Restaurant_latitude"].alias("lat1"),
+        number_of["Restaurant_longitude"].alias("lon1"),
+        number_of["Delivery_location_latitude"].alias("lat2"),
+        number_of["Delivery_location_longitude"].alias("lon2"),
+        trimmed(without(at["Weatherconditions"], "conditions ")).alias("weather"),
+        as_whole(number_of["Vehicle_condition"]).alias("vehicle_condition"),
+        number_of["multiple_deliveries"].alias("multiple_deliveries"),
+        number_of["Time_taken(min)"].alias("time_taken_min"),
     )
 
     # A pickup that reads earlier than the order happened after midnight.

@@ -20,14 +20,14 @@ def _on_time(as_percent: bool, digits: int | None) -> Column:
     return value.alias("on_time_pct")
 
 
-def delivery_overall(orders: DataFrame, digits: int | None = 2, ranges: int | None = None) -> DataFrame:
+def delivery_overall(orders: DataFrame, digits: int | None = 2) -> DataFrame:
     """One row -> total_orders, on_time_pct, avg_time_taken_min, median_time_taken_min"""
     totals = orders.agg(
         F.count("*").alias("total_orders"),
         _on_time(True, digits),
         maybe_round(F.avg("time_taken_min"), digits).alias("avg_time_taken_min"),
     )
-    median = exact_median(orders, "time_taken_min", ranges).scalar()
+    median = exact_median(orders, "time_taken_min").scalar()
     return totals.withColumn("median_time_taken_min", maybe_round(median, digits))
 
 

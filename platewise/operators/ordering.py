@@ -52,14 +52,9 @@ def running_total(
     borders = range_borders(df, order_by, ranges)
     # Binary search: _range becomes the number of borders below the key. Places beyond the
     # last border are NULL and never taken; the pick is all but never above twice `ranges`.
-    split = df.withColumns({"_key": key, "_borders": borders.scalar(), "_range": F.lit(0)})
-    step = 1 << (4 * ranges + 64).bit_length()
-    while step:
-        split = split.withColumn(
-            "_range", F.expr(f"_range + if(get(_borders, _range + {step - 1}) < _key, {step}, 0)")
-        )
-        step //= 2
-    split = split.drop("_key", "_borders")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((4 * ranges + 64).bit_length()))])
+    below = lambda at, step: at + F.when(F.get("_borders", at + step - 1) < key, step).otherwise(F.lit(0))
+    split = df.withColumn("_borders", borders.scalar()).withColumn("_range", F.aggregate(steps, F.lit(0), below)).drop("_borders")
 
     earlier_rows = Window.rowsBetween(Window.unboundedPreceding, -1)
     within = split.withColumn(
@@ -102,70 +97,58 @@ def row_positions(df: DataFrame, order_by: Sequence[str], name: str = "position"
 
 
 #: Ranks are bracketed to one part in so many of the rows.
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 100_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], ranges: int | None = None
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """Exact quantiles, interpolated linearly -> metric, probability, quantile; NULL and NaN left out
 
-    Two scans. The first sketches each column and brackets every wanted rank between two
-    values. The second counts what lies below a bracket, a plain sum, and shuffles only the
-    values inside, a few in ten thousand of the rows, each distinct one once.
+    Two scans. The first, which runs at once, sketches each column and brackets every wanted
+    rank between two values. The second counts what lies below a bracket, a plain sum, and
+    shuffles only the values inside, a few in a hundred thousand of the rows, each distinct
+    one once.
     """
     numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
     probabilities = [float(p) for p in probabilities]
     margin = 3.0 / SKETCH_ACCURACY
     wanted = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
     edges = F.array(*[F.lit(p) for p in wanted])
-
-    def bracket(i: int) -> Column:
-        sketch = F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY)
-        return F.struct(sketch.alias("edges"), F.count(f"c{i}").alias("rows"))
-
-    found = numbers.agg(F.struct(*[bracket(i).alias(f"c{i}") for i in range(len(columns))])).scalar()
-    n = len(probabilities)
+    sketches = [c for i in range(len(columns)) for c in (F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY).alias(f"e{i}"), F.count(f"c{i}").alias(f"n{i}"))]
+    found = numbers.agg(*sketches).first()
     cells = []
     for i, c in enumerate(columns):
+        rows, value = found[f"n{i}"], F.col(f"c{i}")
         for k, p in enumerate(probabilities):
-            at = F.col("_found")[f"c{i}"]
+            below = above = F.lit(False)
             # in fewer rows the margin is less than the step between two ranks
-            wide = at["rows"] >= SKETCH_ACCURACY
-            low = F.lit(None).cast("double") if wanted[k] <= 0 else F.when(wide, at["edges"][k])
-            high = F.lit(None).cast("double") if wanted[n + k] >= 1 else F.when(wide, at["edges"][n + k])
-            value = F.col(f"c{i}")
-            below, above = F.coalesce(value < low, F.lit(False)), F.coalesce(value > high, F.lit(False))
+            if rows >= SKETCH_ACCURACY:
+                low, high = wanted[k], wanted[len(probabilities) + k]
+                below = value < found[f"e{i}"][k] if low > 0 else below
+                above = value > found[f"e{i}"][len(probabilities) + k] if high < 1 else above
             # all that lies below a bracket is one cell
-            cells.append(
-                F.when(
-                    value.isNotNull() & ~above,
-                    F.struct(F.lit(c).alias("metric"), F.lit(p).alias("probability"), F.when(~below, value).alias("value"), at["rows"].alias("rows")),
-                )
-            )
+            cell = F.struct(F.lit(c).alias("metric"), F.lit(p).alias("probability"), F.lit(rows).cast("long").alias("rows"), F.when(~below, value).alias("value"))
+            cells.append(F.when(value.isNotNull() & ~above, cell))
     counts = (
-        numbers.withColumn("_found", found)
-        .select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        numbers.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
         .groupBy("cell.metric", "cell.probability", "cell.rows", "cell.value")
         .agg(F.count("*").alias("n"))
     )
-    placed = running_total(counts, ["metric", "probability", "rows", "value"], "n", "before", ranges)
-    # One row per metric and probability: where its cells begin.
-    group = ["metric", "probability", "rows"]
-    start = placed.groupBy(*group).agg(F.min("before").alias("start")).withColumnsRenamed({c: f"p_{c}" for c in group})
-    ahead = F.expr("before - start")
+    # A window partition holds one bracket: a few in a hundred thousand of a column's rows.
     place = F.col("probability") * (F.col("rows") - 1)
+    earlier = Window.partitionBy("metric", "probability").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("n").over(earlier), F.lit(0))
 
     def value_at(position: Column) -> Column:
         return F.max(F.when((F.col("ahead") <= position) & (position < F.col("ahead") + F.col("n")), F.col("value")))
 
-    joined = placed.join(F.broadcast(start), F.expr("metric = p_metric AND probability = p_probability"))
-    ends = joined.withColumn("ahead", ahead).groupBy("metric", "probability", place.alias("place")).agg(
+    ends = counts.withColumn("ahead", ahead).groupBy("metric", "probability", place.alias("place")).agg(
         value_at(F.floor(place)).alias("low"), value_at(F.ceil(place)).alias("high")
     )
     return ends.selectExpr("metric", "probability", "low + (place - floor(place)) * (high - low) AS quantile")
 
 
-def exact_median(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+def exact_median(df: DataFrame, column: str) -> DataFrame:
     """One row, one column: the median (mean of the two middle values)."""
-    return exact_quantiles(df, [column], [0.5], ranges).agg(F.max("quantile").alias("median"))
+    return exact_quantiles(df, [column], [0.5]).agg(F.max("quantile").alias("median"))

@@ -38,7 +38,7 @@ def null_profile(df: DataFrame, k: int = 10, digits: int = 3) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per statistic
     -> statistic, one column per summarised column
 
@@ -66,7 +66,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], ranges: int | None =
     ).select(F.explode("rows").alias("row")).select("row.*")
     by_statistic = [
         totals.select("metric", F.expr("stack(5, 'count', count, 'mean', mean, 'std', std, 'min', min, 'max', max)")),
-        exact_quantiles(df, columns, list(quartiles.values()), ranges).select(
+        exact_quantiles(df, columns, list(quartiles.values())).select(
             "metric",
             F.element_at(
                 F.create_map(*[F.lit(x) for name, p in quartiles.items() for x in (p, name)]), F.col("probability")

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from platewise.operators import ordering
 from platewise.operators.ordering import default_ranges, exact_median, exact_quantiles, range_borders, row_positions, running_total
 
 SLOW = settings(
@@ -65,13 +66,15 @@ def test_median(spark, values, median):
     assert exact_median(df, "v").collect()[0][0] == median
 
 
-def test_quantiles_of_a_column_with_a_hot_value(spark):
+@pytest.mark.parametrize("accuracy", [100_000, 200])
+def test_quantiles_of_a_column_with_a_hot_value(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", accuracy)
     rng = np.random.default_rng(5)
     a = np.concatenate([np.full(2000, 24.0), rng.normal(30, 9, 4000)])
     b = rng.integers(0, 5, 6000).astype(float)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.metric, r.probability): r.quantile for r in exact_quantiles(df, ["a", "b"], probabilities, 9).collect()}
+    got = {(r.metric, r.probability): r.quantile for r in exact_quantiles(df, ["a", "b"], probabilities).collect()}
     for name, values in (("a", a), ("b", b)):
         for p in probabilities:
             assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12)
