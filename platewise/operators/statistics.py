@@ -41,16 +41,8 @@ def _moments(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> Da
     return df.groupBy(group).agg(*columns)
 
 
-def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
-    """Pearson r of `y` with each predictor, over the rows where both are known
-    -> predictor, statistic, f, dof1, dof2; and the one-way analysis of variance of `y`
-    over the groups -> statistic, f, dof1, dof2.
-
-    Both come from the moments per group, one pass over the data. Moments of groups add up
-    around the common mean, so no digits are lost to large means.
-    """
-    moments = _moments(df, y, predictors, group)
-    # One row per group of the vocabulary from here on.
+def _pearson_of(moments: DataFrame, predictors: Sequence[str]) -> DataFrame:
+    """Moments of groups add up around the common mean, so no digits are lost to large means."""
     everywhere = Window.partitionBy()
     centred = moments
     for i in range(len(predictors)):
@@ -63,8 +55,11 @@ def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: s
         r = ratio(F.sum(f"sxy{i}"), F.sqrt(F.sum(f"sxx{i}")) * F.sqrt(F.sum(f"syy{i}")))
         rows.append(F.struct(F.lit(name).alias("predictor"), r.alias("r"), F.sum(f"n{i}").alias("n")))
     sums = centred.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
-    pearson = sums.select("predictor", *_correlation_row(F.col("r"), F.col("n")))
+    return sums.select("predictor", *_correlation_row(F.col("r"), F.coalesce("n", F.lit(0))))
+
 
+def _anova_of(moments: DataFrame, group: str) -> DataFrame:
+    everywhere = Window.partitionBy()
     groups = moments.filter(F.col(group).isNotNull() & (F.col("n") > 0))
     n, mean = F.col("n"), F.col("mean")
     shift = mean - ratio(F.sum(n * mean).over(everywhere), F.sum(n).over(everywhere))
@@ -75,7 +70,25 @@ def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: s
         (F.sum(n) - F.count("*")).cast("double").alias("dof2"),
     )
     f = open_ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2")))
-    return pearson, squares.withColumn("f", f).select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
+    return squares.withColumn("f", f).select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
+
+
+def pearson(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
+    """Pearson r of `y` with each predictor, over the rows where both are known
+    -> predictor, statistic, f, dof1, dof2; all predictors in one pass"""
+    return _pearson_of(_moments(df.withColumn("_all", F.lit(1)), y, predictors, "_all"), predictors)
+
+
+def anova(df: DataFrame, group: str, y: str) -> DataFrame:
+    """One-way analysis of variance of `y` over the groups -> statistic, f, dof1, dof2"""
+    return _anova_of(_moments(df, y, [], group), group)
+
+
+def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
+    """Both of the above from the moments per group: one pass over the data, one row per
+    group of the vocabulary after it."""
+    moments = _moments(df, y, predictors, group)
+    return _pearson_of(moments, predictors), _anova_of(moments, group)
 
 
 def spearman_ordinal(

@@ -1,17 +1,21 @@
 """The whole report: clean the raw orders, run the analyses, write the result tables.
 
-    python -m platewise.plans.reporting --raw raw.csv --data tables/ --out results/
+    python -m platewise.plans.reporting --raw raw.csv --data tables/ --out results/ --store shared/
 
-`tables/` holds the four CSV files of users, events, orders and A/B sessions;
-`results/` must be a folder all executors share.
+`tables/` holds the four CSV files of users, events, orders and A/B sessions; `results/`
+and `shared/` must be folders that all executors share. `shared/` may be left out where
+`spark.checkpoint.dir` names one. What the run stores there is removed at its end.
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from platewise.operators.cleaning import clean_orders
 from platewise.operators.delivery import (
@@ -23,13 +27,13 @@ from platewise.operators.delivery import (
     delivery_overall,
     on_time_share,
 )
-from platewise.operators.experiment import ab_readout
-from platewise.operators.funnel import funnel
-from platewise.operators.growth import growth_monthly, lifetime_repeat_rate
-from platewise.operators.quality import null_profile, numeric_summary, row_counts
+from platewise.operators.experiment import ab_chi2, ab_readout, ab_ztest
+from platewise.operators.funnel import funnel, funnel_by_depth
+from platewise.operators.growth import dau, growth_monthly, growth_monthly_split, lifetime_repeat_rate, mau, wau
+from platewise.operators.quality import domain_violations, fk_orphans, null_profile, numeric_summary, pk_violations, row_counts
 from platewise.operators.report import key_numbers
-from platewise.operators.retention import cohort_retention_wide, day_points, retention_curve
-from platewise.schemas import TRAFFIC_LEVELS
+from platewise.operators.retention import cohort_retention, cohort_retention_wide, day_points, retention_curve
+from platewise.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TRAFFIC_LEVELS
 from platewise.sources.readers import read_parquet_table, read_raw_orders, read_table
 from platewise.sources.writers import write_csv, write_parquet, write_scalar
 
@@ -40,6 +44,29 @@ def _stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return read_parquet_table(spark, path)
 
 
+def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """-> tbl, constraint, violations: offending keys, references and labels of every table"""
+    checks = []
+    for name, keys in PRIMARY_KEYS.items():
+        checks.append((name, f"primary key ({', '.join(keys)})", pk_violations(tables[name], keys)))
+    for name, key, parent in FOREIGN_KEYS:
+        checks.append((name, f"{key} in {parent}", fk_orphans(tables[name], tables[parent], key)))
+    for name, df in tables.items():
+        domains = {c: labels for c, labels in DOMAINS.items() if c in df.columns}
+        if domains:
+            checks.append((name, f"labels of {', '.join(domains)}", domain_violations(df, domains)))
+    rows = [
+        found.agg(F.count("*").alias("violations")).select(F.lit(name).alias("tbl"), F.lit(what).alias("constraint"), "violations")
+        for name, what, found in checks
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def rows_in_and_out(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """One row: records read and rows cleaned -> rows_in, rows_out"""
+    return raw.agg(F.count("*").alias("rows_in")).withColumn("rows_out", cleaned.agg(F.count("*")).scalar())
+
+
 def report_tables(tables: dict[str, DataFrame], analysis_end: date) -> dict[str, DataFrame]:
     """All result tables, lazily, by name."""
     deliveries = tables["real_orders"]
@@ -68,19 +95,39 @@ def report_tables(tables: dict[str, DataFrame], analysis_end: date) -> dict[str,
         "delivery_stats_summary": delay_stats(deliveries),
         "ab_test_result": ab_readout(ab),
         "key_numbers": key_numbers(deliveries, events, orders, ab),
+        # the rounded forms, with weeks split at month ends and depth instead of stage seen
+        "dau": dau(events),
+        "wau": wau(events),
+        "mau": mau(events),
+        "growth_metrics_monthly_split": growth_monthly_split(events, orders),
+        "funnel_by_depth": funnel_by_depth(events),
+        "cohort_retention_long": cohort_retention(users, events, analysis_end),
+        "ab_test_rounded": ab_ztest(ab),
+        "ab_test_chi2": ab_chi2(ab),
+        "constraint_violations": constraint_violations(tables),
     }
 
 
-def _store_folder(spark: SparkSession, out_path: str) -> str:
-    """Where intermediate tables go: the cluster's checkpoint folder, else the results."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/platewise-{spark.sparkContext.applicationId}" if shared else f"{out_path}/store"
-
-
-def run(spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date) -> None:
-    store = _store_folder(spark, out_path)
-    cleaned = _stored(spark, clean_orders(read_raw_orders(spark, raw_path)), f"{store}/real_orders")
+def run(
+    spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date, shared: str | None = None
+) -> None:
+    """`shared`: where intermediate tables go; the folder in `spark.checkpoint.dir` by default."""
+    shared = shared or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+    store = f"{shared.rstrip('/')}/report-{uuid.uuid4().hex}"
+    try:
+        _write_report(spark, raw_path, data_path, out_path, analysis_end, store)
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_report(spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date, store: str) -> None:
+    raw = read_raw_orders(spark, raw_path)
+    cleaned = _stored(spark, clean_orders(raw), f"{store}/real_orders")
     write_csv(cleaned, f"{out_path}/real_orders_clean")
+    write_csv(rows_in_and_out(raw, cleaned), f"{out_path}/tables/rows_in_and_out", single_file=True)
     tables = {"real_orders": cleaned}
     for name in ("synthetic_users", "synthetic_funnel_events", "synthetic_orders", "synthetic_ab_test"):
         tables[name] = _stored(spark, read_table(spark, f"{data_path}/{name}.csv", name), f"{store}/{name}")
@@ -94,10 +141,11 @@ def main() -> None:
     parser.add_argument("--raw", required=True, help="raw order CSV")
     parser.add_argument("--data", required=True, help="folder of the other four CSV tables")
     parser.add_argument("--out", required=True, help="result folder, shared by all executors")
+    parser.add_argument("--store", help="shared folder for intermediate tables")
     parser.add_argument("--end", type=date.fromisoformat, default=date(2024, 9, 30), help="analysis cutoff")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("product-analytics").config("spark.ui.enabled", "false").getOrCreate()
-    run(spark, args.raw, args.data, args.out, args.end)
+    run(spark, args.raw, args.data, args.out, args.end, args.store)
 
 
 if __name__ == "__main__":

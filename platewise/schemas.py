@@ -136,3 +136,9 @@ PRIMARY_KEYS = {
     "synthetic_orders": ("order_id",),
     "synthetic_ab_test": ("checkout_session_id",),
 }
+
+# Table, column, and the table whose key the column refers to.
+FOREIGN_KEYS = (
+    ("synthetic_funnel_events", "user_id", "synthetic_users"),
+    ("synthetic_orders", "user_id", "synthetic_users"),
+)

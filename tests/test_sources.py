@@ -4,7 +4,7 @@ import pytest
 
 from platewise.plans.reporting import run
 from platewise.schemas import TABLES
-from platewise.sources.readers import read_raw_orders, read_table
+from platewise.sources.readers import broken_records, read_raw_orders, read_table
 from platewise.sources.writers import save_table, write_csv, write_scalar
 from tests.test_edges import GOOD
 
@@ -79,7 +79,10 @@ def test_whole_report(spark, tmp_path):
         "checkout_session_id,arm,checkout_start_ts,order_placed\nA1,control,2024-09-01 00:00:00,True\nA2,treatment,2024-09-01 00:00:00,False\n"
     )
     out = tmp_path / "out"
-    run(spark, str(tmp_path / "raw.csv"), str(data), str(out), date(2024, 9, 30))
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    run(spark, str(tmp_path / "raw.csv"), str(data), str(out), date(2024, 9, 30), str(shared))
+    assert list(shared.iterdir()) == []
     tables = out / "tables"
     assert text(tables / "delivery_overall_on_time") == "overall_on_time_pct=1.0000\n"
     assert text(tables / "funnel_first_session").splitlines()[1:3] == ["app_open,1,1.0,0.0,1.0", "browse,1,1.0,0.0,1.0"]
@@ -87,4 +90,40 @@ def test_whole_report(spark, tmp_path):
     assert text(tables / "row_counts").splitlines()[1:] == [
         "real_orders,2", "synthetic_users,1", "synthetic_funnel_events,2", "synthetic_orders,1", "synthetic_ab_test,2",
     ]
-    assert len(list(tables.iterdir())) == 21
+    assert len(list(tables.iterdir())) == 31
+    assert text(tables / "rows_in_and_out").splitlines()[1] == "2,2"
+    found = [line.split(",") for line in text(tables / "constraint_violations").splitlines()[1:]]
+    assert sorted(line[-1] for line in found if line[0] == "real_orders") == ["0", "1"]  # the same record twice
+    assert text(tables / "dau").splitlines()[1:] == ["2024-01-06,1"]
+
+
+def test_quoted_raw_fields(spark, tmp_path, rows):
+    (tmp_path / "raw.csv").write_text('a,b\n"say ""hi"", ok",1\n"two\nlines",2\n')
+    assert rows(read_raw_orders(spark, str(tmp_path / "raw.csv"), multi_line=True)) == [('say "hi", ok', "1"), ("two\nlines", "2")]
+    (tmp_path / "one.csv").write_text('a,b\n"say ""hi"", ok",1\n')
+    assert rows(read_raw_orders(spark, str(tmp_path / "one.csv"))) == [('say "hi", ok', "1")]
+
+
+HEADER = "user_id,signup_date,city_tier,platform,acquisition_channel,is_power_user"
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path, rows):
+    (tmp_path / "u.csv").write_text(f'{HEADER}\nU1,2024-01-05,"Metro\nold",iOS,,True\n')
+    assert rows(read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", multi_line=True)) == [
+        ("U1", date(2024, 1, 5), "Metro\nold", "iOS", None, True)
+    ]
+
+
+def test_header_names_are_checked(spark, tmp_path, rows):
+    swapped = HEADER.replace("city_tier,platform", "platform,city_tier")
+    (tmp_path / "u.csv").write_text(f"{swapped}\nU1,2024-01-05,iOS,Metro,,True\n")
+    with pytest.raises(ValueError, match="platform"):
+        read_table(spark, str(tmp_path / "u.csv"), "synthetic_users")
+    assert rows(read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", by_position=True))[0][2] == "iOS"
+
+
+def test_broken_records_are_counted(spark, tmp_path):
+    (tmp_path / "u.csv").write_text(f"{HEADER}\nU1,2024-01-05,Metro,iOS,,True\nU2,2024-01-05\nU3,2024-01-05,Metro,iOS,,True,more\n")
+    read = read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", broken="broken").cache()
+    assert broken_records(read, "broken").first()[0] == 2
+    assert [r.user_id for r in read.filter("broken IS NULL").collect()] == ["U1"]
