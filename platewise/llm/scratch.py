@@ -7,6 +7,7 @@ all executors share. Only where it is unset (local sessions of tests) a folder i
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,10 +22,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def scratch_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(FOLDER, None) or spark.sparkContext.getConf().get(FOLDER)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set(FOLDER, folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder()).rstrip("/")
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="scratch-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -124,19 +124,40 @@ def posterior(calls: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarr
     return bad, accuracy
 
 
-def trained(numbers: np.ndarray, found: np.ndarray, bad: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer, by adaptive gradient steps on the soft labels."""
+#: Documents of the sample whose features are unpacked at once.
+CHUNK = 1000
+
+
+def _pairs(lists: pa.Array, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs of a chunk of the sample's feature lists."""
+    part = lists.slice(start, CHUNK)
+    sizes = part.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(start, start + len(part)), sizes), part.flatten().to_numpy(zero_copy_only=False)
+
+
+def trained(lists: pa.Array, bad: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer, by adaptive gradient steps on the soft labels.
+
+    `lists` holds each document's distinct features.
+    """
     weights = np.zeros(FEATURES, np.float32)
     if not len(bad):
         return weights, 0.0
-    documents = np.bincount(found, minlength=FEATURES)
-    in_bad = np.bincount(found, weights=bad[numbers], minlength=FEATURES)
+    documents, in_bad = np.zeros(FEATURES), np.zeros(FEATURES)
+    for start in range(0, len(bad), CHUNK):
+        numbers, found = _pairs(lists, start)
+        documents += np.bincount(found, minlength=FEATURES)
+        in_bad += np.bincount(found, weights=bad[numbers], minlength=FEATURES)
     share = float(np.clip(bad.mean(), 0.01, 0.99))
     use = np.abs(in_bad - documents * share) >= FEATURE_DEVIATIONS * np.sqrt(np.maximum(documents, 1) * share * (1 - share))
     use[:RESERVED] = documents[:RESERVED] > 0
-    keep = use[found]
     index = np.cumsum(use) - 1
-    columns, rows = index[found[keep]], numbers[keep]
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, len(bad), CHUNK):
+        numbers, found = _pairs(lists, start)
+        wanted = use[found]
+        kept.append((numbers[wanted], index[found[wanted]]))
+    rows, columns = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
     w, bias = np.zeros(int(use.sum())), np.log(share / (1 - share))
     square, bias_square = np.full(len(w), 1e-6), 1e-6
     for _ in range(rounds):
@@ -148,7 +169,7 @@ def trained(numbers: np.ndarray, found: np.ndarray, bad: np.ndarray, rounds: int
         bias_square += error.sum() ** 2
         bias -= 0.2 * error.sum() / np.sqrt(bias_square)
     weights[use] = w
-    return weights, bias
+    return weights, float(bias)
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
@@ -180,11 +201,8 @@ def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.n
     called = np.array(sample.column("called").to_pylist(), bool).reshape(-1, len(SHARES))
     unremarkable = np.where((given < 0) & ~called.any(axis=1), 0, -1)
     calls = np.column_stack([np.where(called, 1, -1), unremarkable, given]).astype(np.int64)
-    lists = sample.column("found").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    sizes = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64) if len(given) else np.zeros(0, np.int64)
-    found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(given) else np.zeros(0, np.int64)
-    return trained(np.repeat(np.arange(len(given)), sizes), found, posterior(calls)[0])
+    lists = pa.concat_arrays(sample.column("found").chunks) if len(given) else pa.array([], pa.list_(pa.int32()))
+    return trained(lists, posterior(calls)[0])
 
 
 QUALITY, KEPT = "__quality", "__kept"
