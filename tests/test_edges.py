@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from platewise.functions.tails import f_tail, norm_cdf, norm_sf, register_sql_functions, two_sided_normal_p
 from platewise.functions.text import number, trimmed, true_text
-from platewise.operators import quality
+from platewise.operators import experiment, quality
 from platewise.operators.cleaning import clean_orders
 from platewise.operators.delivery import delay_combos, delay_stats, delivery_by, delivery_by_traffic, delivery_overall
 from platewise.operators.experiment import ab_readout, ab_ztest
 from platewise.operators.funnel import funnel, funnel_by_depth
-from platewise.operators.growth import growth_monthly, growth_monthly_split, lifetime_repeat_rate, wau
+from platewise.operators.growth import growth_monthly, growth_monthly_split, lifetime_repeat_rate, orders_monthly, wau
 from platewise.operators.orders import orders_from_events
 from platewise.operators.report import calibration_report
 from platewise.operators.retention import (
@@ -480,3 +480,31 @@ def test_one_user_with_a_third_of_all_events(spark, rows):
     (r,) = growth_monthly(events, events.selectExpr("user_id", "event_ts AS order_ts", "0.1D AS order_value")).collect()
     assert (r["MAU"], r["DAU_avg"], r["orders"]) == (everyone, len(seen) / 20, 30000)
     assert r["revenue"] == pytest.approx(3000.0)
+
+
+@pytest.mark.parametrize("sessions", [5_200, 52_000_000, 52_000_000_000])
+def test_agreement_does_not_depend_on_the_size(table, sessions):
+    counts = table("n_c long, x_c long, n_t long, x_t long", (sessions, sessions * 3 // 10, sessions, sessions * 385 // 1000))
+    assert experiment._agreement(counts, 1e-9).first().agree
+
+
+def test_money_is_neither_cast_away_nor_cut(table):
+    when = datetime(2024, 1, 5)
+    orders = table("user_id string, order_ts timestamp_ntz, order_value double", *[("u", when, v) for v in (10.123456, 2e14, 5.0)])
+    (row,) = orders_monthly(orders, digits=None).collect()
+    assert row.revenue == pytest.approx(200000000000015.123456, rel=1e-15) and row.aov == pytest.approx(row.revenue / 3)
+    (row,) = orders_monthly(orders.union(table("user_id string, order_ts timestamp_ntz, order_value double", ("u", when, float("inf"))))).collect()
+    assert row.revenue == float("inf")
+    exact = orders.select("user_id", "order_ts", F.lit("0.1234567891").cast("decimal(20,10)").alias("order_value"))
+    assert orders_monthly(exact, digits=None).first().revenue == pytest.approx(0.3703703673, rel=1e-15)
+
+
+def test_seventy_stages(table, rows):
+    stages = [f"s{i}" for i in range(70)]
+    when = datetime(2024, 1, 5)
+    schema = "session_id string, user_id string, event_ts timestamp_ntz, stage string, stage_order int"
+    whole = [("a", "u", when, s, i) for i, s in enumerate(stages)]
+    events = table(schema, *whole, ("b", "v", when, "s64", 64))
+    seen = {r.stage: r.sessions for r in funnel(events, stages, "blended").collect()}
+    assert seen["s0"] == 1 and seen["s64"] == 2 and seen["s69"] == 1
+    assert rows(quality.stage_violations(events, stages)) == [("stage_order_mismatch", 0), ("incomplete_prefix", 1)]
