@@ -8,10 +8,11 @@ in the bits kept; pairs that this estimate puts far below the threshold are left
 standard deviations), all others are confirmed on the full sets.
 
 Candidates are not expanded into all pairs. In two rounds each band bucket links its members
-to one of them, a different one each time; then a last round takes the members of a bucket
-that are still outside its largest component against those in other components. So every two
-classes that share a bucket end in one component or have been compared, and a bucket that holds most
-of all rows costs little more than its members.
+to one of them: first to the one whose own buckets are largest, as the original of a group of
+copies has, then to any. A last round takes the members of a bucket that are still outside
+its largest component against those in other components, unless the shingles that any other
+set shares with them are too few for the threshold, which is an exact bound. So every two
+classes that share a bucket end in one component or have been compared or ruled out.
 
 Defined results: a text without words, or null, has no set, is linked with nothing and is its
 own component. Fewer words than five make one shingle. Words keep everything but the case of
@@ -133,10 +134,9 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) of classes whose full sets are similar enough. Only these classes' texts are read again."""
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y"))).distinct()
-    wanted = wanted.join(classes.select("id", "one.*"), "id")
+def class_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the classes in `ids`. Only these classes' texts leave their place."""
+    wanted = classes.join(ids, "id", "left_semi").select("id", "one.*")
     # null ids join too: a class of documents without an id is one like any other
     texts = keyed(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
 
@@ -148,20 +148,35 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "set"])
 
     # repeated rows bring a set more than once
-    sets = stored(texts.select("id", "text").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"]), "sets")
+    return stored(texts.select("id", "text").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) of classes whose full sets are similar enough."""
     left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("x", "y"))
     both = pairs.select("x", "y").join(left, "x").join(right, "y")
     shared = F.size(F.array_intersect("set_x", "set_y"))
     return both.filter(shared * 100 >= (F.size("set_x") + F.size("set_y") - shared) * percent).select("x", "y")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(id, shared): how many of a set's shingles any other of these sets has as well."""
+    holders = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    own = holders.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", F.size("set").alias("n")).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def class_components(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame | None:
     """(id, label) of the classes that are linked with others; None if there are none."""
     enough = least_agreement(percent)
     info = classes.select("id", "n_shingles", "bits")
     members = classes.select("id", F.posexplode("bands").alias("band", "key")).select("id", "key")
-    crowded = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "buckets")
+    crowded = stored(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = stored(members.join(crowded, "key"), "members")
+    # a class whose buckets are large is like many others: the original of a group of copies
+    weights = stored(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    members = stored(members.join(weights, "id").select("id", "key", "weight"), "members")
+    sets = class_sets(weights, classes, docs)
     edges, labels = None, None
 
     def labelled(rows: DataFrame, *names: str) -> DataFrame:
@@ -184,28 +199,36 @@ def class_components(classes: DataFrame, docs: DataFrame, percent: int = PERCENT
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             return
-        more = stored(confirmed(pairs, classes, docs, percent), "links")
+        more = stored(confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
             edges = more if edges is None else edges.union(more)
             labels = components(edges)
 
     for turn in range(star_rounds):
-        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("hash"), "id")).alias("least"))
+        # the weightiest member of a bucket first, then any
+        first = (-F.col("weight") if turn == 0 else F.lit(0)).cast("long").alias("order")
+        leaders = members.groupBy("key").agg(F.min(F.struct(first, F.xxhash64("id", F.lit(turn)).alias("hash"), "id")).alias("least"))
         leaders = stored(leaders.select("key", F.col("least.id").alias("leader")), "leaders")
         pairs = members.join(leaders, "key").filter("id <> leader")
         pairs = labelled(pairs.select(F.col("id").alias("x"), F.col("leader").alias("y")).distinct(), "x", "y").filter("x_label <> y_label")
         take(likely(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
 
-    rows = labelled(members, "id").withColumnRenamed("id_label", "label")
+    rows = stored(labelled(members.select("id", "key"), "id").withColumnRenamed("id_label", "label"), "labelled")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label"))["label"].alias("main")).filter("kinds > 1")
-    mixed = rows.join(stored(largest.select("key", "main"), "mixed"), "key").join(classes.select("id", "n_shingles", "bits", "bands"), "id")
-    mixed = stored(mixed, "mixed")
+    mixed = stored(rows.join(stored(largest.select("key", "main"), "mixed"), "key"), "mixed")
+    if mixed.isEmpty():
+        return labels
+    left = sets.join(mixed.select("id").distinct(), "id", "left_semi")
+    mixed = stored(mixed.join(classes.select("id", "n_shingles", "bits", "bands"), "id").join(shared_sizes(left), "id"), "mixed")
     a, b = mixed.filter("label <> main").alias("a"), mixed.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
     # two rows that are both outside are met twice, and once in each bucket that they share
     once = (F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
-    near = _similar_size(F.col("a.n_shingles"), F.col("b.n_shingles"), percent) & (agreement(F.col("a.bits"), F.col("b.bits")) >= enough)
+    # what nobody else has is in no intersection: this bounds the similarity of every pair
+    common = F.least("a.shared", "b.shared")
+    reach = common * 100 >= (F.col("a.n_shingles") + F.col("b.n_shingles") - common) * percent
+    near = reach & (agreement(F.col("a.bits"), F.col("b.bits")) >= enough)
     first = F.element_at(F.filter(F.zip_with("a.bands", "b.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1) == F.col("a.key")
     take(a.join(b, apart & once & near & first).select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).distinct())
     return labels
