@@ -54,7 +54,12 @@ class Model:
         number = {name: i for i, name in enumerate(languages)}
         self.words = self._table(words, number)
         self.grams = [self._table([g for g in grams if len(g[0]) == n], number) for n in range(1, LONGEST_GRAM + 1)]
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words scored so far: their rows in `scores`."""
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(self.languages)))
 
     def _table(self, entries: list[tuple], number: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
         counts = np.full((len(entries), len(number)), SMOOTHING)
@@ -81,17 +86,20 @@ class Model:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        found = [[w for w in _LETTERS(text.lower()) if len(w) <= 4 * WORD_CHARS or w.isalpha()] for text in texts]
+        found = [_LETTERS(text.lower()) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self._forget()
         for word in set().union(*found) - self.known.keys():
-            self.known[word] = self.word(word)
+            row = self.known[word] = len(self.known)
+            if row == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[row] = self.word(word)
         out = []
         for words, text in zip(found, texts):
             if not words or not any(map(str.isalpha, words if len(words) < 9 else text)):
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = np.sum([self.known[w] for w in words], axis=0)
+            total = self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
             odds = np.exp(total - total.max())
             best = int(np.argmax(total))
             out.append((self.languages[best], float(odds[best] / odds.sum())))
@@ -104,10 +112,14 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
     found = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(F.split(text, r"\P{L}+")).alias("word"))
     found = found.filter((F.length("word") > 0) & (F.length("word") <= WORD_CHARS))
     counts = stored(found.groupBy("word", "lang").agg(F.count("*").alias("n")), "words")
-    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    cuts = [F.transform(F.sequence(F.lit(1), F.length("word") + 3 - n), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST_GRAM + 1)]
-    cuts = [F.when(F.length("word") + 2 >= n, cut).otherwise(F.array().cast("array<string>")) for n, cut in enumerate(cuts, 1)]
-    pieces_of = counts.select("lang", "n", F.explode(F.concat(*cuts)).alias("word"))
+    # one longest n-gram from every place of a word, filled up behind its end; the shorter
+    # ones are the beginnings of these, and are taken from their counts
+    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$" * LONGEST_GRAM))
+    cuts = F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda i: F.substring(marked, i, F.lit(LONGEST_GRAM)))
+    longest = counts.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    end = F.locate("$", "gram")
+    size = F.when(end == 0, LONGEST_GRAM).otherwise(end)
+    pieces_of = longest.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("gram", F.lit(1), i))).alias("word"))
 
     def top(rows: DataFrame, limit: int) -> list[tuple]:
         by_language = rows.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word")
