@@ -126,17 +126,11 @@ def delay_stats(
     tidy = orders.withColumn("traffic_density", F.trim("traffic_density"))
     y = "time_taken_min"
     predictors = ["distance_km", "multiple_deliveries"]
-    pearson, anova = pearson_and_anova(orders if untrafficked is None else untrafficked, y, predictors, "weather")
-    correlations = pearson.select(
-        F.concat("predictor", F.lit(f" vs {y}")).alias("test"),
-        F.lit("Pearson r").alias("method"),
-        "statistic", "f", "dof1", "dof2",
-    )
+    moments = pearson_and_anova(orders if untrafficked is None else untrafficked, y, predictors, "weather")
+    method = F.when(F.col("test") == "pearson", "Pearson r").otherwise("One-way ANOVA F").alias("method")
+    others = moments.select(F.concat("name", F.lit(f" vs {y}")).alias("test"), method, "statistic", "f", "dof1", "dof2")
     ranks = spearman_ordinal(tidy, "traffic_density", levels, y, ranges).select(
         F.lit(f"traffic_density (ordinal) vs {y}").alias("test"), F.lit("Spearman rho").alias("method"), "*"
     )
-    variances = anova.select(
-        F.lit(f"weather vs {y}").alias("test"), F.lit("One-way ANOVA F").alias("method"), "*"
-    )
-    stacked = union_all([correlations, ranks, variances])
+    stacked = union_all([others, ranks])
     return with_p_value(stacked).select("test", "method", "statistic", "p_value")

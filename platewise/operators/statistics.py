@@ -41,54 +41,54 @@ def _moments(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> Da
     return df.groupBy(group).agg(*columns)
 
 
-def _pearson_of(moments: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Moments of groups add up around the common mean, so no digits are lost to large means."""
+def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> DataFrame:
+    """Pearson r of `y` with each predictor, over the rows where both are known, and the
+    one-way analysis of variance of `y` over the groups
+    -> test ('pearson' or 'anova'), name (predictor or group), statistic, f, dof1, dof2
+
+    Everything comes from the moments per group: one pass over the data, one row per group
+    of the vocabulary after it. Moments of groups add up around the common mean, so no
+    digits are lost to large means.
+    """
     everywhere = Window.partitionBy()
-    centred = moments
+
+    def mean_of(value: str, count: Column) -> Column:
+        return ratio(F.sum(count * F.col(value)).over(everywhere), F.sum(count).over(everywhere))
+
+    columns, sums = {}, []
     for i in range(len(predictors)):
         n = F.col(f"n{i}")
-        dx, dy = (F.col(f"{v}{i}") - ratio(F.sum(n * F.col(f"{v}{i}")).over(everywhere), F.sum(n).over(everywhere)) for v in "xy")
-        for name, within, between in (("sxy", "xy", dx * dy), ("sxx", "xx", dx * dx), ("syy", "yy", dy * dy)):
-            centred = centred.withColumn(f"{name}{i}", n * (F.col(f"{within}{i}") + between))
+        dx, dy = (F.col(f"{v}{i}") - mean_of(f"{v}{i}", n) for v in "xy")
+        for name, between in (("xy", dx * dy), ("xx", dx * dx), ("yy", dy * dy)):
+            columns[f"s{name}{i}"] = n * (F.col(f"{name}{i}") + between)
+            sums.append(F.sum(f"s{name}{i}").alias(f"s{name}{i}"))
+        sums.append(F.coalesce(F.sum(n), F.lit(0)).alias(f"n{i}"))
+    grouped = F.when(F.col(group).isNotNull() & (F.col("n") > 0), F.col("n"))
+    shift = F.col("mean") - mean_of("mean", grouped)
+    columns |= {"grouped": grouped, "between": grouped * shift * shift, "within": grouped * F.col("variance")}
+    sums += [F.sum(c).alias(c) for c in ("grouped", "between", "within")] + [F.count("grouped").alias("groups")]
+    total = _moments(df, y, predictors, group).withColumns(columns).agg(*sums)
+
     rows = []
     for i, name in enumerate(predictors):
-        r = ratio(F.sum(f"sxy{i}"), F.sqrt(F.sum(f"sxx{i}")) * F.sqrt(F.sum(f"syy{i}")))
-        rows.append(F.struct(F.lit(name).alias("predictor"), r.alias("r"), F.sum(f"n{i}").alias("n")))
-    sums = centred.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
-    return sums.select("predictor", *_correlation_row(F.col("r"), F.coalesce("n", F.lit(0))))
-
-
-def _anova_of(moments: DataFrame, group: str) -> DataFrame:
-    everywhere = Window.partitionBy()
-    groups = moments.filter(F.col(group).isNotNull() & (F.col("n") > 0))
-    n, mean = F.col("n"), F.col("mean")
-    shift = mean - ratio(F.sum(n * mean).over(everywhere), F.sum(n).over(everywhere))
-    squares = groups.withColumn("shift", shift).agg(
-        F.sum(n * F.col("shift") * F.col("shift")).alias("between"),
-        F.sum(n * F.col("variance")).alias("within"),
-        (F.count("*") - 1).cast("double").alias("dof1"),
-        (F.sum(n) - F.count("*")).cast("double").alias("dof2"),
-    )
-    f = open_ratio(ratio(F.col("between"), F.col("dof1")), ratio(F.col("within"), F.col("dof2")))
-    return squares.withColumn("f", f).select(F.col("f").alias("statistic"), "f", "dof1", "dof2")
+        r = ratio(F.col(f"sxy{i}"), F.sqrt(f"sxx{i}") * F.sqrt(f"syy{i}"))
+        rows.append(F.struct(F.lit("pearson").alias("test"), F.lit(name).alias("name"), *_correlation_row(r, F.col(f"n{i}"))))
+    dof1, dof2 = (F.col("groups") - 1).cast("double"), (F.col("grouped") - F.col("groups")).cast("double")
+    f = open_ratio(ratio(F.col("between"), dof1), ratio(F.col("within"), dof2))
+    anova = [f.alias("statistic"), f.alias("f"), dof1.alias("dof1"), dof2.alias("dof2")]
+    rows.append(F.struct(F.lit("anova").alias("test"), F.lit(group).alias("name"), *anova))
+    return total.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
 
 
 def pearson(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
-    """Pearson r of `y` with each predictor, over the rows where both are known
-    -> predictor, statistic, f, dof1, dof2; all predictors in one pass"""
-    return _pearson_of(_moments(df.withColumn("_all", F.lit(1)), y, predictors, "_all"), predictors)
+    """Pearson r of `y` with each predictor -> predictor, statistic, f, dof1, dof2"""
+    rows = pearson_and_anova(df.withColumn("_all", F.lit(1)), y, predictors, "_all").filter("test = 'pearson'")
+    return rows.withColumnRenamed("name", "predictor").drop("test")
 
 
 def anova(df: DataFrame, group: str, y: str) -> DataFrame:
     """One-way analysis of variance of `y` over the groups -> statistic, f, dof1, dof2"""
-    return _anova_of(_moments(df, y, [], group), group)
-
-
-def pearson_and_anova(df: DataFrame, y: str, predictors: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
-    """Both of the above from the moments per group: one pass over the data, one row per
-    group of the vocabulary after it."""
-    moments = _moments(df, y, predictors, group)
-    return _pearson_of(moments, predictors), _anova_of(moments, group)
+    return pearson_and_anova(df, y, [], group).drop("test", "name")
 
 
 def spearman_ordinal(

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from platewise.operators.statistics import pearson_and_anova
+from platewise.plans.bindings import line_deliveries
 from platewise.plans.catalog import QUERIES
 
 
@@ -39,3 +41,14 @@ def test_scans_are_pruned(spark, sf_dir):
 
 def test_cutoff_reaches_the_scan(spark, sf_dir):
     assert re.search(r"PushedFilters: \[.*LessThan\(ts,2024-01-21", plan(spark, sf_dir, "retention_curve"))
+
+
+def test_delay_tests_join_once_and_share_a_pass(spark, sf_dir):
+    text = plan(spark, sf_dir, "delay_stats").split("== Initial Plan ==")[-1]
+    # the ranks need the joined traffic; whatever repeats of that is one exchange at run time
+    joins = [line for line in text.splitlines() if "Join" in line and "l_orderkey" in line]
+    ranked = [line for line in text.splitlines() if "HashAggregate" in line and "level" in line and "partial_count" in line]
+    assert joins and len(joins) <= len(ranked)
+    both = pearson_and_anova(line_deliveries(spark, sf_dir), "time_taken_min", ["distance_km"], "weather")
+    text = both._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("FileScan") == 1
