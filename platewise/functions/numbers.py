@@ -14,6 +14,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def exact(value: Column) -> Column:
+    """The value as a decimal of 10 places where that is the same number, else NULL."""
+    decimal = value.try_cast("decimal(38,10)")
+    return F.when(decimal.cast("double") == value.cast("double"), decimal)
+
+
 def rate(flag: Column) -> Column:
     """Share of true values (aggregate); NULL flags are skipped."""
     return F.avg(flag.cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import maybe_round, percent, rate, ratio
+from platewise.functions.numbers import exact, maybe_round, percent, rate, ratio
 from platewise.functions.periods import day, month_label, month_start, week_end_month, week_start
 from platewise.schemas import FUNNEL_STAGES
 
@@ -96,8 +96,9 @@ def _orders_by_user(orders: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.count("order_value").alias("valued"),
-            # in the column's own type: exact for decimals, and nothing is cast away
-            F.sum("order_value").alias("value"),
+            F.sum(F.col("order_value").cast("double")).alias("value"),
+            F.try_sum(exact(F.col("order_value"))).alias("exact"),
+            F.when(F.try_sum(exact(F.col("order_value"))).isNotNull(), F.count(exact(F.col("order_value")))).otherwise(0).alias("exacts"),
         )
     )
 
@@ -111,7 +112,10 @@ def _orders_by_month(orders: DataFrame) -> DataFrame:
             F.sum("n").alias("orders"),
             F.count("user_id").alias("ordering_users"),
             F.sum("valued").alias("valued_orders"),
-            F.sum("value").alias("revenue"),
+            # exact, whatever the order of summing, unless a value is no such decimal
+            F.coalesce(
+                F.when(F.sum("exacts") == F.sum("valued"), F.try_sum("exact")).cast("double"), F.sum("value")
+            ).alias("revenue"),
             rate(repeated).alias("repeat_rate"),
         )
     )

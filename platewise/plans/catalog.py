@@ -119,7 +119,8 @@ QUERIES: dict[str, Query] = {
     "orders_monthly": lambda s, d: plain(growth.orders_monthly(b.shop_orders(s, d))),
     "repeat_rate_within_month": lambda s, d: plain(growth.repeat_rate_within_month(b.shop_orders(s, d))),
     "growth_monthly_week_end": lambda s, d: plain(
-        growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE), 4
+        # by way of nine digits, so that ties round alike in both engines
+        plain(growth.growth_monthly(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE), 9), 4
     ),
     "growth_monthly_week_split": lambda s, d: plain(
         growth.growth_monthly_split(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)

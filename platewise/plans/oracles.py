@@ -376,13 +376,13 @@ FROM curve, line""",
     + f"""SELECT CAST(CAST(month AS DATE) AS VARCHAR) AS month, {_round("repeat_rate", 4)} AS repeat_order_rate_within_month
 FROM repeat_months""",
     "growth_monthly_week_end": _with(OPENS, SHOP_ORDERS, ACTIVITY, ORDER_MONTHS)
-    + """
+    + f"""
 , dau_months AS (SELECT date_trunc('month', d) AS month, avg(dau) AS dau FROM daily GROUP BY 1),
 wau_months AS (SELECT date_trunc('month', w + INTERVAL 6 DAY) AS month, avg(wau) AS wau FROM weekly GROUP BY 1)
-SELECT strftime(month, '%Y-%m') AS month, round(dau, 4) AS DAU_avg, round(wau, 4) AS WAU_avg, mau AS MAU,
-       orders, ordering_users, round(orders / ordering_users, 4) AS orders_per_ordering_user,
-       round(orders / mau, 4) AS orders_per_MAU, round(CAST(revenue AS DOUBLE) / orders, 4) AS AOV, CAST(revenue AS DOUBLE) AS revenue,
-       round(CAST(revenue AS DOUBLE) / mau, 4) AS revenue_per_MAU, round(repeat_rate, 4) AS repeat_order_rate_within_month
+SELECT strftime(month, '%Y-%m') AS month, {_round("dau", 4)} AS DAU_avg, {_round("wau", 4)} AS WAU_avg, mau AS MAU,
+       orders, ordering_users, {_round("orders / ordering_users", 4)} AS orders_per_ordering_user,
+       {_round("orders / mau", 4)} AS orders_per_MAU, {_round("CAST(revenue AS DOUBLE) / orders", 4)} AS AOV, CAST(revenue AS DOUBLE) AS revenue,
+       {_round("CAST(revenue AS DOUBLE) / mau", 4)} AS revenue_per_MAU, {_round("repeat_rate", 4)} AS repeat_order_rate_within_month
 FROM monthly LEFT JOIN dau_months USING (month) LEFT JOIN wau_months USING (month)
     LEFT JOIN order_months USING (month) LEFT JOIN repeat_months USING (month)""",
     "growth_monthly_week_split": _with(OPENS, SHOP_ORDERS, ACTIVITY, ORDER_MONTHS)
