@@ -47,13 +47,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Log frequencies per language of words and n-grams; rows of `table` belong to `rows`' keys."""
+    """Log frequencies per language of words and n-grams.
 
-    def __init__(self, languages: list[str], words: list[tuple], grams: list[tuple]):
+    `words` and `grams` are keys and their counts, a row per key and a column per language.
+    """
+
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
         self.languages = languages
-        number = {name: i for i, name in enumerate(languages)}
-        self.words = self._table(words, number)
-        self.grams = [self._table([g for g in grams if len(g[0]) == n], number) for n in range(1, LONGEST_GRAM + 1)]
+        self.words = self._table(*words)
+        self.grams = []
+        for n in range(1, LONGEST_GRAM + 1):
+            at = [i for i, key in enumerate(grams[0]) if len(key) == n]
+            self.grams.append(self._table([grams[0][i] for i in at], grams[1][at]))
         self._forget()
 
     def _forget(self) -> None:
@@ -61,12 +66,10 @@ class Model:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.languages)))
 
-    def _table(self, entries: list[tuple], number: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-        counts = np.full((len(entries), len(number)), SMOOTHING)
-        for row, (_, by_language) in enumerate(entries):
-            for language, count in by_language.items():
-                counts[row, number[language]] += count
-        return {key: row for row, (key, _) in enumerate(entries)}, np.log(counts / np.maximum(counts.sum(axis=0), 1e-9))
+    @staticmethod
+    def _table(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        counts = counts + SMOOTHING
+        return {key: row for row, key in enumerate(keys)}, np.log(counts / np.maximum(counts.sum(axis=0), 1e-9))
 
     def word(self, word: str) -> np.ndarray:
         """One score per language."""
@@ -121,13 +124,17 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
     size = F.when(end == 0, LONGEST_GRAM).otherwise(end)
     pieces_of = longest.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("gram", F.lit(1), i))).alias("word"))
 
-    def top(rows: DataFrame, limit: int) -> list[tuple]:
-        by_language = rows.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word")
-        entries = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        best = by_language.agg(F.sum("n").alias("total"), entries.alias("counts")).orderBy(F.desc("total"), "word").limit(limit)
-        return [(r.word, r.counts) for r in best.collect()]
-
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+
+    def top(rows: DataFrame, limit: int) -> tuple[list[str], np.ndarray]:
+        """Fetched as columns: one for the keys, one per language."""
+        if not languages:
+            return [], np.zeros((0, 0))
+        own = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+        best = rows.groupBy("word").agg(F.sum("n").alias("total"), *own).orderBy(F.desc("total"), "word").limit(limit)
+        found = best.drop("total").toArrow()
+        return found.column("word").to_pylist(), np.stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
+
     return Model(languages, top(counts, words), top(pieces_of, grams))
 
 

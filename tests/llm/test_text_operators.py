@@ -223,7 +223,8 @@ def test_language_of_held_out_documents(documents):
 
 
 def test_language_backs_off_to_shorter_grams():
-    model = language_id.Model(["a", "b"], [("dom", {"a": 5})], [("lk", {"b": 3}), ("zy", {"a": 3}), ("q", {"a": 9}), ("k", {"a": 9}), ("w", {"b": 18})])
+    grams = ["lk", "zy", "q", "k", "w"], np.array([(0, 3), (3, 0), (9, 0), (9, 0), (0, 18)], float)
+    model = language_id.Model(["a", "b"], (["dom"], np.array([(5.0, 0.0)])), grams)
     assert model.word("dom").argmax() == 0
     assert model.word("xlkx").argmax() == 1  # the longest known n-gram decides, not the shorter k
     assert model.word("zqz").argmax() == 0
