@@ -33,8 +33,8 @@ K = 5
 #: Rows of a candidate block and of a query block, on average.
 CANDIDATES = 8192
 QUERIES = 512
-#: Parts of a list that are read between two looks at the bounds.
-STEPS = 16
+#: How far the lists are read before each look at the bounds, of the last of these.
+DEPTHS = (2, 4, 8, 12, 16)
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -74,47 +74,53 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
-        self.depth_read = 0
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates; fewer if there are fewer."""
-        size, width = self.vectors.shape
-        other = self.ids != query_id
-        if not other.any():
-            return self.ids[:0], self.ids[:0]
-        weight = query.astype(np.float64)
-        falling = weight > 0
-        # far end of each list: the least that an unread component adds
-        least = np.where(falling, self.sorted[:, 0], self.sorted[:, -1]) * weight
-        lower = np.full(size, least.sum())
-        met = np.zeros((size, width), np.float32)
-        lists = np.arange(width)[:, None]
-        step = -(-size // STEPS)
-        bar, can = -np.inf, other
-        for depth in range(0, size, step):
-            stop = min(size, depth + step)
-            places = np.where(falling[:, None], size - 1 - np.arange(depth, stop), np.arange(depth, stop))
-            who = self.order[lists, places]
-            gain = self.sorted[lists, places] * weight[:, None] - least[:, None]
-            lower += np.bincount(who.ravel(), weights=gain.ravel(), minlength=size)
-            met[who, lists] = 1
-            self.depth_read = stop
-            reached = np.where(falling, self.sorted[:, size - stop], self.sorted[:, stop - 1]) * weight
-            bounds = lower[other]
-            bar = np.partition(bounds, len(bounds) - k)[len(bounds) - k] if len(bounds) >= k else -np.inf
-            unmet_best = reached.sum()
-            if unmet_best < bar:
-                room = reached - least
-                upper = lower + room.sum() - met @ room
-                # the sum over what was met is in single precision; never rule out by its rounding
-                can = other & (upper >= bar - 1 - 1e-5 * np.abs(room).sum())
+        self.values = vectors.astype(np.float64)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, order, axis=0)
+        # each row's place in every list
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(order), dtype=np.int32)[:, None], axis=0)
+        self.depths: dict[int, int] = {}
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best candidates of each query; fewer if there are fewer.
+
+        The queries read all lists in step, each from the end that its component's sign
+        favours, and leave when their candidates are settled. Products of whole numbers and
+        their sums are exact in double precision here.
+        """
+        size = len(self.ids)
+        found = [(self.ids[:0], self.ids[:0])] * len(query_ids)
+        rest = np.arange(len(query_ids))
+        low, high = self.sorted[0], self.sorted[-1]
+        for part in DEPTHS:
+            if not len(rest):
                 break
-        rest = np.flatnonzero(can)
-        scores = self.vectors[rest] @ query
-        first = np.lexsort((self.ids[rest], -scores))[:k]
-        return self.ids[rest[first]], scores[first]
+            depth = max(1, -(-size * part // DEPTHS[-1]))
+            up, down = np.maximum(queries[rest], 0).astype(np.float64), np.maximum(-queries[rest], 0).astype(np.float64)
+            # what has been read: the last `depth` entries where the weight is positive, else the first
+            met_up, met_down = self.place >= size - depth, self.place < depth
+            least = up @ low - down @ high
+            lower = least + ((self.values - low) * met_up) @ up.T + ((high - self.values) * met_down) @ down.T
+            # how far above its least an unread component can still be
+            room_up, room_down = up * (self.sorted[size - depth] - low), down * (high - self.sorted[depth - 1])
+            room = room_up.sum(axis=1) + room_down.sum(axis=1)
+            for column, query_id in enumerate(query_ids[rest]):
+                lower[self.ids == query_id, column] = -np.inf
+            bar = np.partition(lower, size - k, axis=0)[size - k] if size >= k else np.full(len(rest), -np.inf)
+            settled = (least + room < bar) | (depth == size)
+            if settled.any():
+                upper = lower[:, settled] + room[settled]
+                upper -= met_up @ room_up[settled].T + met_down @ room_down[settled].T
+                can = (upper >= bar[settled]) & np.isfinite(lower[:, settled])
+                for column, query in enumerate(rest[settled]):
+                    who = np.flatnonzero(can[:, column])
+                    scores = self.vectors[who] @ queries[query]
+                    first = np.lexsort((self.ids[who], -scores))[:k]
+                    found[query] = self.ids[who[first]], scores[first]
+                    self.depths[int(query_ids[query])] = depth
+            rest = rest[~settled]
+        return found
 
 
 def top_rows(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int = CANDIDATES, per_block: int = QUERIES) -> DataFrame:
@@ -138,14 +144,12 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 asked = np.frombuffer(row["query_vectors"], np.int64).reshape(len(query_ids), -1)
                 width = lists.vectors.shape[1]
-                found = [[], [], []]
-                for query_id, query in zip(query_ids, asked):
-                    fit = np.zeros(width, np.int64)
-                    fit[: min(width, len(query))] = query[:width]
-                    ids, scores = lists.best(int(query_id), fit, k)
-                    for column, values in zip(found, (np.full(len(ids), query_id), ids, scores)):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["query_id", "vec_id", "score"])
+                fit = np.zeros((len(query_ids), width), np.int64)
+                fit[:, : min(width, asked.shape[1])] = asked[:, :width]
+                found = lists.best(query_ids, fit, k)
+                ids, scores = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                asker = np.repeat(query_ids, [len(x[0]) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return have.join(ask, "block").select("block", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(search, SCHEMA)
 

@@ -166,8 +166,8 @@ def test_reading_stops_before_the_lists_end():
     vectors = rng.integers(-20, 20, (4000, 4))
     vectors[7] = 256
     lists = topk.SortedLists(np.arange(4000), vectors)
-    ids, scores = lists.best(-1, np.array([256, 256, 1, 1]), 1)
-    assert ids.tolist() == [7] and scores.tolist() == [256 * 514] and lists.depth_read < 4000
+    ((ids, scores),) = lists.best(np.array([-1]), np.array([[256, 256, 1, 1]]), 1)
+    assert ids.tolist() == [7] and scores.tolist() == [256 * 514] and lists.depths[-1] < 4000
 
 
 # --- near-duplicates
