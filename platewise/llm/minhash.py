@@ -236,7 +236,11 @@ def class_components(classes: DataFrame, docs: DataFrame, percent: int = PERCENT
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and whether the document stays, for every row."""
+    """doc_id, text_hash, n_shingles, component_id, group and whether the document stays, for every row.
+
+    The group tells components apart also where they have no id, or one id between them; it is
+    null for documents without a set.
+    """
     rows = stored(signatures(docs), "signatures")
     full = rows.filter("n_shingles > 0")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
@@ -245,29 +249,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = class_components(classes, docs, percent)
     named = classes.select("id", "shingles", F.col("one.doc_id").alias("doc_id"))
     if labels is None:
-        named = named.select("shingles", F.col("doc_id").alias("component_id"))
+        named = named.select("shingles", F.col("doc_id").alias("component_id"), F.col("id").alias("group"))
     else:
         known = named.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = known.join(least, "label").select("shingles", "component_id")
-    linked = full.join(named, "shingles").select("doc_id", "text_hash", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+        named = known.join(least, "label").select("shingles", "component_id", F.col("label").alias("group"))
+    linked = full.join(named, "shingles").select("doc_id", "text_hash", "n_shingles", "component_id", "group")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def components_digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document with its component."""
-    return near_duplicates(docs, percent).drop("text_hash")
+    return near_duplicates(docs, percent).drop("text_hash", "group")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each component, all columns kept; of repeated rows one stays."""
     rows = stored(near_duplicates(docs, percent), "components")
     # documents without words are linked with nothing
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     apart = F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.xxhash64("doc_id", "text_hash"))
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
-    stay = rows.groupBy(group.alias("g"), apart.alias("a")).agg(pick).select(F.col("one.doc_id").alias("__doc"), F.col("one.text_hash").alias("__hash"))
+    stay = rows.groupBy("group", apart.alias("a")).agg(pick).select(F.col("one.doc_id").alias("__doc"), F.col("one.text_hash").alias("__hash"))
     own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
     found = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left_semi")
     if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():

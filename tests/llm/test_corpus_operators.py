@@ -257,6 +257,16 @@ def test_one_of_each_group_stays(documents):
     assert minhash.components_digest(documents().limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("linked", [True, False])
+def test_unlike_texts_stay_without_an_id_or_with_a_shared_one(documents, linked):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4])]
+    # near-duplicates: of one without an id, and of one with the shared id
+    more = [(None, texts[0] + " end"), (8, texts[4] + " end")] if linked else []
+    got = [(r.doc_id, r.text.removesuffix(" end")) for r in minhash.one_of_each(documents(*rows, *more)).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
 # --- repeated byte strings
 
 
