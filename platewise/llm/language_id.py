@@ -4,7 +4,9 @@ Learned: how often each word, and each character n-gram of the words, occurs per
 counted by Spark jobs over all training documents. The model keeps the most frequent words
 and n-grams, so its size is bounded however large the corpus. A word that the model knows is
 scored by its log frequency per language; an unknown one by its longest n-grams of which the
-model knows any, then by shorter ones, down to single letters.
+model knows any, then by shorter ones, down to single letters. A run of more than WORD_CHARS
+letters, as in a script without spaces, is never looked up whole: its n-grams are counted
+like all others, and it is scored in parts of about that length, each like an unknown word.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text if nothing could be learned. Languages that score alike give way to the first by name.
@@ -31,9 +33,11 @@ UNKNOWN = "und"
 MODEL_WORDS = 100_000
 MODEL_GRAMS = 200_000
 LONGEST_GRAM = 5
-#: Longer runs of letters are not words.
+#: Longer runs of letters are not words; only their n-grams count.
 WORD_CHARS = 40
-#: Words that a worker remembers; it then starts anew.
+#: Places of a longer run that are counted together.
+RUN_CHARS = 64
+#: Words that a worker remembers; it then starts anew. WORD_CHARS times as many letters at most.
 REMEMBERED = 400_000
 #: Added to every count.
 SMOOTHING = 0.5
@@ -64,6 +68,7 @@ class Model:
     def _forget(self) -> None:
         """Words scored so far: their rows in `scores`."""
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.scores = np.zeros((1024, len(self.languages)))
 
     @staticmethod
@@ -77,26 +82,35 @@ class Model:
         at = rows.get(word)
         if at is not None:
             return table[at]
+        marked = f"^{word}$"
         if len(word) <= WORD_CHARS:
-            marked = f"^{word}$"
-            for n in range(min(LONGEST_GRAM, len(marked)), 0, -1):
-                rows, table = self.grams[n - 1]
-                found = [rows[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in rows]
-                if found:
-                    return table[found].mean(axis=0)
+            return self._by_grams(marked, 0, len(marked))
+        # a longer run says as much as several words; its parts are about alike in length
+        parts = -(-len(marked) // (WORD_CHARS + 2))
+        cuts = [len(marked) * i // parts for i in range(parts + 1)]
+        return sum(self._by_grams(marked, start, stop) for start, stop in zip(cuts, cuts[1:]))
+
+    def _by_grams(self, marked: str, start: int, stop: int) -> np.ndarray:
+        """Scores by the n-grams that begin in a part."""
+        for n in range(min(LONGEST_GRAM, len(marked)), 0, -1):
+            rows, table = self.grams[n - 1]
+            found = [rows[g] for g in (marked[i : i + n] for i in range(start, min(stop, len(marked) - n + 1))) if g in rows]
+            if found:
+                return np.add.reduce(table.take(found, axis=0)) / len(found)
         return np.zeros(len(self.languages))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         found = [_LETTERS(text.lower()) for text in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.letters > REMEMBERED * WORD_CHARS:
             self._forget()
         for word in set().union(*found) - self.known.keys():
             row = self.known[word] = len(self.known)
             if row == len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[row] = self.word(word)
+            self.letters += len(word)
         out = []
         for words, text in zip(found, texts):
             if not words or not any(map(str.isalpha, words if len(words) < 9 else text)):
@@ -113,12 +127,19 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
     """Counts words and n-grams of all documents with a language."""
     text = F.lower(F.col("text").cast("string"))
     found = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(F.split(text, r"\P{L}+")).alias("word"))
-    found = found.filter((F.length("word") > 0) & (F.length("word") <= WORD_CHARS))
-    counts = stored(found.groupBy("word", "lang").agg(F.count("*").alias("n")), "words")
+    # a long run is counted in parts that overlap, so each of its places begins one longest n-gram
+    mark = F.concat(F.lit("^"), F.col("word"), F.lit("$" * LONGEST_GRAM))
+    overlapping = F.regexp_extract_all(mark, F.lit(f"(?=(.{{1,{RUN_CHARS + LONGEST_GRAM - 1}}})).{{1,{RUN_CHARS}}}"), F.lit(1))
+    whole = F.length("word") <= WORD_CHARS
+    found = found.filter(F.length("word") > 0)
+    found = found.select("lang", whole.alias("whole"), F.explode(F.when(whole, F.array("word")).otherwise(overlapping)).alias("word"))
+    counts = stored(found.groupBy("word", "lang", "whole").agg(F.count("*").alias("n")), "words")
     # one longest n-gram from every place of a word, filled up behind its end; the shorter
     # ones are the beginnings of these, and are taken from their counts
-    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$" * LONGEST_GRAM))
-    cuts = F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda i: F.substring(marked, i, F.lit(LONGEST_GRAM)))
+    marked = F.when(F.col("whole"), mark).otherwise(F.col("word"))
+    # the last part of a run may hold nothing but what fills it up
+    places = F.when(F.length(marked) >= LONGEST_GRAM, F.sequence(F.lit(1), F.length(marked) - (LONGEST_GRAM - 1)))
+    cuts = F.transform(places, lambda i: F.substring(marked, i, F.lit(LONGEST_GRAM)))
     longest = counts.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     end = F.locate("$", "gram")
     size = F.when(end == 0, LONGEST_GRAM).otherwise(end)
@@ -135,7 +156,7 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
         found = best.drop("total").toArrow()
         return found.column("word").to_pylist(), np.stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
 
-    return Model(languages, top(counts, words), top(pieces_of, grams))
+    return Model(languages, top(counts.filter("whole"), words), top(pieces_of, grams))
 
 
 def identified(docs: DataFrame, **sizes) -> DataFrame:

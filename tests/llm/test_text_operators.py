@@ -231,6 +231,28 @@ def test_language_backs_off_to_shorter_grams():
     assert model.word("zzz").tolist() == [0, 0]
 
 
+def test_language_of_unbroken_runs(documents):
+    rows = [(i, t.replace(" ", "") if lang == "cc" else t, lang) for i, t, lang in spoken(300)]  # cc is never written with spaces
+    unbroken = [(1000 + i, t.replace(" ", "") * 3, lang) for i, t, lang in spoken(60, seed=5)]
+    got = {r.doc_id: r for r in language_id.identified(documents(*rows, *((i, t, None) for i, t, _ in unbroken))).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in unbroken)
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang == "cc")
+
+
+def test_grams_of_long_runs_are_all_counted(documents):
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("abcdé𐐨") for _ in range(n)) for n in (1, 40, 41, 57, 58, 59, 60, 61, 62, 63, 64, 65, 122, 123, 124, 125, 126, 127, 128, 129, 500)]
+    model = language_id.learned(documents(*((i, f"{run} ab", "aa") for i, run in enumerate(runs))))
+    words = collections.Counter(w for run in runs for w in (run, "ab") if len(w) <= language_id.WORD_CHARS)
+    grams = collections.Counter()
+    for word in (w for run in runs for w in (f"^{run}$", "^ab$")):
+        grams.update(word[i : i + n] for n in range(1, language_id.LONGEST_GRAM + 1) for i in range(len(word) - n + 1))
+    plain = language_id.Model(["aa"], *((list(c), np.array([[float(n)] for n in c.values()])) for c in (words, grams)))
+    for (rows, table), (other, expected) in zip([model.words, *model.grams], [plain.words, *plain.grams]):
+        assert rows.keys() == other.keys()
+        assert all(np.isclose(table[at], expected[other[key]]).all() for key, at in rows.items())
+
+
 def test_language_without_anything_to_learn(documents):
     got = language_id.identified(documents((1, "some words"), (2, None))).collect()
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
