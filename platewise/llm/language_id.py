@@ -1,8 +1,10 @@
 """Language identification, words first.
 
 Learned: how often each word, and each character n-gram of the words, occurs per language,
-counted by Spark jobs over all training documents. The model keeps the most frequent words
-and n-grams, so its size is bounded however large the corpus. A word that the model knows is
+counted by Spark jobs over all training documents. The model keeps a bounded number of words
+and n-grams, however large the corpus: as many of the most frequent ones of each language, so
+that a large language displaces none of a small one, and where these leave room, because
+languages share some or have few, the most frequent ones of all. A word that the model knows is
 scored by its log frequency per language; an unknown one by its longest n-grams of which the
 model knows any, then by shorter ones, down to single letters. A run of more than WORD_CHARS
 letters, as in a script without spaces, is never looked up whole: its n-grams are counted
@@ -152,8 +154,13 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
         if not languages:
             return [], np.zeros((0, 0))
         own = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
-        best = rows.groupBy("word").agg(F.sum("n").alias("total"), *own).orderBy(F.desc("total"), "word").limit(limit)
-        found = best.drop("total").toArrow()
+        keys = stored(rows.groupBy("word").agg(F.sum("n").alias("total"), *own), "keys")
+        some = keys.orderBy(F.desc("total"), "word").limit(limit).withColumn("spare", F.lit(True))
+        for i in range(len(languages)):
+            most = keys.filter(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), "word").limit(limit // len(languages))
+            some = some.union(most.withColumn("spare", F.lit(False)))
+        best = some.groupBy(*keys.columns).agg(F.bool_and("spare").alias("spare")).orderBy("spare", F.desc("total"), "word").limit(limit)
+        found = best.drop("total", "spare").toArrow()
         return found.column("word").to_pylist(), np.stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
 
     return Model(languages, top(counts.filter("whole"), words), top(pieces_of, grams))

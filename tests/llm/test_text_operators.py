@@ -253,6 +253,18 @@ def test_grams_of_long_runs_are_all_counted(documents):
         assert all(np.isclose(table[at], expected[other[key]]).all() for key, at in rows.items())
 
 
+def test_a_large_language_displaces_no_small_one(documents):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(50)), "aa") for i in range(60)]
+    rows += [(i, " ".join(rng.choice(("stu", "vwx", "yzs", "tvy", "uwz")) for _ in range(3)), "bb") for i in range(60, 70)]
+    model = language_id.learned(documents(*rows), words=8, grams=20)
+    for lang in ("aa", "bb"):
+        count = collections.Counter(w for _, t, l in rows if l == lang for w in t.split())
+        assert set(sorted(count, key=lambda w: (-count[w], w))[:4]) <= model.words[0].keys()
+    assert len(model.words[0]) == 8 and sum(len(keys) for keys, _ in model.grams) == 20
+    assert model.predict(["stu vwx yzs", "syv tux", "abcd efgh"]) == [("bb", pytest.approx(1, abs=0.1)), ("bb", pytest.approx(1, abs=0.5)), ("aa", pytest.approx(1, abs=0.5))]
+
+
 def test_language_without_anything_to_learn(documents):
     got = language_id.identified(documents((1, "some words"), (2, None))).collect()
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
