@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import chat, encoding, language_id, line_dedup, minhash, packing, quality_rules, suffixes, topk, weak_labels
+from platewise.llm import chat, encoding, language_id, line_dedup, minhash, packing, quality_rules, simhash, spelling, suffixes, topk, weak_labels, whitening
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _documents(language_id.identified),
     "op9_suffix_dedup": _documents(suffixes.removed_digest),
     "op10_minhash": _documents(minhash.components_digest),
+    "op11_whitening": lambda spark, sf_dir: whitening.whitened(table(spark, sf_dir, "embeddings")),
+    "op12_spelling": _documents(spelling.spelling_forms),
+    "op13_simhash": _documents(simhash.near_duplicates),
 }
 
 LINES_SQL = """
