@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.geo import haversine_km
 from platewise.functions.periods import minutes_between
-from platewise.functions.text import as_whole, day_month_year, number, trimmed, without
+from platewise.functions.text import as_whole, clock_parts, date_parts, known, number, stripped, timestamp_of, without
 from platewise.schemas import RAW_ORDER_COLUMNS, SLA_MINUTES
 
 # Longest plausible preparation, and the plausible distances.
@@ -30,42 +30,51 @@ NUMERIC = (
 def clean_orders(raw: DataFrame, sla_minutes: float = SLA_MINUTES) -> DataFrame:
     """Raw text records -> the 18 columns of the order table, row for row.
 
-    Nothing is dropped: bad fields become NULL. One narrow projection, no shuffle.
+    Nothing is dropped: bad fields become NULL. No shuffle; every projection is narrow, and
+    each computes a value that the next uses more than once, so that it is computed once. A
+    column of the result reads the raw columns that it is made of, and no others.
     """
     df = raw.toDF(*[c.strip() for c in raw.columns])
     missing = [c for c in RAW_ORDER_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"raw orders lack the columns {missing}")
-    # All text fields go through one rule, all numbers through another: two short lambdas
-    # instead of thirty copies in one generated method, which the JVM would not compile.
-    texts = [F.col(f"`{name}`").cast("string") for name in RAW_ORDER_COLUMNS]
-    numeric = [RAW_ORDER_COLUMNS.index(name) for name in NUMERIC]
-    fields = df.select(F.transform(F.array(*texts), trimmed).alias("f"))
-    at = {name: F.get("f", F.lit(i)) for i, name in enumerate(RAW_ORDER_COLUMNS)}
-    minutes = without(at["Time_taken(min)"], "(min) ")
-    values = F.array(*[F.get("f", F.lit(i)) for i in numeric], minutes)
-    numbers = fields.select("f", F.transform(values, number).alias("n"))
-    number_of = {name: F.get("n", F.lit(i)) for i, name in enumerate([*NUMERIC, "Time_taken(min)"])}
-    parsed = numbers.select(
-        at["ID"].alias("order_id"),
-        at["Delivery_person_ID"].alias("delivery_person_id"),
-        at["Road_traffic_density"].alias("traffic_density"),
-        at["Type_of_order"].alias("order_type"),
-        at["Type_of_vehicle"].alias("vehicle_type"),
-        at["Festival"].alias("festival"),
-        at["City"].alias("city_type"),
-        number_of["Delivery_person_Age"].alias("delivery_person_age"),
-        number_of["Delivery_person_Ratings"].alias("delivery_person_rating"),
-        day_month_year(at["Order_Date"], at["Time_Orderd"]).alias("order_datetime"),
-        day_month_year(at["Order_Date"], at["Time_Order_picked"]).alias("same_day_pickup"),
-        number_of["Restaurant_latitude"].alias("lat1"),
-        number_of["Restaurant_longitude"].alias("lon1"),
-        number_of["Delivery_location_latitude"].alias("lat2"),
-        number_of["Delivery_location_longitude"].alias("lon2"),
-        trimmed(without(at["Weatherconditions"], "conditions ")).alias("weather"),
-        as_whole(number_of["Vehicle_condition"]).alias("vehicle_condition"),
-        number_of["multiple_deliveries"].alias("multiple_deliveries"),
-        number_of["Time_taken(min)"].alias("time_taken_min"),
+    field = {name: F.col(f"`{name}`") for name in RAW_ORDER_COLUMNS}
+    texts = df.select(*[stripped(c.cast("string")).alias(name) for name, c in field.items()])
+    unpacked = {
+        "Weatherconditions": stripped(without(known(field["Weatherconditions"]), "conditions ")),
+        "Time_taken(min)": without(known(field["Time_taken(min)"]), "(min) "),
+    }
+    texts = texts.select(*[unpacked.get(name, known(c)).alias(name) for name, c in field.items()])
+    text_columns = ["order_id", "delivery_person_id", "traffic_density", "order_type", "vehicle_type", "festival", "city_type"]
+    values = texts.select(
+        field["ID"].alias("order_id"),
+        field["Delivery_person_ID"].alias("delivery_person_id"),
+        field["Road_traffic_density"].alias("traffic_density"),
+        field["Type_of_order"].alias("order_type"),
+        field["Type_of_vehicle"].alias("vehicle_type"),
+        field["Festival"].alias("festival"),
+        field["City"].alias("city_type"),
+        known(field["Weatherconditions"]).alias("weather"),
+        date_parts(field["Order_Date"]).alias("date"),
+        clock_parts(field["Time_Orderd"]).alias("ordered"),
+        clock_parts(field["Time_Order_picked"]).alias("picked"),
+        *[number(field[name]).alias(name) for name in NUMERIC],
+        number(field["Time_taken(min)"]).alias("time_taken_min"),
+    )
+    parsed = values.select(
+        *text_columns,
+        "weather",
+        timestamp_of(F.col("date"), F.col("ordered")).alias("order_datetime"),
+        timestamp_of(F.col("date"), F.col("picked")).alias("same_day_pickup"),
+        F.col("Delivery_person_Age").alias("delivery_person_age"),
+        F.col("Delivery_person_Ratings").alias("delivery_person_rating"),
+        F.col("Restaurant_latitude").alias("lat1"),
+        F.col("Restaurant_longitude").alias("lon1"),
+        F.col("Delivery_location_latitude").alias("lat2"),
+        F.col("Delivery_location_longitude").alias("lon2"),
+        as_whole(F.col("Vehicle_condition")).alias("vehicle_condition"),
+        "multiple_deliveries",
+        "time_taken_min",
     )
 
     # A pickup that reads earlier than the order happened after midnight.
