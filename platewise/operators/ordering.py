@@ -8,11 +8,14 @@ each) are added.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def default_ranges(df: DataFrame) -> int:
     """Four ranges per shuffle partition: that setting already follows the size of the data."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -98,57 +101,111 @@ def row_positions(df: DataFrame, order_by: Sequence[str], name: str = "position"
 
 #: Ranks are bracketed to one part in so many of the rows.
 SKETCH_ACCURACY = 100_000
+#: Brackets per word of a pattern.
+WORD = 62
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles, interpolated linearly -> metric, probability, quantile; NULL and NaN left out
+def known_number(column: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
 
-    Two scans. The first, which runs at once, sketches each column and brackets every wanted
-    rank between two values. The second counts what lies below a bracket, a plain sum, and
-    shuffles only the values inside, a few in a hundred thousand of the rows, each distinct
-    one once.
+
+def column_figures(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], more: Mapping[str, Column] | None = None) -> dict:
+    """Figures of each column from one pass, which runs at once, and whatever else it is to aggregate.
+
+    -> {column: {count, mean, std, min, max, edges}, name: value of each of `more`}. The edges
+    bracket the rank of each probability from below and above.
     """
-    numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    probabilities = [float(p) for p in probabilities]
     margin = 3.0 / SKETCH_ACCURACY
-    wanted = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
+    wanted = [max(float(p) - margin, 0.0) for p in probabilities] + [min(float(p) + margin, 1.0) for p in probabilities]
     edges = F.array(*[F.lit(p) for p in wanted])
-    sketches = [c for i in range(len(columns)) for c in (F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY).alias(f"e{i}"), F.count(f"c{i}").alias(f"n{i}"))]
-    found = numbers.agg(*sketches).first()
-    cells = []
+    aggregates = [
+        F.struct(
+            F.count(f"c{i}").alias("count"),
+            F.avg(f"c{i}").alias("mean"),
+            F.nanvl(F.stddev_samp(f"c{i}"), F.lit(None).cast("double")).alias("std"),
+            F.min(f"c{i}").alias("min"),
+            F.max(f"c{i}").alias("max"),
+            F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY).alias("edges"),
+        ).alias(f"f{i}")
+        for i in range(len(columns))
+    ]
+    numbers = df.select("*", *[known_number(c).alias(f"c{i}") for i, c in enumerate(columns)]) if columns else df
+    found = numbers.agg(*aggregates, *[value.alias(f"m{i}") for i, value in enumerate((more or {}).values())]).first()
+    figures = {c: found[f"f{i}"].asDict() | {"wanted": wanted} for i, c in enumerate(columns)}
+    return figures | {name: found[f"m{i}"] for i, name in enumerate(more or {})}
+
+
+def quantiles_between(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], figures: Mapping) -> DataFrame:
+    """Exact quantiles, interpolated linearly -> metric, probability, quantile, by one scan
+
+    `figures` are those of `column_figures`, whose edges bracket each rank. A row gives one
+    small cell that says below which brackets it lies, a pattern that most rows share, and a
+    cell for each value inside a bracket, a few in a hundred thousand. Both are counted before
+    the shuffle.
+    """
+    probabilities = [float(p) for p in probabilities]
+    numbers = df.select(*[known_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    below, inside = [], []
     for i, c in enumerate(columns):
-        rows, value = found[f"n{i}"], F.col(f"c{i}")
-        for k, p in enumerate(probabilities):
-            below = above = F.lit(False)
+        value, known = F.col(f"c{i}"), figures[c]
+        for k in range(len(probabilities)):
+            low = high = F.lit(False)
             # in fewer rows the margin is less than the step between two ranks
-            if rows >= SKETCH_ACCURACY:
-                low, high = wanted[k], wanted[len(probabilities) + k]
-                below = value < found[f"e{i}"][k] if low > 0 else below
-                above = value > found[f"e{i}"][len(probabilities) + k] if high < 1 else above
-            # all that lies below a bracket is one cell
-            cell = F.struct(F.lit(c).alias("metric"), F.lit(p).alias("probability"), F.lit(rows).cast("long").alias("rows"), F.when(~below, value).alias("value"))
-            cells.append(F.when(value.isNotNull() & ~above, cell))
-    counts = (
-        numbers.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-        .groupBy("cell.metric", "cell.probability", "cell.rows", "cell.value")
+            if known["count"] >= SKETCH_ACCURACY:
+                low = value < known["edges"][k] if known["wanted"][k] > 0 else low
+                high = value > known["edges"][len(probabilities) + k] if known["wanted"][len(probabilities) + k] < 1 else high
+            number = len(below)
+            below.append(F.coalesce(low, F.lit(False)))
+            cell = F.struct(F.lit(number).alias("bracket"), F.lit(None).cast("array<bigint>").alias("under"), value.alias("value"))
+            inside.append(F.when(value.isNotNull() & ~low & ~high, cell))
+    words = [
+        reduce(add, [F.when(flag, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, flag in enumerate(below[at : at + WORD])])
+        for at in range(0, len(below), WORD)
+    ]
+    pattern = F.struct(F.lit(-1).alias("bracket"), F.array(*words).alias("under"), F.lit(None).cast("double").alias("value"))
+    counted = (
+        numbers.select(F.explode(F.array(pattern, *inside)).alias("cell"))
+        .filter("cell is not null")
+        .groupBy("cell.bracket", "cell.under", "cell.value")
         .agg(F.count("*").alias("n"))
     )
+    # every bracket that a pattern is below: at most one row per pattern and bracket
+    brackets = F.array(*[F.lit(b) for b in range(len(below))])
+    is_under = lambda b: F.getbit(F.get("under", F.floor(b / WORD).cast("int")), b % WORD) == 1
+    places = F.when(F.col("bracket") >= 0, F.array("bracket")).otherwise(F.filter(brackets, is_under))
+    counts = counted.select(F.explode(places).alias("bracket"), "value", "n").groupBy("bracket", "value").agg(F.sum("n").alias("n"))
+    about = F.array(
+        *[
+            F.struct(F.lit(c).alias("metric"), F.lit(p).alias("probability"), F.lit(float(p * (figures[c]["count"] - 1))).alias("place"))
+            for c in columns
+            for p in probabilities
+        ]
+    )
     # A window partition holds one bracket: a few in a hundred thousand of a column's rows.
-    place = F.col("probability") * (F.col("rows") - 1)
-    earlier = Window.partitionBy("metric", "probability").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    earlier = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("of", F.get(about, F.col("bracket")))
 
     def value_at(position: Column) -> Column:
         return F.max(F.when((F.col("ahead") <= position) & (position < F.col("ahead") + F.col("n")), F.col("value")))
 
-    ends = counts.withColumn("ahead", ahead).groupBy("metric", "probability", place.alias("place")).agg(
-        value_at(F.floor(place)).alias("low"), value_at(F.ceil(place)).alias("high")
+    ends = counts.groupBy("of.metric", "of.probability", "of.place").agg(
+        value_at(F.floor("of.place")).alias("low"), value_at(F.ceil("of.place")).alias("high")
     )
     return ends.selectExpr("metric", "probability", "low + (place - floor(place)) * (high - low) AS quantile")
 
 
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """Exact quantiles, interpolated linearly -> metric, probability, quantile; NULL and NaN left out
+
+    Two scans. The first, which runs at once, sketches each column and brackets every wanted
+    rank between two values; the second counts what lies below and inside the brackets.
+    """
+    return quantiles_between(df, columns, probabilities, column_figures(df, columns, probabilities))
+
+
 def exact_median(df: DataFrame, column: str) -> DataFrame:
     """One row, one column: the median (mean of the two middle values)."""
     return exact_quantiles(df, [column], [0.5]).agg(F.max("quantile").alias("median"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numbers import ordinal, rate
-from platewise.operators.ordering import exact_quantiles
+from platewise.operators.ordering import column_figures, quantiles_between
 from platewise.operators.sessions import stage_words, union_all
 from platewise.schemas import FUNNEL_STAGES
 
@@ -21,79 +21,80 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def _null_rates(df: DataFrame, digits: int) -> dict[str, Column]:
+    return {c: F.round(rate(F.col(f"`{c}`").isNull()), digits) for c in df.columns}
+
+
+def _top_rates(rows: DataFrame, k: int) -> DataFrame:
+    return rows.orderBy(F.desc("null_rate"), "column_name").limit(k)
+
+
 def null_profile(df: DataFrame, k: int = 10, digits: int = 3) -> DataFrame:
     """Share of missing values per column, the k highest -> column_name, null_rate
 
     One pass over the data; equal shares are ordered by column name.
     """
-    rates = df.agg(*[F.round(rate(F.col(f"`{c}`").isNull()), digits).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rates = df.agg(*[value.alias(f"c{i}") for i, value in enumerate(_null_rates(df, digits).values())])
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("null_rate")) for i, c in enumerate(df.columns)]
     )
-    return (
-        rates.select(F.explode(pairs).alias("pair"))
-        .select("pair.*")
-        .orderBy(F.desc("null_rate"), "column_name")
-        .limit(k)
-    )
+    return _top_rates(rates.select(F.explode(pairs).alias("pair")).select("pair.*"), k)
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per statistic
-    -> statistic, one column per summarised column
+QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
-    Quartiles are exact, with linear interpolation.
+
+class Profile:
+    """Null rates of all columns, and totals and quartiles of some, of a table in two scans.
+
+    The first scan runs when the profile is made and fetches one row: the rates, the totals,
+    and brackets around the quartiles. The second, only where quartiles are asked for, counts
+    what lies inside them.
     """
-    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    def known(c: str) -> Column:
-        return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
-    # One row per column, in one pass.
-    totals = df.agg(
-        F.array(
+    def __init__(self, df: DataFrame, columns: Sequence[str], digits: int = 3, nulls: bool = True):
+        self.df, self.columns = df, list(columns)
+        rates = _null_rates(df, digits) if nulls else {}
+        found = column_figures(df, self.columns, list(QUARTILES.values()), {f"null {c}": value for c, value in rates.items()})
+        self.figures = {c: found[c] for c in self.columns}
+        self.rates = {c: found[f"null {c}"] for c in rates}
+
+    def null_rates(self, k: int = 10) -> DataFrame:
+        """-> column_name, null_rate; as `null_profile`"""
+        rows = self.df.sparkSession.createDataFrame(list(self.rates.items()), "column_name string, null_rate double")
+        return _top_rates(rows, k)
+
+    def summary(self) -> DataFrame:
+        """-> statistic, one column per summarised column; as `numeric_summary`"""
+        totals = ("count", "mean", "std", "min", "max")
+        order = [*totals[:4], *QUARTILES, "max"]
+        names = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("statistic")) for i, s in enumerate(order)])
+        cells = quantiles_between(self.df, self.columns, list(QUARTILES.values()), self.figures)
+        # one row with the quartiles of all columns
+        wide = cells.agg(
             *[
-                F.struct(
-                    F.lit(c).alias("metric"),
-                    F.count(known(c)).cast("double").alias("count"),
-                    F.avg(known(c)).alias("mean"),
-                    F.nanvl(F.stddev_samp(known(c)), F.lit(None).cast("double")).alias("std"),
-                    F.min(known(c)).alias("min"),
-                    F.max(known(c)).alias("max"),
-                )
-                for c in columns
+                F.max(F.when((F.col("metric") == c) & (F.col("probability") == p), F.col("quantile"))).alias(f"q{i}_{name}")
+                for i, c in enumerate(self.columns)
+                for name, p in QUARTILES.items()
             ]
-        ).alias("rows")
-    ).select(F.explode("rows").alias("row")).select("row.*")
-    by_statistic = [
-        totals.select("metric", F.expr("stack(5, 'count', count, 'mean', mean, 'std', std, 'min', min, 'max', max)")),
-        exact_quantiles(df, columns, list(quartiles.values())).select(
-            "metric",
-            F.element_at(
-                F.create_map(*[F.lit(x) for name, p in quartiles.items() for x in (p, name)]), F.col("probability")
-            ),
-            "quantile",
-        ),
-    ]
-    # Eight rows per column at most from here on.
-    cells = union_all([df.toDF("metric", "statistic", "value") for df in by_statistic])
-    order = ["count", "mean", "std", "min", *quartiles, "max"]
-    names = F.array(*[F.lit(s) for s in order])
-    columns_of = [
-        F.max(F.when((F.col("metric") == c) & (F.col("statistic") == F.col("name")), F.col("value"))).alias(c)
-        for c in columns
-    ]
-    wide = (
-        cells.agg(F.collect_list(F.struct("metric", "statistic", "value")).alias("cells"))
-        .select(F.posexplode(names).alias("place", "name"), "cells")
-        .select("place", "name", F.explode_outer("cells").alias("cell"))
-        .select("place", "name", "cell.*")
-        .groupBy("place", "name")
-        .agg(*columns_of)
-    )
-    return wide.orderBy("place").select(
-        F.col("name").alias("statistic"),
-        *[F.when(F.col("name") == "count", F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in columns],
-    )
+        )
+
+        def cell(i: int, c: str) -> Column:
+            known = {name: F.lit(self.figures[c][name]).cast("double") for name in totals}
+            values = [known.get(s, F.col(f"`q{i}_{s}`") if s in QUARTILES else None) for s in order]
+            return F.get(F.array(*values), F.col("row.place")).alias(c)
+
+        rows = wide.withColumn("row", F.explode(names)).orderBy("row.place")
+        return rows.select("row.statistic", *[cell(i, c) for i, c in enumerate(self.columns)])
+
+
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, mean, std, min, quartiles and max, one row per statistic
+    -> statistic, one column per summarised column
+
+    Quartiles are exact, with linear interpolation. Two scans, of which the first runs at once.
+    """
+    return Profile(df, columns, nulls=False).summary()
 
 
 def pk_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -30,7 +30,7 @@ from platewise.operators.delivery import (
 from platewise.operators.experiment import ab_chi2, ab_readout, ab_ztest
 from platewise.operators.funnel import funnel, funnel_by_depth
 from platewise.operators.growth import dau, growth_monthly, growth_monthly_split, lifetime_repeat_rate, mau, wau
-from platewise.operators.quality import domain_violations, fk_orphans, null_profile, numeric_summary, pk_violations, row_counts
+from platewise.operators.quality import Profile, domain_violations, fk_orphans, pk_violations, row_counts
 from platewise.operators.report import key_numbers
 from platewise.operators.retention import cohort_retention, cohort_retention_wide, day_points, retention_curve
 from platewise.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TRAFFIC_LEVELS
@@ -68,16 +68,17 @@ def rows_in_and_out(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def report_tables(tables: dict[str, DataFrame], analysis_end: date) -> dict[str, DataFrame]:
-    """All result tables, lazily, by name."""
+    """All result tables by name; lazy but for single rows that steer them (profiles, medians)."""
     deliveries = tables["real_orders"]
     users, events = tables["synthetic_users"], tables["synthetic_funnel_events"]
     orders, ab = tables["synthetic_orders"], tables["synthetic_ab_test"]
     curve = retention_curve(users, events, analysis_end)
+    profile = Profile(deliveries, ["time_taken_min", "distance_km", "prep_time_min"])
     fractions = {"as_percent": False, "digits": None}
     return {
         "row_counts": row_counts(tables),
-        "null_profile": null_profile(deliveries),
-        "numeric_summary": numeric_summary(deliveries, ["time_taken_min", "distance_km", "prep_time_min"]),
+        "null_profile": profile.null_rates(),
+        "numeric_summary": profile.summary(),
         "funnel_first_session": funnel(events, view="first_session"),
         "funnel_blended_all_sessions": funnel(events, view="blended"),
         "cohort_retention_by_month": cohort_retention_wide(users, events, analysis_end),
