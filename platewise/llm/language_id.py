@@ -115,7 +115,7 @@ class Model:
             self.letters += len(word)
         out = []
         for words, text in zip(found, texts):
-            if not words or not any(map(str.isalpha, words if len(words) < 9 else text)):
+            if not words or not any(map(str.isalpha, text)):
                 out.append((UNKNOWN, 0.0))
                 continue
             total = self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)

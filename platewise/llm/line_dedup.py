@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.perfect_hash import Shard, shard_block
 from platewise.llm.rawtext import SPACES, U, pieces
-from platewise.llm.scratch import Sent, schema_with, stored
+from platewise.llm.scratch import plainly_named, schema_with, Sent, stored
 
 #: Documents from which on a line goes, and code points that its key needs.
 MIN_DOCUMENTS = 10
@@ -138,7 +138,11 @@ LINES, DROPPED, ROW, HITS = "__lines", "__dropped", "__row", "__hits"
 def line_deduplicated(
     docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, send_bytes: int = SEND_BYTES
 ) -> DataFrame:
-    """The documents with shared lines cut from `text`, and `__lines`, `__dropped` behind their columns."""
+    """The documents with shared lines cut from `text`, and `__lines`, `__dropped` behind their columns.
+
+    Columns that the documents have under these names, or `__row` and `__hits`, are left out.
+    """
+    docs = docs.drop(LINES, DROPPED, ROW, HITS)
     docs = docs.withColumn("text", docs["text"].cast("string"))
     blocks, shards, size = shard_table(line_counts(docs, min_documents, min_chars), shard_keys)
     schema = schema_with(docs, **{LINES: "long", DROPPED: "long"})
@@ -159,6 +163,12 @@ def line_deduplicated(
     return _routed(docs, blocks, shards, min_documents, min_chars).select(*docs.columns, LINES, DROPPED)
 
 
+def without_shared_lines(docs: DataFrame, **how) -> DataFrame:
+    """The documents with shared lines cut from `text` and all else as it was, whatever the columns are called."""
+    plain, named = plainly_named(docs, "doc_id", "text")
+    return named(line_deduplicated(plain, **how).select(*plain.columns))
+
+
 def _routed(docs: DataFrame, blocks: DataFrame, shards: int, min_documents: int, min_chars: int) -> DataFrame:
     """The way for shards of any size: line hashes travel to the shards, hits travel back.
 

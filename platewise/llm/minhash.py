@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.graph import components
 from platewise.llm.rawtext import LOWER, U, Prefixes, joined, mix, per_text, pieces, words
-from platewise.llm.scratch import stored
+from platewise.llm.scratch import plainly_named, stored
 
 WORDS = 5
 #: Percent of the union that two sets must share.
@@ -266,6 +266,7 @@ def components_digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each component, all columns kept; of repeated rows one stays."""
+    docs, named = plainly_named(docs, "doc_id", "text")
     rows = stored(near_duplicates(docs, percent), "components")
     # documents without words are linked with nothing
     apart = F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.xxhash64("doc_id", "text_hash"))
@@ -274,5 +275,5 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
     found = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left_semi")
     if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        return found.drop("__own")
-    return found.dropDuplicates(["doc_id", "__own"]).drop("__own")
+        return named(found.drop("__own"))
+    return named(found.dropDuplicates(["doc_id", "__own"]).drop("__own"))

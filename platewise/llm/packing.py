@@ -19,6 +19,7 @@ interchangeable. An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.llm.encoding import PATTERN, Vocabulary
+from platewise.llm.encoding import PATTERN, Vocabulary, encoder
 from platewise.llm.rawtext import pieces
 from platewise.llm.scratch import Sent, stored
 
 CAPACITY = 2048
+#: White space in a row from which the pattern of the faster tokenizer may run out of stack.
+LONG_BLANK = 100_000
 #: Closes every document.
 END = 0
 
@@ -58,6 +61,10 @@ def ranks_of(vocabulary: str) -> bytes:
     return b"\n".join(plain) + b"\n\n" + b"\n".join(map(line, sorted(special)))
 
 
+def has_long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in re.finditer(r"\s+", text))
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document with their place in it, length and checksum.
 
@@ -70,7 +77,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
         for part in pieces(batches):
             rows: list[list] = [[], [], [], [], []]
             for k, text in enumerate(part.column("text").fill_null("").to_pylist()):
-                ids = np.append(model.encode_to_numpy(text, allowed_special="all"), np.uint32(END)).astype("<u4")
+                # both give the same ids; the slower one takes white space of any length
+                own = encoder(vocabulary).encode([text])[0] if has_long_blank(text) else model.encode_to_numpy(text, allowed_special="all")
+                ids = np.append(own, np.uint32(END)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for piece, (start, stop) in enumerate(zip(cuts, cuts[1:])):

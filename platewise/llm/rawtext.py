@@ -84,17 +84,52 @@ def _power(name: str, base: np.uint64, size: int) -> np.ndarray:
     return have[:size]
 
 
+_PRIME = U((1 << 31) - 1)
+_SMALL_BASE = 1_357_924_681
+_SMALL_VALUES = np.random.default_rng(20251117).integers(1, int(_PRIME), 256, dtype=np.uint64)
+
+
+def _reduced(values: np.ndarray) -> np.ndarray:
+    """Values below 2**63 modulo the prime 2**31 - 1."""
+    values = (values & _PRIME) + (values >> U(31))
+    values = (values & _PRIME) + (values >> U(31))
+    return np.where(values >= _PRIME, values - _PRIME, values)
+
+
+def _small_power(name: str, base: int, size: int) -> np.ndarray:
+    """Powers of a base modulo the prime, by doubling."""
+    have = _powers.get(name)
+    if have is None or len(have) < size:
+        wanted = max(size, PIECE + 1)
+        have = np.ones(1, np.uint64)
+        while len(have) < wanted:
+            have = np.concatenate([have, _reduced(have * U(pow(base, len(have), int(_PRIME))))])
+        if size <= 4 * PIECE:
+            _powers[name] = have
+    return have[:size]
+
+
 class Prefixes:
-    """Polynomial hashes of every part of a byte buffer, modulo 2**64, in constant time each."""
+    """Polynomial hashes of every part of a byte buffer, in constant time each.
+
+    Two in one: modulo 2**64, which spreads best but for which some unlike strings are alike
+    under any base (those built like the Thue-Morse sequence), and modulo the prime 2**31 - 1,
+    which has no such strings.
+    """
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[data] * _power("up", _BASE, len(data)), out=self.sums[1:])
         self.down = _power("down", _BASE_INVERSE, len(data) + 1)
+        # sums of values below 2**31 stay below 2**63 for any buffer
+        self.small = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_reduced(_SMALL_VALUES[data] * _small_power("small up", _SMALL_BASE, len(data))), out=self.small[1:])
+        self.small_down = _small_power("small down", pow(_SMALL_BASE, -1, int(_PRIME)), len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of [start, end); equal parts have equal values wherever they stand."""
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        small = _reduced(_reduced(self.small[ends] - self.small[starts]) * self.small_down[starts])
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts] + mix(small)
 
 
 def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -54,6 +54,15 @@ def schema_with(df: DataFrame, **kinds: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items())])
 
 
+def plainly_named(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with its columns numbered, but those to keep, and what gives them their names back.
+
+    So no name of the caller's clashes with one that an operator uses.
+    """
+    names = docs.columns
+    return docs.toDF(*[name if name in keep else f"column_{i}" for i, name in enumerate(names)]), lambda rows: rows.toDF(*names)
+
+
 _made: dict[str, Any] = {}
 
 

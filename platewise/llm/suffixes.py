@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.rawtext import U, Prefixes, joined, mix, pieces
-from platewise.llm.scratch import schema_with, stored
+from platewise.llm.scratch import plainly_named, schema_with, stored
 
 SPAN = 200
 #: Length of the strings whose least hash is a window's anchor.
@@ -340,7 +340,7 @@ def repeats(docs: DataFrame, span: int = SPAN, size: int = ANCHOR, part: int = P
     found = found.join(kinds.filter("n = 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
     found = stored(whole.union(found), "found")
     ranges = F.struct((F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("stop"))
-    return places.join(found, ["anchor", "context"]).groupBy("doc_id", "text_hash").agg(F.collect_list(ranges).alias("__spans"))
+    return places.join(found, ["anchor", "context"]).groupBy("doc_id", "text_hash").agg(F.collect_set(ranges).alias("__spans"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -380,7 +380,7 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, span: int = SPAN, size: int = ANCHOR, part: int = PART) -> DataFrame:
     """The documents with repeated byte strings cut from `text`, all columns kept."""
-    docs = docs.withColumn("text", docs["text"].cast("string"))
+    docs, named = plainly_named(docs.withColumn("text", docs["text"].cast("string")), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -389,7 +389,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, size: int = ANCHOR, part:
             columns = [pa.array(cut, pa.string()) if n == "text" else piece.column(n) for n in piece.schema.names if n != "__spans"]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in piece.schema.names if n != "__spans"])
 
-    return _with_spans(docs, repeats(docs, span, size, part)).mapInArrow(run, schema_with(docs))
+    return named(_with_spans(docs, repeats(docs, span, size, part)).mapInArrow(run, schema_with(docs)))
 
 
 def removed_digest(docs: DataFrame, span: int = SPAN, size: int = ANCHOR, part: int = PART) -> DataFrame:

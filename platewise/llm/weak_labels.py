@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.quality_rules import Limits, measures
 from platewise.llm.rawtext import LOWER, U, Prefixes, joined, mix, per_text, pieces
-from platewise.llm.scratch import Sent, schema_with
+from platewise.llm.scratch import plainly_named, schema_with, Sent
 
 #: Labelled documents that are learned from, about.
 SAMPLE = 12_000
@@ -209,7 +209,11 @@ QUALITY, KEPT = "__quality", "__kept"
 
 
 def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, reject: float = REJECT) -> DataFrame:
-    """The documents with `__quality` (1 minus the probability of being bad) and `__kept` behind their columns."""
+    """The documents with `__quality` (1 minus the probability of being bad) and `__kept` behind their columns.
+
+    Columns that the documents have under these names are left out.
+    """
+    docs = docs.drop(QUALITY, KEPT)
     text = docs["text"].cast("string")
     docs = docs.withColumn("text", text)
     model = Sent(docs.sparkSession, fitted(docs.select(docs["doc_id"].cast("long"), "text"), labels, size))
@@ -229,6 +233,12 @@ def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, reject: float
     return docs.mapInArrow(run, schema_with(docs, **{QUALITY: "double", KEPT: "boolean"}))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The documents that the scorer keeps, as they were, whatever their columns are called."""
+    plain, named = plainly_named(docs, "doc_id", "text")
+    return named(scored(plain, labels, **how).filter(F.col(KEPT)).select(*plain.columns))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """One row per document with its quality and whether it is kept."""
     rows = scored(docs.select(docs["doc_id"].cast("long"), "text"), labels, size)
