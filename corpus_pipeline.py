@@ -25,13 +25,12 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer keeps; it learns from the labels beside the documents."""
-    rows = weak_labels.scored(docs, table(spark, sf_dir, "labels"))
-    return rows.filter(F.col(weak_labels.KEPT)).select(*docs.columns)
+    return weak_labels.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten or more documents go from all of them."""
-    return _recounted(line_dedup.line_deduplicated(docs).select(*docs.columns))
+    return _recounted(line_dedup.without_shared_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
