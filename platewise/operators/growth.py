@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.numbers import exact, maybe_round, percent, rate, ratio
 from platewise.functions.periods import day, month_label, month_start, week_end_month, week_start
+from platewise.operators.sessions import union_all
 from platewise.schemas import FUNNEL_STAGES
 
 OPEN_STAGE = FUNNEL_STAGES[0]
@@ -39,15 +40,46 @@ def mau(events: DataFrame, open_stage: str = OPEN_STAGE) -> DataFrame:
     return _active_users(events, open_stage, period, "mau").orderBy("month")
 
 
-def _user_months(events: DataFrame, open_stage: str) -> DataFrame:
-    """One row per user and month -> user_id, month, days, weeks.
+#: Size of a sketch of users, as a power of two; three standard deviations of its counts.
+SKETCH_SIZE = 14
 
-    Bit d of `days` is set when the user was active on day d + 1 of the month; bit k
-    of `weeks` when active in the k-th Monday-based week the month touches. Both
-    combine before the shuffle, and daily, weekly and monthly counts all follow from
-    this one small table.
+
+def sketch_error(size: int = SKETCH_SIZE) -> float:
+    """Relative error that a count from sketches keeps to, but for three in a thousand."""
+    return 3 * 1.04 / 2 ** (size / 2)
+
+
+def activity_sketches(events: DataFrame, open_stage: str = OPEN_STAGE, size: int = SKETCH_SIZE) -> DataFrame:
+    """One mergeable sketch of a day's users -> activity_date, users
+
+    A few kilobytes a day, whatever the number of users: keep them, and count weeks, months
+    or any other set of days without the events.
+    """
+    period = day(F.col("event_ts")).alias("activity_date")
+    user = F.col("user_id") if dict(events.dtypes)["user_id"] in ("int", "bigint", "string", "binary") else F.col("user_id").cast("string")
+    return _opens(events, open_stage).groupBy(period).agg(F.hll_sketch_agg(user, F.lit(size)).alias("users"))
+
+
+def approximate_activity(sketches: DataFrame, grain: str = "day") -> DataFrame:
+    """Distinct users by 'day', 'week' or 'month' from daily sketches -> period, users
+
+    Within `sketch_error` of the exact count; small counts are exact.
+    """
+    periods = {"day": lambda d: d, "week": week_start, "month": month_start}
+    if grain not in periods:
+        raise ValueError(f"unknown grain {grain!r}")
+    period = periods[grain](F.col("activity_date")).alias("period")
+    merged = sketches.groupBy(period).agg(F.hll_union_agg("users").alias("users"))
+    return merged.select("period", F.hll_sketch_estimate("users").alias("users")).orderBy("period")
+
+
+def activity_state(events: DataFrame, open_stage: str = OPEN_STAGE) -> DataFrame:
+    """One row per user and month -> user_id, month, days
+
+    Bit d of `days` is set when the user was active on day d + 1 of the month. All activity
+    figures follow from this small table; states of parts of the events merge into that of all.
     """
-    per_month = (
+    return (
         _opens(events, open_stage)
         .filter(F.col("user_id").isNotNull())
         .select(
@@ -58,6 +90,15 @@ def _user_months(events: DataFrame, open_stage: str) -> DataFrame:
         .groupBy("user_id", "month")
         .agg(F.bit_or("day_bit").alias("days"))
     )
+
+
+def merged_activity(*states: DataFrame) -> DataFrame:
+    """The state of all events from those of parts of them, which may overlap."""
+    return union_all(states).groupBy("user_id", "month").agg(F.bit_or("days").alias("days"))
+
+
+def _with_weeks(per_month: DataFrame) -> DataFrame:
+    """Adds `weeks`, whose bit k is set when active in the k-th Monday-based week the month touches."""
     # Aligned to weeks, bit 0 is the Monday of the month's first week.
     weeks = " + ".join(
         f"if((shiftright(shiftleft(days, weekday(month)), {7 * k}) & 127) != 0, {1 << k}, 0)" for k in range(WEEK_SLOTS)
@@ -88,39 +129,58 @@ def _weekly_by_sunday(user_months: DataFrame) -> DataFrame:
     )
 
 
-def _orders_by_user(orders: DataFrame) -> DataFrame:
-    """One row per month and user; everything monthly about orders sums up from it."""
-    return (
-        orders.filter(F.col("order_ts").isNotNull())
-        .groupBy(month_start(F.col("order_ts")).alias("month"), "user_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.count("order_value").alias("valued"),
-            F.sum(F.col("order_value").cast("double")).alias("value"),
-            F.try_sum(exact(F.col("order_value"))).alias("exact"),
-            F.when(F.try_sum(exact(F.col("order_value"))).isNotNull(), F.count(exact(F.col("order_value")))).otherwise(0).alias("exacts"),
-        )
+def _added_up(rows: DataFrame, n: Column, valued: Column, value: Column, decimal: Column, decimals: Column, *keys: Column | str) -> DataFrame:
+    total = F.try_sum(decimal)
+    return rows.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        F.sum(valued).alias("valued"),
+        F.sum(value).alias("value"),
+        total.alias("exact"),
+        F.when(total.isNotNull(), F.sum(decimals)).otherwise(0).alias("exacts"),
     )
 
 
-def _orders_by_month(orders: DataFrame) -> DataFrame:
+def order_state(orders: DataFrame) -> DataFrame:
+    """One row per user and day; everything about orders sums up from it
+    -> user_id, day, n, valued, value, exact, exacts
+
+    `value` is the sum of doubles, `exact` the sum of the `exacts` values that are decimals of
+    ten places. States of disjoint parts of the orders are stacked.
+    """
+    value = F.col("order_value")
+    rows = orders.filter(F.col("order_ts").isNotNull())
+    count = lambda c: c.isNotNull().cast("bigint")
+    return _added_up(rows, F.lit(1), count(value), value.cast("double"), exact(value), count(exact(value)), "user_id", day(F.col("order_ts")).alias("day"))
+
+
+def _orders_by_user(state: DataFrame) -> DataFrame:
+    """One row per month and user."""
+    names = ("n", "valued", "value", "exact", "exacts")
+    return _added_up(state, *map(F.col, names), month_start(F.col("day")).alias("month"), "user_id")
+
+
+def _monthly(by_user: DataFrame) -> DataFrame:
     repeated = F.when(F.col("user_id").isNotNull(), (F.col("n") >= 2))
-    return (
-        _orders_by_user(orders)
-        .groupBy("month")
-        .agg(
-            F.sum("n").alias("orders"),
-            F.count("user_id").alias("ordering_users"),
-            F.sum("valued").alias("valued_orders"),
-            # exact, whatever the order of summing, unless a value is no such decimal
-            F.coalesce(
-                F.when(F.sum("exacts") == F.sum("valued"), F.try_sum("exact")).cast("double"), F.sum("value")
-            ).alias("revenue"),
-            rate(repeated).alias("repeat_rate"),
-        )
+    return by_user.groupBy("month").agg(
+        F.sum("n").alias("orders"),
+        F.count("user_id").alias("ordering_users"),
+        F.sum("valued").alias("valued_orders"),
+        # exact, whatever the order of summing, unless a value is no such decimal
+        F.coalesce(
+            F.when(F.sum("exacts") == F.sum("valued"), F.try_sum("exact")).cast("double"), F.sum("value")
+        ).alias("revenue"),
+        rate(repeated).alias("repeat_rate"),
     )
 
 
+def _orders_by_month(orders: DataFrame) -> DataFrame:
+    value = F.col("order_value")
+    rows = orders.filter(F.col("order_ts").isNotNull())
+    count = lambda c: c.isNotNull().cast("bigint")
+    month = month_start(F.col("order_ts")).alias("month")
+    return _monthly(_added_up(rows, F.lit(1), count(value), value.cast("double"), exact(value), count(exact(value)), month, "user_id"))
+
+
 def _aov(digits: int | None) -> Column:
     """Mean value of the orders that have one."""
     return maybe_round(ratio(F.col("revenue"), F.col("valued_orders")), digits)
@@ -179,14 +239,23 @@ def growth_monthly(events: DataFrame, orders: DataFrame, open_stage: str = OPEN_
     orders_per_ordering_user, orders_per_MAU, AOV, revenue, revenue_per_MAU,
     repeat_order_rate_within_month. One row per month with active users.
     """
-    user_months = _user_months(events, open_stage)
+    return _growth(activity_state(events, open_stage), _orders_by_month(orders))
+
+
+def growth_from_states(activity: DataFrame, orders: DataFrame) -> DataFrame:
+    """`growth_monthly` from an `activity_state` and an `order_state`, without the events and orders."""
+    return _growth(activity, _monthly(_orders_by_user(orders)))
+
+
+def _growth(activity: DataFrame, orders_by_month: DataFrame) -> DataFrame:
+    user_months = _with_weeks(activity)
     active = user_months.groupBy("month").agg(
         _mean_per_slot("days").alias("dau_avg"), F.count("*").alias("mau")
     )
     # The joined sides hold one row per calendar month.
     return (
         active.join(F.broadcast(_weekly_by_sunday(user_months)), "month", "left")
-        .join(F.broadcast(_orders_by_month(orders)), "month", "left")
+        .join(F.broadcast(orders_by_month), "month", "left")
         .orderBy("month")
         .select(
             month_label(F.col("month")).alias("month"),
@@ -214,7 +283,7 @@ def growth_monthly_split(events: DataFrame, orders: DataFrame, open_stage: str =
     repeat_order_rate_within_month. One row per month with active users.
     """
     active = (
-        _user_months(events, open_stage)
+        _with_weeks(activity_state(events, open_stage))
         .groupBy("month")
         .agg(
             F.round(_mean_per_slot("days"), 1).alias("dau_avg"),

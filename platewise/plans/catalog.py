@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from platewise.functions.numbers import ratio, round_doubles
 from platewise.functions.tails import norm_cdf, norm_sf
 from platewise.operators import cleaning, delivery, experiment, funnel, growth, orders, quality, report, retention
-from platewise.operators.sessions import session_rollup
+from platewise.operators.sessions import session_rollup, union_all
 from platewise.plans import bindings as b
 from platewise.schemas import ORDER_VALUE_RANGE
 from platewise.sources.readers import typed
@@ -92,6 +92,29 @@ def orders_from_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def growth_by_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth from the states of everything before a day and of the rest, merged."""
+    cut = F.lit("1995-06-17").cast("timestamp_ntz")
+    opens, shop = b.order_opens(spark, sf), b.shop_orders(spark, sf)
+    activity = [growth.activity_state(opens.filter(part), b.OPEN_STAGE) for part in (F.col("event_ts") < cut, F.col("event_ts") >= cut)]
+    state = growth.order_state(shop.filter(F.col("order_ts") < cut)).union(growth.order_state(shop.filter(F.col("order_ts") >= cut)))
+    return growth.growth_from_states(growth.merged_activity(*activity), state)
+
+
+def approximate_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Users per day, week and month from daily sketches, held against the exact counts."""
+    opens = b.order_opens(spark, sf)
+    sketches = growth.activity_sketches(opens, b.OPEN_STAGE)
+    exact = {"day": growth.dau, "week": growth.wau, "month": growth.mau}
+    rows = []
+    for grain, counted in exact.items():
+        known = counted(opens, b.OPEN_STAGE).toDF("period", "exact_users")
+        close = F.abs(F.col("users") - F.col("exact_users")) <= F.greatest(F.col("exact_users") * growth.sketch_error(), F.lit(1))
+        both = known.join(growth.approximate_activity(sketches, grain), "period", "full")
+        rows.append(both.select(F.lit(grain).alias("grain"), "period", "exact_users", close.alias("within_error")))
+    return union_all(rows)
+
+
 QUERIES: dict[str, Query] = {
     # funnel
     "session_rollup": lambda s, d: plain(session_rollup(b.funnel_events(s, d))),
@@ -125,6 +148,8 @@ QUERIES: dict[str, Query] = {
     "growth_monthly_week_split": lambda s, d: plain(
         growth.growth_monthly_split(b.order_opens(s, d), b.shop_orders(s, d), b.OPEN_STAGE)
     ),
+    "growth_by_states": lambda s, d: plain(plain(growth_by_states(s, d), 9), 4),
+    "approximate_activity": lambda s, d: plain(approximate_activity(s, d)),
     "lifetime_repeat_rate": lambda s, d: growth.lifetime_repeat_rate(b.shop_orders(s, d)),
     "orders_from_events": lambda s, d: plain(orders_from_events(s, d)),
     # delivery
@@ -166,7 +191,7 @@ QUERIES: dict[str, Query] = {
     # reports
     "calibration_report": lambda s, d: plain(
         report.calibration_report(
-            b.users(s, d), b.funnel_events(s, d), b.event_orders(s, d), b.ANALYSIS_END, b.STAGES, b.DAYS
+            b.users(s, d), b.funnel_events(s, d), None, b.ANALYSIS_END, b.STAGES, b.DAYS, order_stage=b.STAGES[-1]
         )
     ),
     "key_numbers": lambda s, d: report.key_numbers(

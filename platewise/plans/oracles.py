@@ -578,3 +578,9 @@ SELECT (SELECT round(avg(CASE WHEN l_quantity <= 30 THEN 1.0 ELSE 0.0 END) * 100
        round(p, 5) AS p_value
 FROM tested, normal_tail""",
 }
+# the figures from merged states are those of a full run
+ORACLES["growth_by_states"] = ORACLES["growth_monthly_week_end"]
+ORACLES["approximate_activity"] = _with(OPENS, ACTIVITY) + """
+SELECT 'day' AS grain, CAST(d AS VARCHAR) AS period, dau AS exact_users, true AS within_error FROM daily
+UNION ALL SELECT 'week', CAST(CAST(w AS DATE) AS VARCHAR), wau, true FROM weekly
+UNION ALL SELECT 'month', CAST(CAST(month AS DATE) AS VARCHAR), mau, true FROM monthly"""

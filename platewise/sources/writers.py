@@ -41,3 +41,21 @@ def write_scalar(df: DataFrame, path: str, digits: int = 4) -> None:
 def save_table(df: DataFrame, name: str, fmt: str = "parquet") -> None:
     """Replace a catalog table."""
     df.write.mode("overwrite").format(fmt).saveAsTable(name)
+
+
+def write_days(df: DataFrame, path: str, column: str = "day") -> None:
+    """A store in parquet, one folder per value of a date column; values in `df` replace those
+    already there, all others stay as they are. A rerun of a day leaves the same store."""
+    # rows of a value meet before the write, in as many tasks as their size asks for
+    spread = df.hint("rebalance", column)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, fmt: str = "parquet") -> None:
+    """Replace a catalog table, dealt into buckets by `key` and sorted by it within.
+
+    Aggregates and joins by the key between tables of equally many buckets need no shuffle.
+    """
+    # one file per bucket
+    dealt = df.repartition(buckets, F.col(f"`{key}`"))
+    dealt.write.mode("overwrite").format(fmt).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
