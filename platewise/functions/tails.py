@@ -9,6 +9,7 @@ already aggregated, a handful of rows at most.
 from __future__ import annotations
 
 from functools import reduce
+from math import factorial
 from operator import add
 
 from pyspark.sql import Column, SparkSession
@@ -94,9 +95,13 @@ def log_gamma_ratio(a: Column, step: Column) -> Column:
     return smooth - reduce(add, [F.log1p(step / (a + float(i))) for i in range(10)])
 
 
+def _expandable(a: Column, b: Column) -> Column:
+    return (a >= LARGE) & (b <= FEW)
+
+
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
     """Continued fraction of the incomplete beta function; sqrt(max(a, b)) terms settle it."""
-    terms = (200 + 5 * F.sqrt(F.greatest(a, b))).cast("int")
+    terms = F.when(_expandable(a, b) | _expandable(b, a), 1).otherwise((200 + 5 * F.sqrt(F.greatest(a, b))).cast("int"))
 
     def odd(m):
         return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
@@ -108,9 +113,51 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
     return 1.0 / (1.0 + odd(F.lit(0.0)) / inner)
 
 
+def _upper_gamma(b: Column, u: Column, front: Column) -> Column:
+    """Upper incomplete gamma function of b at u over u**b * exp(-u); `front` is that over Gamma(b)."""
+    terms = (200 + 10 * F.sqrt(b)).cast("int")
+    fraction = _fold_down(terms, u + 2 * terms + 1.0 - b, lambda acc, k: u + 2 * k - 1.0 - b - k * (k - b) / acc)
+    series = _fold_down(terms, F.lit(1.0), lambda acc, k: 1.0 + u / (b + k) * acc) / b
+    return F.when(u < b + 1.0, 1.0 / front - series).otherwise(1.0 / fraction)
+
+
+#: From this first parameter on the incomplete beta function is expanded about the gamma function.
+LARGE = 1e6
+#: Up to this second parameter.
+FEW = 1000.0
+#: Terms of the expansion: at LARGE each is smaller than the one before by nine digits or more.
+EXPANSION = 4
+
+
+def _beta_expansion(a: Column, b: Column, odds: Column, log_gamma_b: Column) -> Column:
+    """I_x(a, b) at x = 1 / (1 + odds) for a far above b (DiDonato and Morris 1992, formula 9).
+
+    The number of terms does not depend on a, and no large numbers cancel.
+    """
+    middle = a + (b - 1.0) / 2.0
+    log_x = -F.log1p(odds)
+    u = -middle * log_x
+    front = F.exp(b * F.log(u) - u - log_gamma_b)
+    scale = F.exp(log_gamma_ratio(a, b) - b * F.log(middle))
+    part = _upper_gamma(b, u, front)
+    total, factor, power = part, [F.lit(1.0)], F.lit(1.0)
+    for n in range(1, EXPANSION + 1):
+        mixed = [(m * b - n) * factor[n - m] / float(factorial(2 * m + 1)) for m in range(1, n)]
+        factor.append(reduce(add, mixed, F.lit(0.0)) / float(n) + (b - 1.0) / float(factorial(2 * n + 1)))
+        at = b + 2.0 * (n - 1)
+        part = (at * (at + 1.0) * part + (u + at + 1.0) * power) / (4.0 * middle * middle)
+        power = power * log_x * log_x / 4.0
+        total = total + factor[n] * part
+    # beyond the range of doubles the tail is zero
+    return F.when(front > 0, scale * front * total).otherwise(0.0)
+
+
 def f_tail(f: Column, dof1: Column, dof2: Column) -> Column:
     """P(F > f) for an F(dof1, dof2) variable, the incomplete beta function
-    I_x(dof2 / 2, dof1 / 2) at x = dof2 / (dof2 + dof1 f)."""
+    I_x(dof2 / 2, dof1 / 2) at x = dof2 / (dof2 + dof1 f).
+
+    With many degrees of freedom below and few above, as in tests over large tables, by an
+    expansion of a fixed number of terms; else by a continued fraction."""
     a, b = dof2 / 2.0, dof1 / 2.0
     odds = dof1 * f / dof2
     x, y = 1.0 / (1.0 + odds), odds / (1.0 + odds)
@@ -123,6 +170,7 @@ def f_tail(f: Column, dof1: Column, dof2: Column) -> Column:
         F.when(~(dof1 > 0) | ~(dof2 > 0), None)
         .when(f <= 0, 1.0)
         .when(f == float("inf"), 0.0)
+        .when(_expandable(a, b), _beta_expansion(a, b, odds, log_gamma_b))
         .when(x < (a + 1.0) / (a + b + 2.0), front * _beta_fraction(a, b, x) / a)
         .when(f > 0, 1.0 - front * _beta_fraction(b, a, y) / b)
     )

@@ -119,18 +119,22 @@ def column_figures(df: DataFrame, columns: Sequence[str], probabilities: Sequenc
     margin = 3.0 / SKETCH_ACCURACY
     wanted = [max(float(p) - margin, 0.0) for p in probabilities] + [min(float(p) + margin, 1.0) for p in probabilities]
     edges = F.array(*[F.lit(p) for p in wanted])
+    # a name that no column of the table begins with
+    number = "number"
+    while any(name.startswith(number) for name in df.columns):
+        number += "_"
     aggregates = [
         F.struct(
-            F.count(f"c{i}").alias("count"),
-            F.avg(f"c{i}").alias("mean"),
-            F.nanvl(F.stddev_samp(f"c{i}"), F.lit(None).cast("double")).alias("std"),
-            F.min(f"c{i}").alias("min"),
-            F.max(f"c{i}").alias("max"),
-            F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY).alias("edges"),
+            F.count(value).alias("count"),
+            F.avg(value).alias("mean"),
+            F.nanvl(F.stddev_samp(value), F.lit(None).cast("double")).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("edges"),
         ).alias(f"f{i}")
-        for i in range(len(columns))
+        for i, value in enumerate(F.col(f"`{number}{i}`") for i in range(len(columns)))
     ]
-    numbers = df.select("*", *[known_number(c).alias(f"c{i}") for i, c in enumerate(columns)]) if columns else df
+    numbers = df.select("*", *[known_number(c).alias(f"{number}{i}") for i, c in enumerate(columns)])
     found = numbers.agg(*aggregates, *[value.alias(f"m{i}") for i, value in enumerate((more or {}).values())]).first()
     figures = {c: found[f"f{i}"].asDict() | {"wanted": wanted} for i, c in enumerate(columns)}
     return figures | {name: found[f"m{i}"] for i, name in enumerate(more or {})}

@@ -161,3 +161,54 @@ def stage_violations(events: DataFrame, stages: Sequence[str] = FUNNEL_STAGES) -
 def users_without_session(users: DataFrame, events: DataFrame, key: str = "user_id") -> DataFrame:
     """Users that never show up in the events -> key"""
     return users.select(key).join(events.select(key).distinct(), key, "left_anti")
+
+
+def constraint_report(
+    tables: Mapping[str, DataFrame],
+    primary_keys: Mapping[str, Sequence[str]],
+    foreign_keys: Sequence[tuple[str, str, str]],
+    domains: Mapping[str, Sequence[str]],
+) -> DataFrame:
+    """Offending keys, references and labels of all tables, each table read once
+    -> tbl, constraint, violations
+
+    A row gives a cell for its key, one for each reference, and one for each label outside its
+    domain; a parent's rows give the keys that references may name. All cells are counted by
+    constraint and text in one aggregate, combined before the shuffle, so a key that most rows
+    hold is one row per task. Counted are distinct keys and labels, as in the single checks.
+    """
+    checks: list[tuple[str, str, str]] = []
+    rows = []
+    text = lambda names: F.array(*[F.col(f"`{name}`").cast("string") for name in names])
+
+    def cell(check: int, key: Column, side: str) -> Column:
+        return F.struct(F.lit(check).alias("check"), key.alias("key"), *[F.lit(int(side == name)).cast("bigint").alias(name) for name in ("own", "named")])
+
+    cells: dict[str, list[Column]] = {name: [] for name in tables}
+    for name, keys in primary_keys.items():
+        cells[name].append(cell(len(checks), text(keys), "own"))
+        checks.append((name, f"primary key ({', '.join(keys)})", "key"))
+    for name, key, parent in foreign_keys:
+        # a NULL key refers to nothing
+        cells[name].append(F.when(F.col(f"`{key}`").isNotNull(), cell(len(checks), text([key]), "own")))
+        cells[parent].append(F.when(F.col(f"`{key}`").isNotNull(), cell(len(checks), text([key]), "named")))
+        checks.append((name, f"{key} in {parent}", "reference"))
+    for name, df in tables.items():
+        own = {c: labels for c, labels in domains.items() if c in df.columns}
+        for c, labels in own.items():
+            cells[name].append(F.when(~F.col(f"`{c}`").isin(*labels), cell(len(checks), F.array(F.lit(c), F.col(f"`{c}`").cast("string")), "own")))
+        if own:
+            checks.append((name, f"labels of {', '.join(own)}", "label"))
+    for name, df in tables.items():
+        if cells[name]:
+            rows.append(df.select(F.explode(F.array(*cells[name])).alias("cell")).filter("cell is not null").select("cell.*"))
+    kind = F.get(F.array(*[F.lit(kind) for _, _, kind in checks]), F.col("check"))
+    wrong = F.when(kind == "key", F.col("own") > 1).when(kind == "reference", (F.col("own") > 0) & (F.col("named") == 0)).otherwise(True)
+    counted = union_all(rows).groupBy("check", "key").agg(F.sum("own").alias("own"), F.sum("named").alias("named"))
+    found = counted.groupBy("check").agg(F.count_if(wrong).alias("violations"))
+    # one row per check from here on; a check without any cell has no violations
+    names = F.array(*[F.struct(F.lit(i).alias("check"), F.lit(t).alias("tbl"), F.lit(c).alias("constraint")) for i, (t, c, _) in enumerate(checks)])
+    known = found.agg(F.map_from_entries(F.collect_list(F.struct("check", "violations"))).alias("known"))
+    return known.select("known", F.explode(names).alias("of")).select(
+        "of.tbl", "of.constraint", F.coalesce(F.try_element_at("known", F.col("of.check")), F.lit(0)).alias("violations")
+    )

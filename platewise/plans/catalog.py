@@ -115,6 +115,21 @@ def approximate_activity(spark: SparkSession, sf: str) -> DataFrame:
     return union_all(rows)
 
 
+def constraint_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of lines and orders, references of orders and events, labels of orders, in one aggregate."""
+    tables = {
+        "lines": b.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_key"),
+        "orders": b.table(spark, sf, "orders").withColumnRenamed("o_custkey", "user_id"),
+        "users": b.event_users(spark, sf),
+    }
+    return quality.constraint_report(
+        tables,
+        {"lines": ["p_key", "l_suppkey"], "orders": ["o_orderkey"], "users": ["user_id"]},
+        [("orders", "user_id", "users")],
+        {"o_orderpriority": PRIORITIES, "o_orderstatus": ("F", "O")},
+    )
+
+
 QUERIES: dict[str, Query] = {
     # funnel
     "session_rollup": lambda s, d: plain(session_rollup(b.funnel_events(s, d))),
@@ -185,6 +200,7 @@ QUERIES: dict[str, Query] = {
         b.table(s, d, "orders"), {"o_orderpriority": PRIORITIES, "o_orderstatus": ("F", "O")}
     ),
     "stage_prefix_violations": lambda s, d: quality.stage_violations(b.all_events(s, d), b.STAGES),
+    "constraint_report": constraint_report,
     "users_without_session": lambda s, d: quality.users_without_session(
         b.table(s, d, "customer").withColumnRenamed("c_custkey", "user_id"), b.table(s, d, "events")
     ),

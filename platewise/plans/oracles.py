@@ -584,3 +584,13 @@ ORACLES["approximate_activity"] = _with(OPENS, ACTIVITY) + """
 SELECT 'day' AS grain, CAST(d AS VARCHAR) AS period, dau AS exact_users, true AS within_error FROM daily
 UNION ALL SELECT 'week', CAST(CAST(w AS DATE) AS VARCHAR), wau, true FROM weekly
 UNION ALL SELECT 'month', CAST(CAST(month AS DATE) AS VARCHAR), mau, true FROM monthly"""
+ORACLES["constraint_report"] = """
+SELECT 'lines' AS tbl, 'primary key (p_key, l_suppkey)' AS "constraint", count(*) AS violations
+    FROM (SELECT 1 FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)
+UNION ALL SELECT 'orders', 'primary key (o_orderkey)', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'users', 'primary key (user_id)', 0
+UNION ALL SELECT 'orders', 'user_id in users', count(DISTINCT o_custkey) FROM orders
+    WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)
+UNION ALL SELECT 'orders', 'labels of o_orderpriority, o_orderstatus',
+    (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))
+    + (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))"""

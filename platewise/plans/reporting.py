@@ -12,9 +12,8 @@ from __future__ import annotations
 import argparse
 import uuid
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators.cleaning import clean_orders
@@ -30,7 +29,7 @@ from platewise.operators.delivery import (
 from platewise.operators.experiment import ab_chi2, ab_readout, ab_ztest
 from platewise.operators.funnel import funnel, funnel_by_depth
 from platewise.operators.growth import dau, growth_monthly, growth_monthly_split, lifetime_repeat_rate, mau, wau
-from platewise.operators.quality import Profile, domain_violations, fk_orphans, pk_violations, row_counts
+from platewise.operators.quality import Profile, constraint_report, row_counts
 from platewise.operators.report import key_numbers
 from platewise.operators.retention import cohort_retention, cohort_retention_wide, day_points, retention_curve
 from platewise.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TRAFFIC_LEVELS
@@ -46,25 +45,7 @@ def _stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """-> tbl, constraint, violations: offending keys, references and labels of every table"""
-    checks = []
-    for name, keys in PRIMARY_KEYS.items():
-        checks.append((name, f"primary key ({', '.join(keys)})", pk_violations(tables[name], keys)))
-    for name, key, parent in FOREIGN_KEYS:
-        checks.append((name, f"{key} in {parent}", fk_orphans(tables[name], tables[parent], key)))
-    for name, df in tables.items():
-        domains = {c: labels for c, labels in DOMAINS.items() if c in df.columns}
-        if domains:
-            checks.append((name, f"labels of {', '.join(domains)}", domain_violations(df, domains)))
-    rows = [
-        found.agg(F.count("*").alias("violations")).select(F.lit(name).alias("tbl"), F.lit(what).alias("constraint"), "violations")
-        for name, what, found in checks
-    ]
-    return reduce(DataFrame.unionByName, rows)
-
-
-def rows_in_and_out(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """One row: records read and rows cleaned -> rows_in, rows_out"""
-    return raw.agg(F.count("*").alias("rows_in")).withColumn("rows_out", cleaned.agg(F.count("*")).scalar())
+    return constraint_report(tables, PRIMARY_KEYS, FOREIGN_KEYS, DOMAINS)
 
 
 def report_tables(tables: dict[str, DataFrame], analysis_end: date) -> dict[str, DataFrame]:
@@ -126,9 +107,14 @@ def run(
 
 def _write_report(spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date, store: str) -> None:
     raw = read_raw_orders(spark, raw_path)
-    cleaned = _stored(spark, clean_orders(raw), f"{store}/real_orders")
+    # counted while the cleaned rows are written: the raw file is read once
+    read, written = Observation("rows read"), Observation("rows written")
+    count = F.count(F.lit(1))
+    cleaning = clean_orders(raw.observe(read, count.alias("rows_in"))).observe(written, count.alias("rows_out"))
+    cleaned = _stored(spark, cleaning, f"{store}/real_orders")
     write_csv(cleaned, f"{out_path}/real_orders_clean")
-    write_csv(rows_in_and_out(raw, cleaned), f"{out_path}/tables/rows_in_and_out", single_file=True)
+    both = spark.createDataFrame([(read.get["rows_in"], written.get["rows_out"])], "rows_in long, rows_out long")
+    write_csv(both, f"{out_path}/tables/rows_in_and_out", single_file=True)
     tables = {"real_orders": cleaned}
     for name in ("synthetic_users", "synthetic_funnel_events", "synthetic_orders", "synthetic_ab_test"):
         tables[name] = _stored(spark, read_table(spark, f"{data_path}/{name}.csv", name), f"{store}/{name}")

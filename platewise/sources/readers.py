@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,23 @@ from platewise.functions.text import number, true_text, whole, without_cr
 from platewise.schemas import TABLES
 
 
-def read_raw_orders(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The raw order file as text columns, named by its header line.
+def read_raw_orders(spark: SparkSession, path: str, multi_line: bool = False, broken: str | None = None) -> DataFrame:
+    """The raw order files as text columns, named by the header line, which all files must share.
 
     Fields may be quoted, with doubled quotes inside. `multi_line` also allows line breaks
-    inside quotes; a file is then read by one task.
+    inside quotes; a file is then read by one task. `broken` names a further column that holds
+    the text of records with too few or too many fields, else NULL.
     """
     options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": multi_line}
-    return spark.read.options(**options).csv(path)
+    names = spark.read.options(**options).csv(path).columns
+    return _read_texts(spark, path, names, options, broken)
+
+
+def _read_texts(spark: SparkSession, path: str, header: Sequence[str], options: dict, broken: str | None) -> DataFrame:
+    """Text columns. Every file is held to the header as it is read, which costs no further scan."""
+    fields = [T.StructField(name, T.StringType(), True) for name in [*header, *([broken] if broken else [])]]
+    options = {"enforceSchema": False, **options} | ({"columnNameOfCorruptRecord": broken} if broken else {})
+    return spark.read.schema(T.StructType(fields)).options(**options).csv(path)
 
 
 def _typed(field: T.StructField) -> Column:
@@ -41,11 +51,16 @@ def typed(texts: DataFrame, schema: T.StructType) -> DataFrame:
     return texts.select(*[_typed(f).alias(f.name) for f in schema.fields])
 
 
-def _check_header(spark: SparkSession, path: str, names: list[str], sep: str) -> None:
-    first = spark.read.text(path).first()
-    found = next(csv.reader([first.value.rstrip("\r").removeprefix("\ufeff")], delimiter=sep)) if first else names
-    if [name.strip() for name in found] != names:
+def _checked_header(spark: SparkSession, path: str, names: list[str], sep: str) -> list[str]:
+    """The first file's header as it stands, once it is known to name the columns.
+
+    A byte order mark, blanks and a carriage return stay: the other files have them too.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    found = next(csv.reader([first.value.removesuffix("\r")], delimiter=sep)) if first else list(names)
+    if [name.removeprefix("\ufeff").strip() for name in found] != list(names):
         raise ValueError(f"{path} has the columns {found}, expected {names}")
+    return [*found[:-1], found[-1] + "\r" * (bool(first) and first.value.endswith("\r"))]
 
 
 def read_csv_table(
@@ -59,22 +74,17 @@ def read_csv_table(
 ) -> DataFrame:
     """A CSV file with a header line into a typed table.
 
-    The header must name the schema's columns in order; with `by_position` it is skipped
-    unread. Fields may be quoted; empty fields are NULL; booleans are the text 'True' or
+    The header must name the schema's columns in order, and be the same line in every file: a
+    file whose header differs fails the read. With `by_position` headers are skipped unread. Fields may be quoted; empty fields are NULL; booleans are the text 'True' or
     false; a carriage return left on the last field is removed. `multi_line` allows line
     breaks inside quotes. `broken` names a further column that holds the text of records
     with too few or too many fields, else NULL.
     """
-    if not by_position:
-        _check_header(spark, path, schema.names, sep)
-    as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": by_position}
     if not multi_line:
         options["lineSep"] = "\n"
-    if broken:
-        as_text = T.StructType([*as_text.fields, T.StructField(broken, T.StringType(), True)])
-        options["columnNameOfCorruptRecord"] = broken
-    raw = spark.read.schema(as_text).options(**options).csv(path)
+    header = schema.names if by_position or multi_line else _checked_header(spark, path, schema.names, sep)
+    raw = _read_texts(spark, path, header, options, broken).toDF(*schema.names, *([broken] if broken else []))
     return typed(raw, schema) if not broken else raw.select(*[_typed(f).alias(f.name) for f in schema.fields], broken)
 
 

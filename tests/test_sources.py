@@ -127,3 +127,31 @@ def test_broken_records_are_counted(spark, tmp_path):
     read = read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", broken="broken").cache()
     assert broken_records(read, "broken").first()[0] == 2
     assert [r.user_id for r in read.filter("broken IS NULL").collect()] == ["U1"]
+
+
+def test_every_file_of_a_folder_must_have_the_header(spark, tmp_path, rows):
+    folder = tmp_path / "users"
+    folder.mkdir()
+    for ending in ("\n", "\r\n"):
+        (folder / "a.csv").write_bytes(f"{HEADER}{ending}U1,2024-01-05,Metro,iOS,,True{ending}".encode())
+        (folder / "b.csv").write_bytes(f"{HEADER}{ending}U2,2024-01-06,Metro,iOS,,False{ending}".encode())
+        assert sorted(r[0] for r in rows(read_table(spark, str(folder), "synthetic_users"))) == ["U1", "U2"]
+        swapped = HEADER.replace("city_tier,platform", "platform,city_tier")
+        (folder / "b.csv").write_bytes(f"{swapped}{ending}U2,2024-01-06,iOS,Metro,,False{ending}".encode())
+        with pytest.raises(Exception, match="(?i)header|has the columns"):
+            rows(read_table(spark, str(folder), "synthetic_users"))
+        assert len(rows(read_table(spark, str(folder), "synthetic_users", by_position=True))) == 2
+
+
+def test_raw_files_must_share_their_header_and_show_broken_records(spark, tmp_path, rows):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID ,Age\n1 ,NaN \n2\n")
+    (folder / "b.csv").write_text("ID ,Age\n3,4,5\n6,7\n")
+    read = read_raw_orders(spark, str(folder), broken="broken")
+    assert read.columns == ["ID ", "Age", "broken"]
+    assert sorted(r.broken for r in read.cache().collect() if r.broken) == ["2", "3,4,5"]
+    assert broken_records(read, "broken").first()[0] == 2
+    (folder / "b.csv").write_text("Age,ID \n4,3\n")
+    with pytest.raises(Exception, match="(?i)header|has the columns"):
+        rows(read_raw_orders(spark, str(folder)))

@@ -124,8 +124,8 @@ def test_cleaning_reads_what_a_column_needs(spark, sf_dir, tmp_path):
     cleaned = clean_orders(spark.read.parquet(str(tmp_path / "raw")))
 
     def read(name):
-        scan = cleaned.select(name)._jdf.queryExecution().optimizedPlan().collectLeaves().head()
-        return {column.split("#")[0].strip() for column in scan.output().mkString(",").split(",")}
+        scan = cleaned.select(name)._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return {column.strip() for column in scan.requiredSchema().fieldNames()}
 
     assert read("order_id") == {"ID"}
     assert read("distance_km") == {"Restaurant_latitude", "Restaurant_longitude", "Delivery_location_latitude", "Delivery_location_longitude"}
