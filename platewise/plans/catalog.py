@@ -17,6 +17,7 @@ from platewise.functions.tails import norm_cdf, norm_sf
 from platewise.operators import cleaning, delivery, experiment, funnel, growth, orders, quality, report, retention
 from platewise.operators.sessions import session_rollup, union_all
 from platewise.plans import bindings as b
+from platewise.plans import reloads
 from platewise.schemas import ORDER_VALUE_RANGE
 from platewise.sources.readers import typed
 
@@ -190,6 +191,9 @@ QUERIES: dict[str, Query] = {
     "norm_tail_functions": lambda s, d: plain(norm_tail_functions(s, d), 8),
     # loading, cleaning, profiles, checks
     "typed_load": lambda s, d: plain(typed(b.event_texts(s, d), b.TYPED)),
+    "file_load": lambda s, d: plain(reloads.file_load(s, d)),
+    "scalar_file": reloads.scalar_file,
+    "months_replaced": lambda s, d: plain(reloads.months_replaced(s, d)),
     "clean_orders": lambda s, d: plain(_cleaned(s, d).withColumn("distance_km", F.round("distance_km", 6))),
     "null_profile": lambda s, d: quality.null_profile(_cleaned(s, d)),
     "numeric_summary": lambda s, d: plain(quality.numeric_summary(_cleaned(s, d), SUMMARY_COLUMNS), 6),

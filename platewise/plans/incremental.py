@@ -14,21 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators.growth import OPEN_STAGE, activity_state, growth_from_states, merged_activity, order_state
+from platewise.sources.shared import exists, removed
 from platewise.sources.writers import write_days
 
 ACTIVITY, ORDERS = "activity", "orders"
 
 
-def _has(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def add_batch(spark: SparkSession, store: str, events: DataFrame, orders: DataFrame, open_stage: str = OPEN_STAGE) -> None:
     """Merge new events into the store; `orders` holds all orders of the days that it has any of."""
     write_days(order_state(orders), f"{store}/{ORDERS}")
@@ -37,7 +28,7 @@ def add_batch(spark: SparkSession, store: str, events: DataFrame, orders: DataFr
     try:
         activity_state(events, open_stage).write.parquet(fresh)
         new = spark.read.parquet(fresh)
-        if _has(spark, f"{store}/{ACTIVITY}"):
+        if exists(spark, f"{store}/{ACTIVITY}"):
             # at most one row per calendar month; a filter on them reads those folders alone
             months = [row.month for row in new.select("month").distinct().collect()]
             before = spark.read.parquet(f"{store}/{ACTIVITY}").filter(F.col("month").isin(months)).select(*new.columns)
@@ -47,7 +38,7 @@ def add_batch(spark: SparkSession, store: str, events: DataFrame, orders: DataFr
         write_days(new, f"{store}/{ACTIVITY}", "month")
     finally:
         for path in (fresh, merged):
-            _removed(spark, path)
+            removed(spark, path)
 
 
 def growth(spark: SparkSession, store: str) -> DataFrame:

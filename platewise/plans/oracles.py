@@ -594,3 +594,10 @@ UNION ALL SELECT 'orders', 'user_id in users', count(DISTINCT o_custkey) FROM or
 UNION ALL SELECT 'orders', 'labels of o_orderpriority, o_orderstatus',
     (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))
     + (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))"""
+# what is written and read back is what was there
+ORACLES["file_load"] = ORACLES["typed_load"]
+ORACLES["scalar_file"] = _with(DELIVERIES) + "SELECT printf('overall_on_time_pct=%.4f', avg(CAST(on_time AS DOUBLE))) AS line FROM deliveries"
+ORACLES["months_replaced"] = """
+SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, count(*) AS orders,
+    CASE WHEN year(min(o_orderdate)) = 1995 THEN 0.0::DOUBLE ELSE max(o_totalprice) END AS largest
+FROM orders GROUP BY 1"""

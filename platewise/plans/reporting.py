@@ -34,6 +34,7 @@ from platewise.operators.report import key_numbers
 from platewise.operators.retention import cohort_retention, cohort_retention_wide, day_points, retention_curve
 from platewise.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, TRAFFIC_LEVELS
 from platewise.sources.readers import read_parquet_table, read_raw_orders, read_table
+from platewise.sources.shared import removed, shared_folder
 from platewise.sources.writers import write_csv, write_parquet, write_scalar
 
 
@@ -94,15 +95,11 @@ def run(
     spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date, shared: str | None = None
 ) -> None:
     """`shared`: where intermediate tables go; the folder in `spark.checkpoint.dir` by default."""
-    shared = shared or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
-    store = f"{shared.rstrip('/')}/report-{uuid.uuid4().hex}"
+    store = f"{(shared or shared_folder(spark)).rstrip('/')}/report-{uuid.uuid4().hex}"
     try:
         _write_report(spark, raw_path, data_path, out_path, analysis_end, store)
     finally:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        removed(spark, store)
 
 
 def _write_report(spark: SparkSession, raw_path: str, data_path: str, out_path: str, analysis_end: date, store: str) -> None:

@@ -24,7 +24,9 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header line. `single_file` is for report tables of a few rows."""
     text = _as_csv_text(df)
     writer = (text.coalesce(1) if single_file else text).write.mode("overwrite")
-    writer.option("header", True).option("escape", '"').csv(path)
+    # blanks around a text are part of it
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(header=True, escape='"', **blanks).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
