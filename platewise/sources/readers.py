@@ -83,7 +83,10 @@ def read_csv_table(
     options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": by_position}
     if not multi_line:
         options["lineSep"] = "\n"
-    header = schema.names if by_position or multi_line else _checked_header(spark, path, schema.names, sep)
+    header = schema.names if by_position else _checked_header(spark, path, schema.names, sep)
+    if multi_line:
+        # there the parser tells line ends and byte order marks itself
+        header = [name.removeprefix("\ufeff").removesuffix("\r") for name in header]
     raw = _read_texts(spark, path, header, options, broken).toDF(*schema.names, *([broken] if broken else []))
     return typed(raw, schema) if not broken else raw.select(*[_typed(f).alias(f.name) for f in schema.fields], broken)
 

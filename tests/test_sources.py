@@ -155,3 +155,14 @@ def test_raw_files_must_share_their_header_and_show_broken_records(spark, tmp_pa
     (folder / "b.csv").write_text("Age,ID \n4,3\n")
     with pytest.raises(Exception, match="(?i)header|has the columns"):
         rows(read_raw_orders(spark, str(folder)))
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_header_with_a_byte_order_mark_and_carriage_returns(spark, tmp_path, rows, multi_line):
+    (tmp_path / "u.csv").write_bytes(f"\ufeff{HEADER}\r\nU1,2024-01-05,Metro,iOS,,True\r\n".encode())
+    assert rows(read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", multi_line=multi_line)) == [
+        ("U1", date(2024, 1, 5), "Metro", "iOS", None, True)
+    ]
+    (tmp_path / "u.csv").write_bytes(f"{HEADER.replace('iOS', 'x').replace('platform', 'plat')}\r\nU1,2024-01-05,Metro,iOS,,True\r\n".encode())
+    with pytest.raises(ValueError, match="plat"):
+        rows(read_table(spark, str(tmp_path / "u.csv"), "synthetic_users", multi_line=multi_line))
