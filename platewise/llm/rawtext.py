@@ -101,14 +101,19 @@ def _small_power(name: str, base: int, size: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < size:
         wanted = max(size, PIECE + 1)
-        have = np.ones(1, np.uint64)
+        have = np.ones(1, np.uint32)
         while len(have) < wanted:
-            have = np.concatenate([have, _reduced(have * U(pow(base, len(have), int(_PRIME))))])
+            more = _reduced(have[: wanted - len(have)] * U(pow(base, len(have), int(_PRIME))))
+            have = np.concatenate([have, more.astype(np.uint32)])
         if size <= 4 * PIECE:
             _powers[name] = have
     return have[:size]
 
 
+#: Bytes that are hashed at once.
+BLOCK = 1 << 17
+
+
 class Prefixes:
     """Polynomial hashes of every part of a byte buffer, in constant time each.
 
@@ -118,17 +123,23 @@ class Prefixes:
     """
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _power("up", _BASE, len(data)), out=self.sums[1:])
+        self.sums, self.small = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint32)
         self.down = _power("down", _BASE_INVERSE, len(data) + 1)
-        # sums of values below 2**31 stay below 2**63 for any buffer
-        self.small = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_reduced(_SMALL_VALUES[data] * _small_power("small up", _SMALL_BASE, len(data))), out=self.small[1:])
         self.small_down = _small_power("small down", pow(_SMALL_BASE, -1, int(_PRIME)), len(data) + 1)
+        up, small_up = _power("up", _BASE, len(data)), _small_power("small up", _SMALL_BASE, len(data))
+        for at in range(0, len(data), BLOCK):
+            part, here = data[at : at + BLOCK], slice(at, at + BLOCK)
+            after = slice(at + 1, at + 1 + len(part))
+            np.cumsum(_BYTE_VALUES[part] * up[here], out=self.sums[after])
+            self.sums[after] += self.sums[at]
+            # a block's sum of values below 2**31 is far below 2**63
+            small = np.cumsum(_reduced(_SMALL_VALUES[part] * small_up[here])) + U(self.small[at])
+            self.small[after] = _reduced(small)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of [start, end); equal parts have equal values wherever they stand."""
-        small = _reduced(_reduced(self.small[ends] - self.small[starts]) * self.small_down[starts])
+        small = self.small[ends].astype(np.uint64) + (_PRIME - self.small[starts])
+        small = _reduced(_reduced(small) * self.small_down[starts])
         return (self.sums[ends] - self.sums[starts]) * self.down[starts] + mix(small)
 
 
