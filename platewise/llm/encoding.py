@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.rawtext import pieces
+from platewise.llm.scratch import stored
 
 # --- fixed values -----------------------------------------------------------
 # How byte-level vocabularies split text before the merges.
@@ -41,8 +42,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEXICON_WORDS = 50_000
 #: Words longer than this many bytes stay out of the automaton.
 LEXICON_BYTES = 48
-#: Words that a worker remembers besides; it then starts anew.
+#: Words that a worker remembers besides, and letters in them; it then starts anew.
 REMEMBERED = 400_000
+REMEMBERED_LETTERS = 16_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, n_bytes long"
 
@@ -292,6 +294,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.known: dict[str, np.ndarray] = {}
+        self.letters = 0
+
+    def _full(self) -> bool:
+        return len(self.known) > REMEMBERED or self.letters > REMEMBERED_LETTERS
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self.vocabulary.split(c) for c in chunks}
@@ -304,9 +310,11 @@ class Encoder:
             ids[words[k]] = made.astype(np.uint32)
         for k in np.flatnonzero(places >= 0):
             ids[words[k]] = self.lexicon.ids[self.lexicon.starts[places[k]] : self.lexicon.starts[places[k] + 1]].astype(np.uint32)
-        if len(self.known) > REMEMBERED:
+        if self._full():
             self.known.clear()
+            self.letters = 0
         for chunk, parts in split.items():
+            self.letters += len(chunk)
             self.known[chunk] = ids[parts[0]] if len(parts) == 1 else np.concatenate([ids[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -323,9 +331,10 @@ class Encoder:
             self.known.update({s: np.array([i], np.uint32) for s, i in special.items()})
         missing = needed - self.known.keys()
         if missing:
-            before = {c: self.known[c] for c in needed - missing} if len(self.known) > REMEMBERED else {}
+            before = {c: self.known[c] for c in needed - missing} if self._full() else {}
             self._learn(missing - special.keys())
             self.known.update(before)
+            self.letters += sum(map(len, before))
             self.known.update({s: np.array([i], np.uint32) for s, i in special.items()})
         known = self.known
         return [np.concatenate([known[c] for c in chunks]) if chunks else np.zeros(0, np.uint32) for chunks in cut]
@@ -363,12 +372,31 @@ def encoder(vocabulary: str, lexicon: str = "") -> Encoder:
     return _encoders[key]
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that no more than `most` rows reach, from the histogram of the column n.
+
+    As few counts as there can be different ones go to the driver: the root of the corpus's words.
+    """
+    rows, least = 0, 1 << 62
+    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("rows")).collect(), key=lambda row: -row["n"]):
+        rows += row["rows"]
+        if rows > most:
+            break
+        least = row["n"]
+    return least
+
+
 def frequent_words(docs: DataFrame, count: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent blank-separated words of all documents, with their leading blank; ties by word."""
+    """The most frequent blank-separated words of all documents, with their leading blank.
+
+    At most `count`, found by a threshold of frequency: of words that are equally frequent, all
+    or none. Words that occur once are left out.
+    """
     words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word"))
     words = words.filter((F.length("word") > 0) & (F.octet_length("word") < LEXICON_BYTES))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(count)
-    return [" " + row.word for row in top.collect()]
+    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
+    top = counts.filter(F.col("n") >= least_count(counts, count)).select("word")
+    return sorted(" " + row.word for row in top.collect())
 
 
 def lexicon_file(docs: DataFrame, vocabulary: str, count: int = LEXICON_WORDS) -> str:

@@ -11,7 +11,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platewise.llm import language_id, line_dedup, minhash, packing, quality_rules, suffixes, weak_labels
+from platewise.llm import encoding, language_id, line_dedup, minhash, packing, quality_rules, suffixes, weak_labels
 from platewise.llm.rawtext import Prefixes
 
 
@@ -102,3 +102,24 @@ def test_equal_rows_bring_their_ranges_once(documents):
     assert len(spans) == 1 and len(spans[0]["__spans"]) < 100
     cut = suffixes.removed_digest(documents(*[(None, text)] * 300)).collect()
     assert len(cut) == 300 and {r.n_removed for r in cut} == {len(text)}
+
+
+def test_frequent_words_come_by_a_threshold(documents, spark):
+    text = "a a a a b b b c c c d d e f"
+    docs = documents((1, text), (2, None), (3, ""), (4, text))
+    assert encoding.frequent_words(docs, 3) == [" a", " b", " c"]
+    assert encoding.frequent_words(docs, 2) == [" a"]  # b and c are equally frequent: none of them
+    assert encoding.frequent_words(docs, 100) == [" a", " b", " c", " d", " e", " f"]
+    assert encoding.frequent_words(documents((1, "once only")), 5) == [] and encoding.frequent_words(docs.limit(0), 5) == []
+    plan = spark.createDataFrame([(i,) for i in (5, 5, 3, 1)], "n long")
+    assert [encoding.least_count(plan, most) for most in (1, 2, 3, 4)] == [1 << 62, 5, 3, 1]
+
+
+def test_a_worker_remembers_a_bounded_number_of_letters(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED_LETTERS", 5000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, public = encoding.Encoder(encoding.Vocabulary(path), None), tokenizers.Tokenizer.from_file(path)
+    for i in range(30):
+        text = f"{'x' * 400}{i} again {'y' * 300}{i} \n{i}"
+        assert model.encode([text])[0].tolist() == public.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, model.known)) < 5000 + 2 * len(text)
