@@ -40,6 +40,8 @@ MIN_CHARS = 1
 SHARD_KEYS = 250_000
 #: Bytes of all shards up to which they are sent to every executor.
 SEND_BYTES = 64 << 20
+#: Lines that one task probes in a shard that is not sent to every executor.
+PART_LINES = 1 << 20
 
 _STRIP = bytes(SPACES)
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
@@ -136,7 +138,7 @@ LINES, DROPPED, ROW, HITS = "__lines", "__dropped", "__row", "__hits"
 
 
 def line_deduplicated(
-    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, send_bytes: int = SEND_BYTES
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, send_bytes: int = SEND_BYTES, part_lines: int = PART_LINES
 ) -> DataFrame:
     """The documents with shared lines cut from `text`, and `__lines`, `__dropped` behind their columns.
 
@@ -160,7 +162,7 @@ def line_deduplicated(
                 yield _cut(part, drop)
 
         return docs.mapInArrow(run, schema)
-    return _routed(docs, blocks, shards, min_documents, min_chars).select(*docs.columns, LINES, DROPPED)
+    return _routed(docs, blocks, shards, min_documents, min_chars, part_lines).select(*docs.columns, LINES, DROPPED)
 
 
 def without_shared_lines(docs: DataFrame, **how) -> DataFrame:
@@ -169,13 +171,11 @@ def without_shared_lines(docs: DataFrame, **how) -> DataFrame:
     return named(line_deduplicated(plain, **how).select(*plain.columns))
 
 
-def _routed(docs: DataFrame, blocks: DataFrame, shards: int, min_documents: int, min_chars: int) -> DataFrame:
+def _routed(docs: DataFrame, blocks: DataFrame, shards: int, min_documents: int, min_chars: int, part_lines: int = PART_LINES) -> DataFrame:
     """The way for shards of any size: line hashes travel to the shards, hits travel back.
 
-    Texts are told apart by a 128-bit digest, so equal texts share their hits.
+    The lines of a shard are dealt by hash over parts of about `part_lines`. Texts are told apart by a 128-bit digest, so equal texts share their hits.
     """
-    spark = docs.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +183,8 @@ def _routed(docs: DataFrame, blocks: DataFrame, shards: int, min_documents: int,
             lines, flat = _split(part)
             key, fingerprint, ok = line_keys(flat, min_chars)
             at = np.repeat(np.arange(len(lines)), [len(own) for own in lines])[ok]
-            arrays = [_shard_of(key, shards)[ok], at % salts, key.view(np.int64)[ok], fingerprint.view(np.int64)[ok]]
-            yield pa.RecordBatch.from_arrays([part.column(ROW).take(pa.array(at)), *map(pa.array, arrays)], names=[ROW, "shard", "salt", "key", "print"])
+            arrays = [_shard_of(key, shards)[ok], key.view(np.int64)[ok], fingerprint.view(np.int64)[ok]]
+            yield pa.RecordBatch.from_arrays([part.column(ROW).take(pa.array(at)), *map(pa.array, arrays)], names=[ROW, "shard", "key", "print"])
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -193,8 +193,12 @@ def _routed(docs: DataFrame, blocks: DataFrame, shards: int, min_documents: int,
         return left.loc[counts >= min_documents, [ROW, "key"]].drop_duplicates()
 
     texts = docs.select("text", row.alias(ROW))
-    sent = texts.mapInArrow(hashes, f"{ROW} string, shard long, salt long, key long, print long")
-    arrays = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    # equal texts and lines send a hash once, so a crowd of copies is one row of each
+    sent = stored(texts.mapInArrow(hashes, f"{ROW} string, shard long, key long, print long").distinct(), "sent")
+    parts = stored(sent.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(part_lines)).alias("parts")), "parts")
+    sent = sent.join(parts, "shard").withColumn("salt", F.pmod(F.xxhash64(ROW, "key"), "parts")).drop("parts")
+    # a shard is copied to as many parts as its lines need
+    arrays = blocks.join(parts, "shard").select("shard", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     hits = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(probe, f"{ROW} string, key long")
     hits = hits.groupBy(ROW).agg(F.collect_set("key").alias(HITS))
     joined = docs.withColumn(ROW, row).join(hits, ROW, "left").select(*docs.columns, HITS)

@@ -51,7 +51,7 @@ def plain_lines(rows, least=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("how", [{}, {"send_bytes": -1}, {"shard_keys": 3}, {"send_bytes": -1, "shard_keys": 3}])
+@pytest.mark.parametrize("how", [{}, {"send_bytes": -1}, {"shard_keys": 3}, {"send_bytes": -1, "shard_keys": 3}, {"send_bytes": -1, "shard_keys": 3, "part_lines": 5}])
 def test_line_dedup_equals_brute_force(documents, collected, how):
     rng = random.Random(8)
     common = [" Shared line ", "shared LINE", "\tÀ propos\r", "x", "", "   ", "Another one here"]
@@ -60,6 +60,13 @@ def test_line_dedup_equals_brute_force(documents, collected, how):
     assert collected(line_dedup.line_digest(documents(*rows), **how)) == plain_lines(rows)
 
 
+def test_routed_lines_of_many_copies_travel_once(documents, collected):
+    """A crowd of equal rows and one long text, with parts of a few lines."""
+    rows = [(7, "copied\nline\nown 7")] * 300 + [(8, "\n".join(f"line {i}" for i in range(2000)) + "\ncopied")]
+    got = collected(line_dedup.line_digest(documents(*rows), send_bytes=-1, shard_keys=1, part_lines=3))
+    assert got == plain_lines(rows) == collected(line_dedup.line_digest(documents(*rows)))
+
+
 def test_lines_of_nine_documents_stay(documents, collected):
     rows = [(i, "nine" if i < 9 else "other") for i in range(12)]
     assert {r[2] for r in collected(line_dedup.line_digest(documents(*rows)))} == {0}
