@@ -125,6 +125,21 @@ class Model:
         return out
 
 
+def least_counts(rows: DataFrame, limits: dict[str, int]) -> dict[str, int]:
+    """Per column, a positive count that the `limit` largest values reach, and besides them only values equal to the least of these.
+
+    It comes from a histogram, so that a sort of what reaches it takes few rows more than the limit, not some of each task.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("of"), F.col(name).cast("long").alias("n")) for name in limits])
+    sizes = rows.select(F.inline(cells)).filter("n > 0").groupBy("of", "n").agg(F.count("*").alias("rows")).collect()
+    left, least = dict(limits), dict.fromkeys(limits, 1 << 62)
+    for row in sorted(sizes, key=lambda row: -row["n"]):
+        if left[row["of"]] > 0:
+            least[row["of"]] = row["n"]
+        left[row["of"]] -= row["rows"]
+    return least
+
+
 def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS) -> Model:
     """Counts words and n-grams of all documents with a language."""
     text = F.lower(F.col("text").cast("string"))
@@ -155,9 +170,11 @@ def learned(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS)
             return [], np.zeros((0, 0))
         own = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
         keys = stored(rows.groupBy("word").agg(F.sum("n").alias("total"), *own), "keys")
-        some = keys.orderBy(F.desc("total"), "word").limit(limit).withColumn("spare", F.lit(True))
+        share = limit // len(languages)
+        least = least_counts(keys, {"total": limit} | {f"n{i}": share for i in range(len(languages))})
+        some = keys.filter(F.col("total") >= least["total"]).orderBy(F.desc("total"), "word").limit(limit).withColumn("spare", F.lit(True))
         for i in range(len(languages)):
-            most = keys.filter(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), "word").limit(limit // len(languages))
+            most = keys.filter(F.col(f"n{i}") >= least[f"n{i}"]).orderBy(F.desc(f"n{i}"), "word").limit(share)
             some = some.union(most.withColumn("spare", F.lit(False)))
         best = some.groupBy(*keys.columns).agg(F.bool_and("spare").alias("spare")).orderBy("spare", F.desc("total"), "word").limit(limit)
         found = best.drop("total", "spare").toArrow()

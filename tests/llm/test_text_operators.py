@@ -265,6 +265,20 @@ def test_a_large_language_displaces_no_small_one(documents):
     assert model.predict(["stu vwx yzs", "syv tux", "abcd efgh"]) == [("bb", pytest.approx(1, abs=0.1)), ("bb", pytest.approx(1, abs=0.5)), ("aa", pytest.approx(1, abs=0.5))]
 
 
+def test_least_counts_leave_little_to_sort(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice((0, 1, 1, 2, 3, 5, 8, 900)), rng.randint(0, 4)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a long, b int")
+    for limits in ({"a": 37, "b": 5}, {"a": 1, "b": 399}, {"a": 0, "b": 10_000}):
+        least = language_id.least_counts(frame, limits)
+        for place, (name, limit) in enumerate(limits.items()):
+            values = sorted((row[place] for row in rows if row[place] > 0), reverse=True)
+            reached = [n for n in values if n >= least[name]]
+            assert reached[:limit] == values[:limit] and (limit == 0) == (not reached)
+            assert sum(n > least[name] for n in reached) < max(limit, 1)
+    assert language_id.least_counts(frame.limit(0), {"a": 3}) == {"a": 1 << 62}
+
+
 def test_language_without_anything_to_learn(documents):
     got = language_id.identified(documents((1, "some words"), (2, None))).collect()
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
