@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.graph import components
-from platewise.llm.rawtext import LOWER, U, Prefixes, joined, mix, per_text, pieces, words
+from platewise.llm.rawtext import HASHED, LOWER, U, Prefixes, joined, mix, per_text, pieces, words
 from platewise.llm.scratch import plainly_named, stored
 
 WORDS = 5
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """Per document: size and digest of its set, band keys, packed low bits of the minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, limit=1 << 20):
+        for part in pieces(batches, limit=HASHED):
             shingles, begin, size = shingle_sets(part.column("text"))
             full = np.flatnonzero(size)
             minima = np.zeros((part.num_rows, HASHES), np.uint64)
@@ -142,7 +142,7 @@ def class_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     texts = keyed(docs).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, limit=HASHED):
             shingles, begin, size = shingle_sets(part.column("text"))
             offsets = pa.array(np.append(begin, len(shingles)), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
 PIECE = 2 << 20
+#: The same where texts are hashed: hashes and sorted keys take some hundred bytes for each byte of text.
+HASHED = 1 << 18
 
 # --- fixed values -----------------------------------------------------------
 # White space between words: blank, tab, LF, VT, FF, CR.
@@ -73,13 +75,18 @@ def mix(values: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
+def _room(size: int) -> int:
+    """Powers that are made where `size` are asked for, so that few requests need more."""
+    return 1 + HASHED * max(1, -(-(size - 1) // HASHED))
+
+
 def _power(name: str, base: np.uint64, size: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < size:
-        have = np.full(max(size, PIECE + 1), base, np.uint64)
+        have = np.full(_room(size), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * PIECE:
+        if size <= PIECE + 1:
             _powers[name] = have
     return have[:size]
 
@@ -100,12 +107,12 @@ def _small_power(name: str, base: int, size: int) -> np.ndarray:
     """Powers of a base modulo the prime, by doubling."""
     have = _powers.get(name)
     if have is None or len(have) < size:
-        wanted = max(size, PIECE + 1)
+        wanted = _room(size)
         have = np.ones(1, np.uint32)
         while len(have) < wanted:
             more = _reduced(have[: wanted - len(have)] * U(pow(base, len(have), int(_PRIME))))
             have = np.concatenate([have, more.astype(np.uint32)])
-        if size <= 4 * PIECE:
+        if size <= PIECE + 1:
             _powers[name] = have
     return have[:size]
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.rawtext import U, Prefixes, joined, mix, pieces
+from platewise.llm.rawtext import HASHED, U, Prefixes, joined, mix, pieces
 from platewise.llm.scratch import plainly_named, schema_with, stored
 
 SPAN = 200
@@ -103,7 +103,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def anchor_table(docs: DataFrame, span: int = SPAN, size: int = ANCHOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, limit=HASHED):
             found = anchors(part.column("text"), span, size)
             at = pa.array(found["text"])
             hashes = [pa.array(found[n].astype(np.uint64).view(np.int64)) for n in ("anchor", "context")]
@@ -184,8 +184,8 @@ class Suffixes:
         """Whether neighbours truly agree so far and no further, and stand in order."""
         reach = np.arange(int(self.limits.max(initial=0)) + 1)
         last = len(self.data) - 1
-        for i in range(0, len(inner), 1 << 15):
-            at = inner[i : i + (1 << 15)]
+        for i in range(0, len(inner), 1 << 12):
+            at = inner[i : i + (1 << 12)]
             a, b, length = order[at - 1], order[at], extension[at]
             one = self.data[np.minimum(self.starts[a][:, None] + reach, last)]
             two = self.data[np.minimum(self.starts[b][:, None] + reach, last)]

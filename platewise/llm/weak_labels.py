@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.quality_rules import Limits, measures
-from platewise.llm.rawtext import LOWER, U, Prefixes, joined, mix, per_text, pieces
+from platewise.llm.rawtext import HASHED, LOWER, U, Prefixes, joined, mix, per_text, pieces
 from platewise.llm.scratch import plainly_named, schema_with, Sent
 
 #: Labelled documents that are learned from, about.
@@ -187,7 +187,7 @@ def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.n
     """The scorer. Executors measure the sample's texts; what they send back is bounded with the sample."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, limit=HASHED):
             measured = shares(part.column("text"))
             numbers, found = features(part.column("text"), measured)
             ends = np.cumsum(per_text(numbers, part.num_rows))
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, reject: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.get()
-        for part in pieces(batches):
+        for part in pieces(batches, limit=HASHED):
             texts = part.column("text")
             numbers, found = features(texts, shares(texts), weights != 0)
             margin = bias + np.bincount(numbers, weights=weights[found], minlength=part.num_rows)

@@ -1,6 +1,7 @@
 """Long white space, clashing column names, strings that collide under weak hashes, many equal rows."""
 
 import collections
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platewise.llm import encoding, language_id, line_dedup, minhash, packing, quality_rules, suffixes, weak_labels
+from platewise.llm import encoding, language_id, line_dedup, minhash, packing, quality_rules, rawtext, suffixes, weak_labels
 from platewise.llm.rawtext import Prefixes
 
 
@@ -123,3 +124,43 @@ def test_a_worker_remembers_a_bounded_number_of_letters(monkeypatch):
         text = f"{'x' * 400}{i} again {'y' * 300}{i} \n{i}"
         assert model.encode([text])[0].tolist() == public.encode(text, add_special_tokens=False).ids
         assert sum(map(len, model.known)) < 5000 + 2 * len(text)
+
+
+class Caught(Exception):
+    """Holds the function that was to run on batches."""
+
+
+@pytest.mark.parametrize("stage", ["classifier's sample", "classifier", "signatures", "sets", "anchors"])
+def test_texts_are_hashed_in_little_memory(documents, spark, monkeypatch, stage):
+    def caught(self, run, schema):
+        raise Caught(run)
+
+    docs = documents((1, "some words here"), (2, "and there"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    classes = spark.createDataFrame([(1, (1, 5))], "id long, one struct<doc_id: long, text_hash: long>")
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    monkeypatch.setattr(rawtext, "_powers", {})
+    model = np.ones(weak_labels.FEATURES, np.float32), 0.0
+    if stage == "classifier":
+        monkeypatch.setattr(weak_labels, "fitted", lambda *_: model)
+    call = {
+        "classifier's sample": lambda: weak_labels.fitted(docs.select("doc_id", "text"), labels),
+        "classifier": lambda: weak_labels.scored(docs, labels),
+        "signatures": lambda: minhash.signatures(docs),
+        "sets": lambda: minhash.class_sets(classes.select("id"), classes, docs),
+        "anchors": lambda: suffixes.anchor_table(docs),
+    }[stage]
+    with pytest.raises(Caught) as held:
+        call()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 100_000, 500))) for _ in range(2000)]
+    numbers = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": numbers, "text": pa.array(texts), "text_hash": numbers, "id": numbers, "label": pa.array([0] * len(texts), pa.int32())})
+    run = held.value.args[0]
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= len(texts) and peak < 60 << 20
