@@ -177,6 +177,39 @@ def test_reading_stops_before_the_lists_end():
     assert ids.tolist() == [7] and scores.tolist() == [256 * 514] and lists.depths[-1] < 4000
 
 
+def test_top_scores_join_and_broadcast_nothing(spark, collected):
+    """Blocks of queries times blocks of candidates went to the driver as one broadcast."""
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-9, 9)) for _ in range(6)]) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for how in ({}, {"held": 2}):
+        found = topk.top_scores(table, candidates=40, per_block=3, **how)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Broadcast|Join|Cartesian", plan)
+        assert collected(found, "query_id", "rank", "vec_id", "score") == plain_top(rows)
+
+
+def test_top_scores_of_large_and_wide_vectors(spark, collected):
+    """Components beyond 16 and 32 bits, sums beyond single precision, widths that differ, more components than WIDTH."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1), *(rng.choice([1.0, 2e2, 1e4]) * rng.gauss(0, 1) if i % 7 == 0 else rng.gauss(0, 1) for _ in range(rng.choice([2, 69, 199])))]) for i in range(300)]
+    rows[7][1][0] = 1e7
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert collected(topk.top_scores(table, candidates=60, per_block=4, held=1), "query_id", "rank", "vec_id", "score") == plain_top(rows)
+
+
+def test_blocks_taken_one_after_the_other_keep_the_best():
+    rng = np.random.default_rng(4)
+    ids, vectors, queries = rng.permutation(3000), rng.integers(-3, 4, (3000, 12)), rng.integers(-3, 4, (40, 12))
+    query_ids = np.concatenate([ids[:20], np.arange(5000, 5020)])
+    asked = topk.Asked(query_ids, queries, 5)
+    for rows in np.split(np.arange(3000), [3, 40, 1000, 1004]):
+        asked.meet(topk.SortedLists(ids[rows], vectors[rows].astype(np.int16)))
+    for query_id, query, found in zip(query_ids, queries, asked.found):
+        best = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors) if i != query_id)[:5]
+        assert [(-s, i) for i, s in zip(*(x.tolist() for x in found))] == best
+
+
 # --- near-duplicates
 
 
